@@ -6,7 +6,10 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,3 +114,34 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
             raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str = "g") -> Iterator[tuple[object, pa.Table]]:
+    """(key, rows) for each run of equal keys in a sorted partition, across its batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(b.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        for i, j in zip(cuts, cuts[1:]):
+            if held and k[i] != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(i, j - i))
+            last = k[i]
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+def blocked(rows: DataFrame, key: Column, size: Column, of: Column, most: int) -> DataFrame:
+    """rows with the group column g: all pairs of a bucket meet in some group, and no group has much over 2 * most rows.
+
+    A bucket of ``size`` rows is cut by a hash of ``of`` into k = size / most blocks, and each row goes to the k groups
+    (its block, another block); the columns own and other tell them apart (equal in the group of one block).
+    """
+    k = F.greatest(F.lit(1), F.ceil(size / most)).cast("int")
+    mine = F.pmod(F.xxhash64(of, F.lit(3)), k).cast("int")
+    dealt = rows.withColumns({"own": mine, "other": F.explode(F.sequence(F.lit(0), k - 1))})
+    return dealt.withColumn("g", F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other")))

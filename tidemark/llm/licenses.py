@@ -36,6 +36,8 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 THRESHOLD = 0.75
+# Words to avoid as anchors.
+COMMON = frozenset("a an and any are at by following for in is made of on or source subject that the this to under use version with work you".split())
 
 
 def bigrams_of(text: str) -> list[str]:
@@ -49,7 +51,7 @@ def anchors(grams: list[str], threshold: float) -> set[str]:
     """Words of a template, longest first, until a line without them must miss too many of its bigrams."""
     spare = len(grams) - math.ceil(threshold / (2 - threshold) * len(grams) - 1e-9)
     chosen: set[str] = set()
-    for w in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
+    for w in sorted({w for g in grams for w in g.split()}, key=lambda w: (w in COMMON, -len(w), w)):
         if sum(not chosen.isdisjoint(g.split()) for g in grams) > spare:
             break
         chosen.add(w)
@@ -61,7 +63,7 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold
     sets = {k: b for k, v in sorted((TEMPLATES if templates is None else templates).items()) if (b := bigrams_of(v))}
     any_of = sorted(set().union(*(anchors(b, threshold) for b in sets.values())))
     raw = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)
-    raw = F.filter(raw, lambda x: x.rlike("(?i)" + "|".join(any_of)) if any_of else F.lit(False))
+    raw = F.filter(raw, lambda x: x.rlike("(?i)(?<![a-z0-9])(?:" + "|".join(any_of) + ")(?![a-z0-9])") if any_of else F.lit(False))
     lines = F.transform(raw, lambda x: F.regexp_replace(F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
     words = F.transform(lines, lambda x: F.filter(F.split(x, " ", -1), lambda w: w != ""))
     words = F.filter(words, lambda w: F.size(w) > 1)
