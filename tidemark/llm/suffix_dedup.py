@@ -10,8 +10,9 @@ exactly a repeated window. The digits are chosen so that most suffixes never mov
    to be repeated).
 2. Second digit: the bytes of the whole run. Runs equal in both are repeated as a whole; all but those of the smallest
    doc_id are removed.
-3. Runs that share the anchor only may share some windows. Their windows are sorted singly by the hash of their 50
-   bytes, in another round over the texts that hold such runs.
+3. Runs that share the anchor only may share some windows, if they also agree on 17 bytes before or after it: a window
+   holds that many on one side. The windows of such runs are sorted singly by the hash of their 50 bytes, in another
+   round over the texts that hold them.
 
 Records travel as compressed blobs of arrays, one a map chunk and bucket, and are sorted inside a bucket with numpy; the
 number of buckets follows the bytes of the input, so a bucket fits in memory at every size. Equality is decided by 96
@@ -26,10 +27,12 @@ from __future__ import annotations
 
 import gc
 import hashlib
-from collections.abc import Iterator
+import time
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +41,8 @@ from .common import runs, written
 
 THRESHOLD, ANCHOR = 50, 16
 #: Bytes of text for which a map task gathers records, for which there is one bucket, and that are hashed at once.
-CHUNK, BUCKET, PIECE = 32 << 20, 2 << 20, 1 << 20
+CHUNK, BUCKET, PIECE = 16 << 20, 2 << 20, 1 << 20
+SIDE = (THRESHOLD - ANCHOR + 1) // 2
 LAST = (1 << 63) - 1
 
 _rng = np.random.default_rng(50)
@@ -86,8 +90,11 @@ def pieces(raw: bytes) -> Iterator[tuple[int, np.ndarray]]:
         yield i, a[i : i + PIECE + THRESHOLD - 1]
 
 
-def anchored_runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, hash of the run's bytes, first and last window start) of each run of windows with one anchor."""
+def anchored_runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, hash of the run's bytes, of the sides, first and last window start) of each run of windows with one anchor.
+
+    The sides are two 16-bit hashes, of the SIDE bytes before the anchor and after it; where a text ends sooner, any.
+    """
     h = Hashes(raw)
     grams = h.every(ANCHOR)
     width = THRESHOLD - ANCHOR + 1
@@ -102,7 +109,9 @@ def anchored_runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     last = np.append(first[1:], n) - 1
     at = (low[first] & np.uint64((1 << 24) - 1)).astype(np.int64)
     whole = h.of(first, last + THRESHOLD) ^ _mix((at - first).astype(np.uint64) + np.uint64(1))
-    return grams[at], whole, first, last
+    before, end = np.maximum(at - SIDE, 0), np.minimum(at + ANCHOR + SIDE, len(raw))
+    sides = (h.of(before, at) >> np.uint64(48) << np.uint64(16)) | h.of(at + ANCHOR, end) >> np.uint64(48)
+    return grams[at], whole, sides.astype(np.uint32), first, last
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -135,40 +144,39 @@ _DEALT = "bucket long, blob binary, n long, doc_id long, kind int, s long, e lon
 _DEALT_PA = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("n", pa.int64()), ("doc_id", pa.int64()), ("kind", pa.int32()), ("s", pa.int64()), ("e", pa.int64())])
 
 
-def _deal(keys: list[np.ndarray], doc: np.ndarray, s: np.ndarray, e: np.ndarray, buckets: int, reach: int) -> Iterator[pa.RecordBatch]:
+def _deal(keys: list[np.ndarray], extra: list[np.ndarray], doc: np.ndarray, s: np.ndarray, e: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Records sorted and sent as blobs, but for those that a smaller doc_id of the chunk makes repeated: their spans are settled."""
     o = np.lexsort((s, doc, *reversed(keys)))
-    keys, doc, s, e = [k[o] for k in keys], doc[o], s[o], e[o]
+    keys, extra, doc, s, e = [k[o] for k in keys], [x[o] for x in extra], doc[o], s[o], e[o]
     fresh = np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))
-    least = doc[fresh][np.cumsum(fresh) - 1]
-    done = doc != least
-    if done.any():
-        b = _spans(0, *merged(doc[done], s[done], e[done] + reach))
+    left = doc == doc[fresh][np.cumsum(fresh) - 1]
+    if not left.all():
+        b = _spans(0, *merged(doc[~left], s[~left], e[~left] + THRESHOLD))
         none = pa.nulls(b.num_rows)
         yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), *b.columns], schema=_DEALT_PA)
-    keys, doc, s, e = [k[~done] for k in keys], doc[~done], s[~done], e[~done]
+    keys, extra, doc, s, e = [k[left] for k in keys], [x[left] for x in extra], doc[left], s[left], e[left]
     to = (keys[0] >> np.uint64(40)).astype(np.int64) % buckets
     o = np.argsort(to, kind="stable")
     cuts = np.searchsorted(to[o], np.arange(buckets + 1))
     rows: list[tuple[int, bytes, int]] = []
     for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
         at = o[cuts[k] : cuts[k + 1]]
-        rows.append((int(k), pack(*(x[at] for x in keys), doc[at], s[at].astype(np.uint32), (e[at] - s[at]).astype(np.uint8)), len(at)))
+        rows.append((int(k), pack(*(x[at] for x in keys), *(x[at] for x in extra), doc[at], s[at].astype(np.uint32), (e[at] - s[at]).astype(np.uint8)), len(at)))
     none = pa.nulls(len(rows))
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64())], schema=_DEALT_PA)
 
 
-def _bucket(rows: pa.Table, keys: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+def _bucket(rows: pa.Table, kinds: list[type]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The records of a bucket: keys and further columns of these kinds, doc, s, e."""
     parts: list[list[np.ndarray]] = []
     for blob, n in zip(rows["blob"], rows["n"].to_pylist()):
         raw, at, own = zstandard.decompress(blob.as_py()), 0, []
-        for kind in [np.uint64] * keys + [np.int64, np.uint32, np.uint8]:
+        for kind in [*kinds, np.int64, np.uint32, np.uint8]:
             own.append(np.frombuffer(raw, kind, n, at))
             at += own[-1].nbytes
         parts.append(own)
-    cols = [np.concatenate(c) for c in zip(*parts)]
-    s = cols[keys + 1].astype(np.int64)
-    return cols[:keys], cols[keys], s, s + cols[keys + 2]
+    *cols, doc, s, wide = (np.concatenate(c) for c in zip(*parts))
+    return cols, doc, s.astype(np.int64), s.astype(np.int64) + wide
 
 
 def _settled(rows: pa.Table) -> pa.RecordBatch:
@@ -180,20 +188,25 @@ def _sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if bucket < 0:
             yield _settled(rows)
             continue
-        (anchor, whole), doc, s, e = _bucket(rows, 2)
+        (anchor, whole, sides), doc, s, e = _bucket(rows, [np.uint64, np.uint64, np.uint32])
         o = np.lexsort((doc, whole, anchor))
-        anchor, whole, doc, s, e = anchor[o], whole[o], doc[o], s[o], e[o]
-        top = np.append(True, anchor[1:] != anchor[:-1])
-        sub = top | np.append(True, whole[1:] != whole[:-1])
-        least = doc[sub][np.cumsum(sub) - 1]
-        gone = doc != least
+        anchor, whole, sides, doc, s, e = anchor[o], whole[o], sides[o], doc[o], s[o], e[o]
+        fresh = np.append(True, (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1]))
+        gone = doc != doc[fresh][np.cumsum(fresh) - 1]
         yield _spans(0, *merged(doc[gone], s[gone], e[gone] + THRESHOLD))
-        # Anchors with several different runs, of several documents: their windows go to the next pass.
-        group = np.cumsum(top) - 1
-        several = np.bincount(group, sub) > 1
-        some = np.minimum.reduceat(doc, np.flatnonzero(top)) != np.maximum.reduceat(doc, np.flatnonzero(top))
-        open_ = (several & some)[group] & ~gone
-        yield _spans(1, doc[open_], s[open_], e[open_])
+        anchor, whole, sides, doc, s, e = (x[~gone] for x in (anchor, whole, sides, doc, s, e))
+        # Runs that agree with a different run of another document on the anchor and one side go to the next pass.
+        opened = np.zeros(len(doc), bool)
+        for side in (sides >> np.uint32(16), sides & np.uint32(0xFFFF)):
+            o = np.lexsort((side, anchor))
+            a, b = anchor[o], side[o]
+            start = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            if len(start):
+                several = np.ones(len(start), bool)
+                for x in (whole[o], doc[o]):
+                    several &= np.minimum.reduceat(x, start) != np.maximum.reduceat(x, start)
+                opened[o] |= np.repeat(several, np.diff(np.append(start, len(o))))
+        yield _spans(1, doc[opened], s[opened], e[opened])
 
 
 def _sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +214,7 @@ def _sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if bucket < 0:
             yield _settled(rows)
             continue
-        (window,), doc, s, _ = _bucket(rows, 1)
+        (window,), doc, s, _ = _bucket(rows, [np.uint64])
         o = np.lexsort((doc, window))
         window, doc, s = window[o], doc[o], s[o]
         top = np.append(True, window[1:] != window[:-1])
@@ -217,13 +230,13 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Gather:
     """Records of a map task, dealt when a chunk is full."""
 
-    def __init__(self, keys: int, buckets: int, reach: int) -> None:
-        self.keys, self.buckets, self.reach = keys, buckets, reach
-        self.cols: list[list[np.ndarray]] = [[] for _ in range(keys + 3)]
+    def __init__(self, keys: int, extra: int, buckets: int) -> None:
+        self.keys, self.extra, self.buckets = keys, extra, buckets
+        self.cols: list[list[np.ndarray]] = [[] for _ in range(keys + extra + 3)]
         self.held = 0
 
-    def add(self, keys: list[np.ndarray], doc: int, s: np.ndarray, e: np.ndarray, size: int) -> None:
-        for c, x in zip(self.cols, [*keys, np.full(len(s), doc, np.int64), s, e]):
+    def add(self, columns: list[np.ndarray], doc: int, s: np.ndarray, e: np.ndarray, size: int) -> None:
+        for c, x in zip(self.cols, [*columns, np.full(len(s), doc, np.int64), s, e]):
             c.append(x)
         self.held += size
 
@@ -233,17 +246,27 @@ class _Gather:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.cols[0]:
             c = [np.concatenate(x) for x in self.cols]
-            yield from _deal(c[: self.keys], *c[self.keys :], self.buckets, self.reach)
-        self.cols, self.held = [[] for _ in self.cols], 0
+            self.cols, self.held = [[] for _ in self.cols], 0
+            k = self.keys + self.extra
+            yield from _deal(c[: self.keys], c[self.keys : k], *c[k:], self.buckets)
+
+
+def _own(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(offsets, fields) of a list of structs."""
+    flat = column.flatten()
+    sizes = np.array([0 if n is None else n for n in pc.list_value_length(column).to_pylist()], np.int64)
+    return np.concatenate([[0], np.cumsum(sizes)]), [flat.field(i).to_numpy(zero_copy_only=False) for i in range(flat.type.num_fields)]
 
 
 def _free(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are written."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of steps whose results are written: its cleaner acts on what the JVM has collected."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
-def _finish(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int, str]:
+def _finish(raw: bytes, spans: Iterable[tuple[int, int]]) -> tuple[int, int, int, str]:
     """(bytes, removed, maximal removed runs, SHA-256 of the rest)."""
     n, h, at, gone, count = len(raw), hashlib.sha256(), 0, 0, 0
     end = -1
@@ -282,14 +305,14 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     buckets = 1 << max(10, (total // BUCKET).bit_length())
 
     def deal_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _Gather(2, buckets, THRESHOLD)
+        got = _Gather(2, 1, buckets)
         for b in batches:
             for doc, t in zip(b.column(0).to_pylist(), b.column(1)):
                 raw = t.as_py().encode("utf-8", "replace")
                 if len(raw) >= THRESHOLD:
                     for at, part in pieces(raw):
-                        anchor, whole, s, e = anchored_runs(part)
-                        got.add([anchor & np.uint64(0xFFFFFFFFFFFF0000), whole & np.uint64(0xFFFFFFFFFFFF)], doc, s + at, e + at, len(part))
+                        anchor, whole, sides, s, e = anchored_runs(part)
+                        got.add([anchor & np.uint64(0xFFFFFFFFFFFF0000), whole & np.uint64(0xFFFFFFFFFFFF), sides], doc, s + at, e + at, len(part))
                 if got.full():
                     yield from got.flush()
         yield from got.flush()
@@ -300,14 +323,16 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents without open runs are finished; the others keep their text."""
         for b in batches:
-            rows = []
-            for doc, t, own in zip(*(c.to_pylist() for c in b.columns)):
-                raw = t.encode("utf-8", "replace")
-                spans = [(x["s"], x["e"]) for x in own or () if x["kind"] == 0]
-                opened = [x for x in own or () if x["kind"] == 1]
-                rows.append((doc, t, own, None, None, None, None) if opened else (doc, None, None, *_finish(raw, spans)))
-            cols = list(zip(*rows)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FIRST)], schema=_FIRST)
+            at, (kind, s, e) = _own(b.column(2))
+            rows, kept = [], []
+            for i, t in enumerate(b.column(1)):
+                own = slice(at[i], at[i + 1])
+                opened = bool(kind[own].any())
+                kept.append(i if opened else None)
+                rows.append((None,) * 4 if opened else _finish(t.as_py().encode("utf-8", "replace"), zip(s[own].tolist(), e[own].tolist())))
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            kept = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).take(kept).cast(pa.string()), b.column(2).take(kept).cast(_FIRST.field(2).type), *(pa.array(c, f.type) for c, f in zip(cols, list(_FIRST)[3:]))], schema=_FIRST)
 
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "s", "e")).alias("own"))
     state = written(src.join(spans, "doc_id", "left").select("doc_id", "text", "own").mapInArrow(first, "doc_id long, text string, own array<struct<kind:int,s:long,e:long>>, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
@@ -315,12 +340,14 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     opened = state.where("own is not null").select("doc_id", "text", "own")
 
     def deal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _Gather(1, buckets, THRESHOLD)
+        got = _Gather(1, 0, buckets)
         for b in batches:
-            for doc, t, own in zip(*(c.to_pylist() for c in b.columns)):
-                raw = t.encode("utf-8", "replace")
-                lows = np.array([x["s"] for x in own if x["kind"] == 1])
-                highs = np.array([x["e"] for x in own if x["kind"] == 1])
+            offsets, (kind, starts, ends) = _own(b.column(2))
+            for i, (doc, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
+                raw = t.as_py().encode("utf-8", "replace")
+                own = np.arange(offsets[i], offsets[i + 1])
+                own = own[kind[own] == 1]
+                lows, highs = starts[own], ends[own]
                 for at, part in pieces(raw):
                     n = len(part) - THRESHOLD + 1
                     mark = np.zeros(n + 1, np.int64)
@@ -338,11 +365,14 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            (at, (kind, s, e)), (to, (ns, ne)) = _own(b.column(2)), _own(b.column(3))
             rows = []
-            for doc, t, own, new in zip(*(c.to_pylist() for c in b.columns)):
-                rows.append((doc, *_finish(t.encode("utf-8", "replace"), [(x["s"], x["e"]) for x in own if x["kind"] == 0] + [(x["s"], x["e"]) for x in new or ()])))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FINAL)], schema=_FINAL)
+            for i, t in enumerate(b.column(1)):
+                own, new = np.arange(at[i], at[i + 1]), slice(to[i], to[i + 1])
+                own = own[kind[own] == 0]
+                rows.append(_finish(t.as_py().encode("utf-8", "replace"), [*zip(s[own].tolist(), e[own].tolist()), *zip(ns[new].tolist(), ne[new].tolist())]))
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(cols, list(_FINAL)[1:]))], schema=_FINAL)
 
     added = more.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("new"))
     rest = opened.join(added, "doc_id", "left").select("doc_id", "text", "own", "new").mapInArrow(last, _DONE)
