@@ -5,7 +5,8 @@ largest element under it, so 64 evaluations give a signature of 128 values, cut
 similarity 0.75 miss all bands with probability below 0.00001. Equal sets are first collapsed into one representative
 (their smallest doc_id), so copies are never paired. Links are then found in rounds, and pairs of texts already joined
 are skipped: first each representative with the bucket leader it shares most bands with, then within buckets that still
-hold several components the four most alike partners of each, last all other pairs. In buckets pairs are compared by
+hold several components the four most alike partners of each, in two rounds. Last, the texts of all pairs that are left meet in their first common bucket with their full sets,
+where pairs are confirmed in the task and only links leave it. In buckets pairs are compared by
 their signatures (one byte a value); only those whose estimate is not clearly too low (five standard errors) are
 confirmed on full sets. Buckets are dealt into blocks, so none is gathered whole. Nothing is dropped or capped.
 
@@ -17,7 +18,7 @@ it is alone. Shingles are compared by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ WORDS, SIMILAR = 5, 75
 PERMUTATIONS, BANDS = 64, 32
 #: Bytes of 128 that agree at least in a pair worth confirming: 0.75 less five standard errors of 0.038.
 AGREE = 72
-BLOCK, PARTNERS = 1024, 4
+BLOCK = 1024
+#: Most alike partners that a text is confirmed against in each of the rounds before the last, which leaves none out.
+ROUNDS = (4, 4)
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -118,28 +121,100 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py()).view(np.int64) for t in part.column(1)], pa.list_(pa.int64()))], names=["rep", "items"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a group with enough agreeing bytes, sizes that allow the similarity, and different components."""
-    names = ["a", "b", "agree"]
-    for _, rows in runs(batches):
-        rep, comp, n, own, other = (rows[c].to_numpy() for c in ("rep", "comp", "n", "own", "other"))
-        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(len(rep), -1)
-        left = np.flatnonzero(own <= other)
-        right = left if (own == other).all() else np.flatnonzero(own >= other)
-        step = max(1, (32 << 20) // (len(right) * sig.shape[1]))
+class _Group:
+    """A group of rows and its pairs worth confirming: enough agreeing bytes, sizes that allow the similarity, different components."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.rep, self.comp, self.n, self.own, self.other = (rows[c].to_numpy() for c in ("rep", "comp", "n", "own", "other"))
+        self.sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(len(self.rep), -1)
+
+    def pairs(self, both_ways: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, row, agreeing bytes), those of one row never in two parts."""
+        n, comp = self.n, self.comp
+        left = np.flatnonzero(self.own <= self.other)
+        right = left if (self.own == self.other).all() else np.flatnonzero(self.own >= self.other)
+        step = max(1, (1 << 17) // max(1, len(right)))
         for i in range(0, len(left), step):
             x = left[i : i + step]
             near = (comp[x, None] != comp[None, right]) & (100 * np.minimum(n[x, None], n[None, right]) >= SIMILAR * np.maximum(n[x, None], n[None, right]))
-            if right is left:
+            if right is left and not both_ways:
                 near &= x[:, None] < right[None]
             p, q = np.nonzero(near)
-            for k in range(0, len(p), 1 << 17):
-                u, v = x[p[k : k + (1 << 17)]], right[q[k : k + (1 << 17)]]
-                agree = (sig[u] == sig[v]).sum(1)
+            if len(p):
+                agree = (self.sig[x[p]] == self.sig[right[q]]).sum(1)
                 ok = agree >= AGREE
                 if ok.any():
-                    u, v = rep[u[ok]], rep[v[ok]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(agree[ok].astype(np.int64))], names=names)
+                    yield x[p[ok]], right[q[ok]], agree[ok]
+
+
+def _pairs(partners: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each row's most alike partners in its group: a dense group is joined without most of its pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in runs(batches):
+            group = _Group(rows)
+            for p, q, agree in group.pairs(both_ways=True):
+                o = np.lexsort((group.rep[q], -agree, p))
+                p, q, agree = p[o], q[o], agree[o]
+                turn = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+                few = np.arange(len(p)) - turn[np.searchsorted(turn, np.arange(len(p)), "right") - 1] < partners
+                u, v = group.rep[p[few]], group.rep[q[few]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(agree[few].astype(np.int64))], names=["a", "b", "agree"])
+
+    return run
+
+
+def _left(rows: pa.Table, group: _Group) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The group's pairs less those that meet in an earlier band too."""
+    bands = np.array(rows["bands"].to_pylist(), np.int64).reshape(len(group.rep), -1)
+    key = rows["key"].to_numpy()
+    for p, q, agree in group.pairs(both_ways=False):
+        for i in range(0, len(p), 1 << 14):
+            u, v, k = p[i : i + (1 << 14)], q[i : i + (1 << 14)], agree[i : i + (1 << 14)]
+            same = bands[u] == bands[v]
+            here = bands[u, same.argmax(1)] == key[u]
+            if here.any():
+                yield u[here], v[here], k[here]
+
+
+_ROW = "g long, key long, rep long, comp long, n long, sig binary, bands array<long>, own int, other int"
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that have any pair left in their group."""
+    for _, rows in runs(batches):
+        some = np.zeros(rows.num_rows, bool)
+        for p, q, _ in _left(rows, _Group(rows)):
+            some[p] = some[q] = True
+        if some.any():
+            yield from rows.filter(pa.array(some)).to_batches()
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a group, confirmed on full sets in the order of likeness, but for pairs that earlier ones have joined."""
+    for _, rows in runs(batches):
+        group = _Group(rows)
+        items = [np.asarray(x.values) for x in rows["items"]]
+        root = {int(c): int(c) for c in group.comp}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        a, b = [], []
+        for p, q, agree in _left(rows, group):
+            for i in np.argsort(-agree, kind="stable"):
+                u, v = int(p[i]), int(q[i])
+                x, y = find(int(group.comp[u])), find(int(group.comp[v]))
+                if x != y:
+                    shared = len(np.intersect1d(items[u], items[v], assume_unique=True))
+                    if 100 * shared >= SIMILAR * (len(items[u]) + len(items[v]) - shared):
+                        root[max(x, y)] = min(x, y)
+                        a.append(int(group.rep[u]))
+                        b.append(int(group.rep[v]))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -149,6 +224,20 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * shared >= SIMILAR * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
 
 
+def _dealt(members: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
+    """The rows of the buckets that hold several components, in groups (_ROW)."""
+    own = members.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("comp"))
+    mixed = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    own = own.join(mixed, "key", "left_semi").join(reps.select("rep", "n", "sig", "bands"), "rep")
+    return blocked(own, F.col("key"), F.col("size"), F.col("rep"), BLOCK).select("g", "key", "rep", "comp", "n", "sig", "bands", "own", "other").repartition("g").sortWithinPartitions("g")
+
+
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components with further links."""
+    links = written(links)
+    return comps if links.isEmpty() else written(components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -164,25 +253,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = written(_confirmed(first.select((-F.col("best.neg")).alias("a"), F.col("rep").alias("b")), sets))
     comps = written(components(links))
 
-    own = members.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("comp"))
-    mixed = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    own = own.join(mixed, "key", "left_semi").join(reps.select("rep", "n", "sig"), "rep")
-    dealt = blocked(own, F.col("key"), F.col("size"), F.col("rep"), BLOCK).select("g", "rep", "comp", "n", "sig", "own", "other").repartition("g").sortWithinPartitions("g")
-    found = written(dealt.mapInArrow(_pairs, "a long, b long, agree long").groupBy("a", "b").agg(F.max("agree").alias("agree")))
-    if not found.isEmpty():
+    tried = None
+    for partners in ROUNDS:
+        found = _dealt(members, comps, reps).drop("key", "bands").mapInArrow(_pairs(partners), "a long, b long, agree long").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+        if tried is not None:
+            found = found.join(tried, ["a", "b"], "left_anti")
         order = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agree"), "b"))
-        best = written(found.withColumn("k", order).where(F.col("k") <= PARTNERS).select("a", "b"))
-        links = links.union(written(_confirmed(best, sets)))
-        comps = written(components(links))
-        c = comps.select("id", "component")
-        rest = (
-            found.select("a", "b").join(best, ["a", "b"], "left_anti")
-            .join(c.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(c.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-            .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        )
-        last = written(_confirmed(rest, sets))
-        if not last.isEmpty():
-            comps = written(components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).union(last)))
+        found = written(found.withColumn("k", order).where(F.col("k") <= partners).select("a", "b"))
+        if not found.isEmpty():
+            tried = found if tried is None else tried.union(found)
+            comps = _joined(comps, _confirmed(found, sets))
+    rest = _dealt(members, comps, reps).mapInArrow(_open, _ROW).join(sets, "rep").repartition("g").sortWithinPartitions("g")
+    comps = _joined(comps, rest.mapInArrow(_settle, "a long, b long"))
     named = reps.select("digest", "rep").join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = prints.select("doc_id", "n", "digest").join(named, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
