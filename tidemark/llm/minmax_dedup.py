@@ -5,7 +5,7 @@ largest element under it, so 64 evaluations give a signature of 128 values, cut
 similarity 0.75 miss all bands with probability below 0.00001. Equal sets are first collapsed into one representative
 (their smallest doc_id), so copies are never paired. Links are then found in rounds, and pairs of texts already joined
 are skipped: first each representative with the bucket leader it shares most bands with, then within buckets that still
-hold several components the four most alike partners of each, in two rounds. Last, the texts of all pairs that are left meet in their first common bucket with their full sets,
+hold several components the most alike partner of each, in two rounds. Last, the texts of all pairs that are left meet in their first common bucket with their full sets,
 where pairs are confirmed in the task and only links leave it. In buckets pairs are compared by
 their signatures (one byte a value); only those whose estimate is not clearly too low (five standard errors) are
 confirmed on full sets. Buckets are dealt into blocks, so none is gathered whole. Nothing is dropped or capped.
@@ -33,8 +33,8 @@ PERMUTATIONS, BANDS = 64, 32
 #: Bytes of 128 that agree at least in a pair worth confirming: 0.75 less five standard errors of 0.038.
 AGREE = 72
 BLOCK = 1024
-#: Most alike partners that a text is confirmed against in each of the rounds before the last, which leaves none out.
-ROUNDS = (4, 4)
+#: Most alike partners a bucket that a text is confirmed against in each of the rounds before the last, which leaves none out.
+ROUNDS = (1, 1)
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
