@@ -45,7 +45,7 @@ REACH = 3
 EVENTS = ("insult", "targeted", "negated", "reported", "threat", "slur")
 HARM = "ITM"
 #: Arc weights before anything is learned, and the weight of no event.
-PRIOR, NOTHING = (4.0, 5.0, 0.5, 0.5, 4.0, 1.0), -3.0
+PRIOR, NOTHING = (4.0, 5.0, 0.5, 0.5, 5.0, 1.0), -3.0
 PER_CLASS = 4000
 #: A word or stem is learned if this share of the toxic sample holds it, so many times the share of the others that do;
 #: it is an insult rather than a slur if the others' share is at most LEARN_LEAK of it. At most LEARN_MOST are.
