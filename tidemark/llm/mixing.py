@@ -4,7 +4,8 @@ Tokens are summed per cell (source, language, topic): a partial aggregate, so a
 weights are then raked in turn to the target share of each source, language and topic until the marginals agree, and a
 document is kept with the probability weight * scale / tokens of its cell. The scale makes the expected kept tokens equal
 ``rate`` of all, with cells whose probability would pass 1 kept whole and the rest scaled up to make up for them. The
-draw is a hash of the id, so it is repeatable and independent of partitioning.
+draw is a hash of the id, so it is repeatable and independent of partitioning. The probabilities, a row a cell, are
+written first: Spark then knows their size, broadcasts them under its limit and shuffles documents only beyond it.
 
 Targets are shares by value, or where a dimension has none, its observed token shares to the power ``TEMPER``, so rare
 values are raised and frequent ones lowered.
@@ -22,6 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 DIMS = ("source", "lang", "topic")
 TEMPER, ITERATIONS, RATE, SEED = 0.5, 8, 0.6, "mix-1"
 #: topic by the first mark that a text holds; ``prose`` if none. A register rather than a subject: the corpus has no subjects.
@@ -83,14 +86,14 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rat
     """One row per document: doc_id, source, lang, topic, n_tokens, probability, sampled."""
     own = described(docs.select("doc_id", "text", "source", "lang")).drop("text")
     cells = own.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))
-    p = calibrated(rake(cells, targets), rate).select(*DIMS, "p")
+    p = written(calibrated(rake(cells, targets), rate).select(*DIMS, "p"))
     return own.join(p, list(DIMS)).select("doc_id", *DIMS, "n_tokens", F.round("p", 9).alias("probability"), (F.col("draw") < F.col("p")).alias("sampled"))
 
 
 def mixed_rows(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE) -> DataFrame:
     """The sampled rows of docs, with their columns as they are."""
     cells = described(docs.select("doc_id", "text", "source", "lang")).groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))
-    p = calibrated(rake(cells, targets), rate).select(*(F.col(d).alias("__mix_" + d) for d in DIMS), F.col("p").alias("__mix_p"))
+    p = written(calibrated(rake(cells, targets), rate)).select(*(F.col(d).alias("__mix_" + d) for d in DIMS), F.col("p").alias("__mix_p"))
     return described(docs, "__mix_").join(p, ["__mix_" + d for d in DIMS]).where(F.col("__mix_draw") < F.col("__mix_p")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
