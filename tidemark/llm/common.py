@@ -61,6 +61,18 @@ def _clean() -> None:
             _delete(spark, path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Arrow batches of at most size while the steps inside run: rows with whole sets or vectors are large."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True for rows whose crc32 of the id as text is divisible by 5; labels of those rows are never learned from."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

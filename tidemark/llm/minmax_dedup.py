@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocked, components, runs, written
+from .common import blocked, components, runs, small_batches, written
 
 WORDS, SIMILAR = 5, 75
 PERMUTATIONS, BANDS = 64, 32
@@ -240,6 +240,11 @@ def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    with small_batches(docs.sparkSession):
+        return _near_groups(docs, id_col, text_col)
+
+
+def _near_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = written(src.mapInArrow(_prints, _PRINTS))
     reps = written(prints.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
