@@ -9,14 +9,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import add, block
+
 NEIGHBOURS, WINDOW = 5, 1000
 
 
 def scaler(stream: DataFrame) -> DataFrame:
-    """idx, dim, x, mean, var: statistics of strictly earlier rows (population variance; null before there are any)."""
-    cells = stream.select("idx", F.posexplode("features").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
-    before = Window.partitionBy("dim").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    return cells.withColumns({"mean": F.avg("x").over(before), "var": F.var_pop("x").over(before)})
+    """idx, dim, x, mean, var: statistics of strictly earlier rows (population variance; null before there are any).
+
+    Blocks of rows are summed first and carried over, so a dimension isn't one task. Sums are of the distance to the
+    dimension's first value, which keeps the variance exact where values lie far from zero.
+    """
+    cells = stream.select("idx", F.posexplode("features").alias("dim", "x")).withColumns({"x": F.col("x").cast("double"), "b": block("idx")})
+    first = cells.groupBy("dim").agg(F.min_by("x", "idx").alias("at"))
+    moved = cells.join(first, "dim").withColumn("y", F.col("x") - F.col("at"))
+    sums = {"n": F.col("y").isNotNull().cast("long"), "s": F.col("y"), "q": F.col("y") * F.col("y")}
+    each = moved.groupBy("dim", "b").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
+    past, before = (Window.partitionBy(*by).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for by, o in ((("dim",), "b"), (("dim", "b"), "idx")))
+    carry = each.select("dim", "b", *(F.sum(k).over(past).alias(f"{k}0") for k in sums))
+    inside = moved.select("idx", "dim", "b", "x", "at", *(F.sum(v).over(before).alias(k) for k, v in sums.items()))
+    n, s, q = (add(F.col(f"{k}0"), F.col(k)) for k in sums)
+    mean = s / F.when(n > 0, n)
+    var = F.greatest(F.lit(0.0), q / F.when(n > 0, n) - mean * mean)
+    return inside.join(carry, ["dim", "b"]).select("idx", "dim", "x", (F.col("at") + mean).alias("mean"), F.when(n > 0, var).alias("var"))
 
 
 def neighbours(stream: DataFrame, k: int = NEIGHBOURS, window: int = WINDOW) -> DataFrame:
