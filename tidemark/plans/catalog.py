@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.config import Rule
 from tidemark.functions import color, draws, imaging, keys
 from tidemark.functions import text as words
+from tidemark.models import registry
 from tidemark.models.head import head_predictions
 from tidemark.operators import integrity, labels, neighbours, ordered, schedule, scoring
 from tidemark.sources import store
@@ -93,6 +94,12 @@ def pred_last_seen(spark: SparkSession, d: str) -> DataFrame:
     return last_seen(spark, d)
 
 
+@plan(f"WITH {_LAST} SELECT 'events' AS stream_id, idx, label, pred FROM p")
+def pred_plugin(spark: SparkSession, d: str) -> DataFrame:
+    own = events(spark, d).select(F.lit("events").alias("stream_id"), "idx", "label", F.col("value").alias("features"))
+    return registry.prequential(own, registry.load("last-seen"))
+
+
 _MAJOR = f"""{_s()}, r AS (SELECT idx, label, row_number() OVER (PARTITION BY label ORDER BY idx) AS rn, min(idx) OVER (PARTITION BY label) AS f FROM s),
 p AS (SELECT idx, label, (max({{'n': rn, 'f': -f, 'l': label}}) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)).l AS pred FROM r)"""
 
