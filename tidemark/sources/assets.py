@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import digest, glob_regex
 from tidemark.operators import integrity
+from tidemark.sources.store import checksums
 
 PIN = "path string, name string, sha256 string, license string, source string"
 CHUNK = 1 << 20
@@ -95,9 +96,8 @@ def url(release: str, name: Column) -> Column:
 def on_disk(spark: SparkSession, root: str) -> DataFrame:
     """path (relative to root), actual: the SHA-256 of every file below root."""
     base = urllib.parse.urlsplit(root).path.rstrip("/")
-    own = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     at = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
-    return own.select(F.substr(at, F.lit(len(base) + 2)).alias("path"), F.sha2("content", 256).alias("actual"))
+    return checksums(spark, root).select(F.substr(at, F.lit(len(base) + 2)).alias("path"), "actual")
 
 
 def due(own: DataFrame, files: DataFrame, release: str, force: bool = False) -> DataFrame:
