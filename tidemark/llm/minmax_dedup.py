@@ -33,6 +33,8 @@ PERMUTATIONS, BANDS = 64, 32
 #: Bytes of 128 that agree at least in a pair worth confirming: 0.75 less five standard errors of 0.038.
 AGREE = 72
 BLOCK = 1024
+#: Shingles that count as one row when a bucket is cut, so that a block's full sets are bounded in bytes too.
+ROW_ITEMS = 2048
 #: Most alike partners a bucket that a text is confirmed against in each of the rounds before the last, which leaves none out.
 ROUNDS = (1, 1)
 
@@ -248,8 +250,10 @@ def _near_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = written(src.mapInArrow(_prints, _PRINTS))
     reps = written(prints.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    rows = reps.select(F.explode("bands").alias("key"), "rep")
-    leaders = rows.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = reps.select(F.explode("bands").alias("key"), "rep", "n")
+    leaders = rows.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("many"), F.sum("n").alias("items")).where("many > 1")
+    leaders = leaders.select("key", "lead", F.greatest("many", F.ceil(F.col("items") / ROW_ITEMS)).alias("size"))
+    rows = rows.drop("n")
     members = written(rows.join(leaders, "key"))
     ids = members.select("rep").distinct()
     sets = written(src.join(ids, src.doc_id == ids.rep, "left_semi").mapInArrow(_sets, "rep long, items array<long>"))
