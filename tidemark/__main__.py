@@ -1,4 +1,4 @@
-"""python -m tidemark: font scans, arrival runs, model scores and asset checks, printed as tables."""
+"""python -m tidemark: font scans, arrival runs, drawn streams, model scores and asset checks, printed as tables."""
 
 from __future__ import annotations
 
@@ -6,13 +6,14 @@ import argparse
 import os
 import sys
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.models import registry
 from tidemark.operators import integrity, schedule, scoring
-from tidemark.sources import assets, fonts, store
+from tidemark.sources import assets, fonts, render, store
 
 
 def place(path: str) -> str:
@@ -35,6 +36,22 @@ def arrival(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return own.join(seen, "face_id", "left").fillna(0, "n").orderBy(F.desc("weight"), "face_id")
 
 
+def generate(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    c = config.load(a.config)
+    facts = store.write_stream(render.generate(spark, c, place(a.folder), a.n), place(a.out), a.shard_size, seed=c.seed)
+    return spark.createDataFrame([(facts["n_items"], facts["n_labels"], a.n - facts["n_items"])], "items long, labels long, skipped long")
+
+
+def preview(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    rows = render.preview(spark, config.load(a.config), place(a.folder), a.count).orderBy("idx").collect()
+    images = [np.frombuffer(r["image"]["data"], np.uint8).reshape(r["image"]["height"], r["image"]["width"], 3) for r in rows if r["image"]]
+    if not images:
+        raise ValueError(f"nothing was drawn: {rows[0]['error']}")
+    with open(a.out, "wb") as f:
+        f.write(render.png(render.sheet(images, a.columns)))
+    return spark.createDataFrame([(r["idx"], r["label"], r["meta"], r["error"]) for r in rows], "idx long, label string, meta string, error string")
+
+
 def recognize(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     own = store.read_stream(spark, place(a.stream), a.limit)
     features = F.col("features" if "features" in own.columns else "image")
@@ -71,6 +88,8 @@ def parser() -> argparse.ArgumentParser:
     manifest = ("manifest", {}), ("root", {}), ("--only", {})
     command("fonts-scan", fonts_scan, ("folder", {}), ("--charset", {"default": "ascii_alnum"}), ("--exclude", {"action": "append", "default": []}), ("--include-variable", {"action": "store_true"}), ("--json", {}))
     command("arrival", arrival, ("folder", {}), ("--config", {}), ("-n", {"type": int, "default": 50_000}))
+    command("generate", generate, ("folder", {}), ("out", {}), ("--config", {}), ("-n", {"type": int, "default": 10_000}), ("--shard-size", {"type": int, "default": store.SHARD}))
+    command("preview", preview, ("folder", {}), ("out", {}), ("--config", {}), ("--count", {"type": int, "default": 24}), ("--columns", {"type": int, "default": 6}))
     command("recognize", recognize, ("stream", {}), ("--model", {"default": "last-seen"}), ("--models", {}), ("--limit", {"type": int}))
     command("models-list", models_list, ("--models", {}))
     command("assets-status", assets_status, *manifest)

@@ -72,11 +72,11 @@ def named(table: bytes | None, ids: tuple[int, ...]) -> str | None:
     return None
 
 
-def _segments(t: bytes) -> set[int]:
-    """Code points of a map of format 4, glyph 0 and the closing segment left out."""
+def _segments(t: bytes) -> dict[int, int]:
+    """A map of format 4, glyph 0 and the closing segment left out."""
     n = struct.unpack_from(">H", t, 6)[0] // 2
     ends, starts, deltas, offsets = (struct.unpack_from(f">{n}H", t, at) for at in (14, 16 + 2 * n, 16 + 4 * n, 16 + 6 * n))
-    out = set()
+    out = {}
     for i in range(n):
         for c in range(starts[i], min(ends[i], 0xFFFE) + 1):
             glyph = c
@@ -85,38 +85,43 @@ def _segments(t: bytes) -> set[int]:
                 glyph = struct.unpack_from(">H", t, at)[0] if at + 2 <= len(t) else 0
                 if not glyph:
                     continue
-            if (glyph + deltas[i]) & 0xFFFF:
-                out.add(c)
+            if glyph := (glyph + deltas[i]) & 0xFFFF:
+                out.setdefault(c, glyph)
     return out
 
 
-def codepoints(table: bytes | None) -> list[int]:
-    """The mapped code points of the best Unicode map, sorted; none without one."""
+def glyphs(table: bytes | None) -> dict[int, int]:
+    """The glyph of each mapped code point of the best Unicode map; none without one."""
     if not table:
-        return []
+        return {}
     n = struct.unpack_from(">H", table, 2)[0]
     places = {(p, e): at for p, e, at in (struct.unpack_from(">HHI", table, 4 + 8 * i) for i in range(n))}
     best = next((places[m] for m in MAPS if m in places), None)
     if best is None:
-        return []
+        return {}
     t = table[best:]
     kind = struct.unpack_from(">H", t)[0]
     if kind == 0:
-        return [c for c, g in enumerate(t[6:262]) if g]
+        return {c: g for c, g in enumerate(t[6:262]) if g}
     if kind == 4:
-        return sorted(_segments(t))
+        return _segments(t)
     if kind == 6:
         first, count = struct.unpack_from(">HH", t, 6)
-        return [first + i for i, g in enumerate(struct.unpack_from(f">{count}H", t, 10)) if g]
+        return {first + i: g for i, g in enumerate(struct.unpack_from(f">{count}H", t, 10)) if g}
     if kind in (12, 13):
-        out: set[int] = set()
+        out: dict[int, int] = {}
         for i in range(struct.unpack_from(">I", t, 12)[0]):
             a, b, glyph = struct.unpack_from(">III", t, 16 + 12 * i)
             if b > 0x10FFFF:
                 raise ValueError("a code point beyond Unicode")
-            out.update(c for c in range(a, b + 1) if (glyph + c - a if kind == 12 else glyph))
-        return sorted(out)
-    return []
+            out.update((c, g) for c in range(a, b + 1) if (g := glyph + (c - a if kind == 12 else 0)))
+        return out
+    return {}
+
+
+def codepoints(table: bytes | None) -> list[int]:
+    """The mapped code points of the best Unicode map, sorted."""
+    return sorted(glyphs(table))
 
 
 def parsed(path: str, data: bytes) -> tuple:
