@@ -1,0 +1,37 @@
+"""Registered queries over whole texts and whole windows, on small tables against plain loops."""
+
+import re
+
+import numpy as np
+import pytest
+
+from tidemark.models.head import PER_CLASS
+from tidemark.operators import neighbours
+from tidemark.plans.catalog import ORACLES, PLANS
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    def put(**frames):
+        for name, df in frames.items():
+            df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        return str(tmp_path)
+
+    return put
+
+
+def by_sql(d, name, table):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW {table} AS FROM '{d}/{table}.parquet/*.parquet'")
+    return c.sql(ORACLES[name]).fetchall()
+
+
+def test_casing_of_long_texts(spark, tables):
+    texts = {i: "Straße ÉTÉ don't-stop " * 40 + "THE end" for i in range(4)}
+    d = tables(documents=spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    got = {r["i"]: r["text"] for r in PLANS["text_casing"](spark, d).collect()}
+    t = texts[0].replace("ß", "ss")
+    assert got == {0: t, 1: t.upper(), 2: t.lower(), 3: re.sub(r"[^\W\d_]+", lambda m: m[0].capitalize(), t)}
+    assert dict(by_sql(d, "text_casing", "documents")) == got
