@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import add, block
+from .ordered import add, block, ranked
 
 NEIGHBOURS, WINDOW = 5, 1000
 
@@ -37,23 +37,24 @@ def scaler(stream: DataFrame) -> DataFrame:
 def neighbours(stream: DataFrame, k: int = NEIGHBOURS, window: int = WINDOW) -> DataFrame:
     """idx, other, rank, distance of the k nearest among the ``window`` rows before each, the newer one on ties.
 
-    Rows meet by block: each goes to its own block of ``window`` rows and to the next, so every task holds two blocks at
+    The window counts rows, not values of idx, so gaps in idx don't shorten it. Rows meet by block: each goes to its own block of ``window`` rows and to the next, so every task holds two blocks at
     most whatever the stream's length. Each query is scaled with the statistics before it, its neighbours alike.
     Distances are rounded to 6 places before they are ordered.
     """
     scaled = scaler(stream).groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("dim", "x", "mean", "var"))).alias("c"))
     rows = scaled.select("idx", F.transform("c", lambda c: c["x"]).alias("x"), F.transform("c", lambda c: F.coalesce(c["mean"], F.lit(0.0))).alias("mean"), F.transform("c", lambda c: F.coalesce(F.sqrt(c["var"]), F.lit(0.0))).alias("sd"))
-    b = F.floor(F.col("idx") / window)
+    rows = ranked(rows, "idx", "pos")
+    b = F.floor(F.col("pos") / window)
     dealt = rows.withColumn("block", F.explode(F.array(b, b + 1)))
 
     def nearest(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("idx")
-        idx = p["idx"].to_numpy()
+        p = p.sort_values("pos")
+        idx, pos = p["idx"].to_numpy(), p["pos"].to_numpy()
         x, mean, sd = (np.array(p[c].tolist()) for c in ("x", "mean", "sd"))
         out = []
         z = np.divide(x - mean, sd, out=np.zeros_like(x), where=sd > 0)
-        for i in np.flatnonzero(idx // window == p["block"].iloc[0]):
-            at = np.flatnonzero((idx >= idx[i] - window) & (idx < idx[i]))
+        for i in np.flatnonzero(pos // window == p["block"].iloc[0]):
+            at = np.flatnonzero((pos >= pos[i] - window) & (pos < pos[i]))
             d = np.round(np.sqrt(((z[at] - z[i]) ** 2).sum(1)), 6)
             o = np.lexsort((-idx[at], d))[:k]
             out += [(idx[i], idx[at][j], r + 1, d[j]) for r, j in enumerate(o)]

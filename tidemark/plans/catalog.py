@@ -197,8 +197,8 @@ def running_scaler(spark: SparkSession, d: str) -> DataFrame:
 
 
 _KNN = f"""{_CELLS}, z AS (SELECT idx, dim, CASE WHEN var > 0 THEN (x - mean) / sqrt(var) ELSE 0 END AS z FROM sc),
-zl AS (SELECT idx, list(coalesce(z, 0) ORDER BY dim) AS z FROM z GROUP BY idx),
-dist AS (SELECT q.idx, c.idx AS other, round(list_distance(q.z, c.z), 6) AS dd FROM zl q JOIN zl c ON c.idx BETWEEN q.idx - 100 AND q.idx - 1),
+zl AS (SELECT idx, row_number() OVER (ORDER BY idx) AS pos, list(coalesce(z, 0) ORDER BY dim) AS z FROM z GROUP BY idx),
+dist AS (SELECT q.idx, c.idx AS other, round(list_distance(q.z, c.z), 6) AS dd FROM zl q JOIN zl c ON c.pos BETWEEN q.pos - {neighbours.WINDOW} AND q.pos - 1),
 nn AS (SELECT idx, other, row_number() OVER (PARTITION BY idx ORDER BY dd, other DESC) AS rank FROM dist QUALIFY rank <= 5)"""
 _VOTE = """v AS (SELECT nn.idx, e.label::VARCHAR AS their, count(*) AS n, min(rank) AS best FROM nn JOIN embeddings e ON e.vec_id = nn.other GROUP BY ALL),
 p AS (SELECT e.vec_id AS idx, e.label::VARCHAR AS label, t.their AS pred FROM embeddings e LEFT JOIN (SELECT idx, their FROM v QUALIFY row_number() OVER (PARTITION BY idx ORDER BY n DESC, best) = 1) t ON t.idx = e.vec_id)"""
@@ -206,12 +206,12 @@ p AS (SELECT e.vec_id AS idx, e.label::VARCHAR AS label, t.their AS pred FROM em
 
 @plan(f"WITH {_KNN} SELECT idx, other, rank::INT AS rank FROM nn")
 def knn_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.neighbours(vectors(spark, d), window=100).select("idx", "other", "rank")
+    return neighbours.neighbours(vectors(spark, d)).select("idx", "other", "rank")
 
 
 def knn(spark: SparkSession, d: str) -> DataFrame:
     own = vectors(spark, d)
-    return neighbours.vote(neighbours.neighbours(own, window=100), own)
+    return neighbours.vote(neighbours.neighbours(own), own)
 
 
 @plan(f"WITH {_KNN}, {_VOTE} SELECT idx, label, pred FROM p")
