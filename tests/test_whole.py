@@ -52,3 +52,10 @@ def test_neighbours_reach_back_a_thousand_rows_over_gaps(spark, tables):
         assert [got.get((ids[i], k + 1)) for k in range(len(near))] == [ids[-j] for _, j in near], i
     assert neighbours.WINDOW == 1000 and got[7 * 1020, 1] == 7 * 200 and got[7 * 1055, 1] != 7 * 3
     assert {(a, c): b for a, b, c in by_sql(d, "knn_neighbors", "embeddings")} == got
+
+
+def test_replay_buffer_keeps_the_heads_number_of_each_label(spark, tables):
+    d = tables(embeddings=spark.range(2 * PER_CLASS + 10).selectExpr("id as vec_id", "array(1f) as embedding", "cast(id % 2 as int) as label"))
+    got = {(r["label"], r["idx"], r["age"]) for r in PLANS["replay_buffer"](spark, d).collect()}
+    assert PER_CLASS == 400 and got == {(str(g), 2 * PER_CLASS + 8 + g - 2 * k, k + 1) for g in (0, 1) for k in range(PER_CLASS)}
+    assert set(by_sql(d, "replay_buffer", "embeddings")) == {(g, i, a) for g, i, a in got}

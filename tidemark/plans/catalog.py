@@ -11,7 +11,7 @@ from tidemark.config import Rule
 from tidemark.functions import color, draws, imaging, keys
 from tidemark.functions import text as words
 from tidemark.models import registry
-from tidemark.models.head import head_predictions
+from tidemark.models.head import PER_CLASS, head_predictions
 from tidemark.operators import integrity, labels, neighbours, ordered, schedule, scoring
 from tidemark.sources import store
 from tidemark.streaming import processors
@@ -224,10 +224,10 @@ def scores_knn(spark: SparkSession, d: str) -> DataFrame:
     return scoring.overall(scoring.confusion(knn(spark, d)))
 
 
-@plan("SELECT label::VARCHAR AS label, vec_id AS idx, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC)::INT AS age FROM embeddings QUALIFY age <= 40")
+@plan(f"SELECT label::VARCHAR AS label, vec_id AS idx, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC)::INT AS age FROM embeddings QUALIFY age <= {PER_CLASS}")
 def replay_buffer(spark: SparkSession, d: str) -> DataFrame:
     age = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("idx")))
-    return vectors(spark, d).select("label", "idx", age.alias("age")).where("age <= 40")
+    return vectors(spark, d).select("label", "idx", age.alias("age")).where(F.col("age") <= PER_CLASS)
 
 
 @plan()
