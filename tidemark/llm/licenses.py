@@ -1,15 +1,20 @@
 """License scan by the Dice coefficient of word bigrams, with DataFrame functions only.
 
-Each line of a text is normalised (A-Z in lower case, every run of other than a-z, 0-9 one blank) and its set of word
-bigrams compared with each licence template's. With threshold t, a template of b bigrams can match only lines of
-t/(2-t)*b to (2-t)/t*b of them, and a match shares at least t/(2-t)*b bigrams. The first bound prunes candidate
-templates by size; from the second, a line without any of a template's few anchor words, which together touch more
-bigrams than may be missing, cannot match it, so one search for all anchor words drops most lines unread. Both prunings
-lose nothing. Everything happens inside the row: no join, no shuffle, and the work is linear in the text. The
-templates are a fixed parameter of the plan.
-
-Defined cases: null, empty and one-word texts match nothing. Among templates of equal score the first by name is
-reported. Repeated rows and null ids are scanned like others. An empty template list matches nothing.
+The whole text is one sequence of words (A-Z in lower case, every run of other than a-z, 0-9 one blank, line ends
+included), so notices wrapped over lines and statements inside longer lines are found. A window of consecutive bigrams
+is compared, as a set, with each licence template's. With threshold t, a window that matches a template of b bigrams
+shares at least t/(2-t)*b with it; windows are at most (2-t)/t*b bigrams long, and only those that begin and end with a
+bigram of the template are looked at, for others score no better. Windows that match are taken best first (on ties that
+of the longer template, the first name, the first place, the shorter one), each if it shares no word with one taken.
+n_license_lines counts the lines with words of windows taken.
+
+A text without any of a template's few anchor words, which together touch more bigrams than may be missing, cannot
+match it, so one search for all anchor words drops most texts unread. Everything happens inside the row: no join, no
+shuffle, and for each template the windows are linear in the text. The templates are a fixed parameter of the plan.
+
+Defined cases: null, empty and one-word texts match nothing. Among windows taken of equal score the first by name is
+reported. Repeated rows and null ids are scanned like others. An empty template list matches nothing. A statement
+stretched by repeated words beyond the longest window is not bridged.
 """
 
 from __future__ import annotations
@@ -36,6 +41,7 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 THRESHOLD = 0.75
+_WINDOWS = "array<struct<score:double,size:int,rank:int,first:int,last:int>>"
 # Words to avoid as anchors.
 COMMON = frozenset("a an and any are at by following for in is made of on or source subject that the this to under use version with work you".split())
 
@@ -58,48 +64,73 @@ def anchors(grams: list[str], threshold: float) -> set[str]:
     return chosen
 
 
+def bounds(b: int, threshold: float) -> tuple[int, int]:
+    """(fewest bigrams shared, most bigrams in a window) of matches with a template of b bigrams."""
+    return max(1, math.ceil(threshold / (2 - threshold) * b - 1e-9)), math.floor((2 - threshold) / threshold * b + 1e-9)
+
+
 def licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, license (the best one, or null), dice (0 without), n_license_lines."""
     sets = {k: b for k, v in sorted((TEMPLATES if templates is None else templates).items()) if (b := bigrams_of(v))}
+    if not sets:
+        return docs.select("doc_id", F.lit(None).cast("string").alias("license"), F.lit(0.0).alias("dice"), F.lit(0).cast("long").alias("n_license_lines"))
     any_of = sorted(set().union(*(anchors(b, threshold) for b in sets.values())))
-    raw = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)
-    raw = F.filter(raw, lambda x: x.rlike("(?i)(?<![a-z0-9])(?:" + "|".join(any_of) + ")(?![a-z0-9])") if any_of else F.lit(False))
-    lines = F.transform(raw, lambda x: F.regexp_replace(F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
-    words = F.transform(lines, lambda x: F.filter(F.split(x, " ", -1), lambda w: w != ""))
-    words = F.filter(words, lambda w: F.size(w) > 1)
-    grams = F.transform(words, lambda w: F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))))
-
-    def score(g: Column, b: list[str]) -> Column:
-        n = F.size(g)
-        near = (n >= threshold / (2 - threshold) * len(b)) & (n <= (2 - threshold) / threshold * len(b))
-        return F.when(near, 2.0 * F.size(F.array_intersect(g, F.array(*map(F.lit, b)))) / (n + len(b))).otherwise(0.0)
-
-    def best(g: Column) -> Column:
-        """struct(dice, -rank): the larger one is the better template, the first by name on ties."""
-        own = [F.struct(score(g, b).alias("dice"), F.lit(-i).alias("rank")) for i, b in enumerate(sets.values())]
-        return F.array_max(F.array(*own)) if own else F.struct(F.lit(0.0).alias("dice"), F.lit(0).alias("rank"))
-
-    hits = F.filter(F.transform(grams, best), lambda x: x["dice"] >= threshold)
-    out = docs.select(F.col("doc_id"), hits.alias("hits")).select("doc_id", F.array_max("hits").alias("top"), F.size("hits").cast("long").alias("n_license_lines"))
-    name = reduce(lambda rest, x: F.when(F.col("top.rank") == -x[0], x[1]).otherwise(rest), enumerate(sets), F.lit(None).cast("string"))
-    return out.select("doc_id", name.alias("license"), F.round(F.coalesce("top.dice", F.lit(0.0)), 9).alias("dice"), "n_license_lines")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words_of = lambda x: F.filter(F.split(F.regexp_replace(x, "[^a-z0-9]+", " "), " ", -1), lambda w: w != "")
+    words = F.flatten(F.transform(F.split(low, "\n", -1), lambda x, i: F.transform(words_of(x), lambda w: F.struct(w.alias("w"), i.alias("line")))))
+    out = docs.select("doc_id", F.when(text.rlike("(?i)(?<![a-z0-9])(?:" + "|".join(any_of) + ")(?![a-z0-9])"), words).alias("words"))
+    n = F.size("words")
+    pairs = F.zip_with(F.slice("words", F.lit(1), n - 1), F.slice("words", F.lit(2), n - 1), lambda a, b: F.concat(a["w"], F.lit(" "), b["w"]))
+    out = out.select("doc_id", F.when(n > 1, F.transform("words", lambda x: x["line"])).alias("lines"), F.when(n > 1, pairs).alias("grams"))
+    # Places count from 1. Of all bigrams, those of any template first, then each template's own.
+    hits = F.filter(F.transform("grams", lambda g, p: F.struct((p + 1).alias("p"), g.alias("g"))), lambda h: h["g"].isin(sorted(set().union(*sets.values()))))
+    out = out.select("doc_id", "lines", "grams", hits.alias("hits"))
+    places = lambda b: F.transform(F.filter("hits", lambda h: h["g"].isin(b)), lambda h: h["p"])
+    out = out.select("doc_id", "lines", "grams", *(places(b).alias(f"own{i}") for i, b in enumerate(sets.values())))
+
+    def windows(i: int, b: list[str]) -> Column:
+        least, most = bounds(len(b), threshold)
+        own = F.col(f"own{i}")
+
+        def scored(first: Column, last: Column) -> Column:
+            g = F.slice("grams", first, last - first + 1)
+            dice = 2.0 * F.size(F.array_intersect(g, F.array(*map(F.lit, b)))) / (F.size(F.array_distinct(g)) + len(b))
+            return F.struct((-dice).alias("score"), F.lit(-len(b)).alias("size"), F.lit(i).alias("rank"), first.alias("first"), last.alias("last"))
+
+        begun = F.transform(own, lambda first, j: F.transform(F.filter(F.slice(own, j + least, F.lit(most)), lambda last: last - first < most), lambda last: scored(first, last)))
+        return F.when(F.size(own) >= least, F.filter(F.flatten(begun), lambda x: x["score"] <= -threshold)).otherwise(F.array().cast(_WINDOWS))
+
+    found = F.sort_array(F.concat(*(windows(i, b) for i, b in enumerate(sets.values()))))
+    meets = lambda x: lambda y: (y["first"] <= x["last"] + 1) & (x["first"] <= y["last"] + 1)
+    taken = F.aggregate(found, F.array().cast(_WINDOWS), lambda got, x: F.when(F.exists(got, meets(x)), got).otherwise(F.concat(got, F.array(x))))
+    out = out.select("doc_id", "lines", taken.alias("taken"))
+    out = out.select("doc_id", F.array_min(F.transform("taken", lambda x: F.struct(x["score"], x["rank"]))).alias("top"), F.size(F.array_distinct(F.flatten(F.transform("taken", lambda x: F.slice("lines", x["first"], x["last"] - x["first"] + 2))))).alias("n"))
+    name = reduce(lambda rest, x: F.when(F.col("top.rank") == x[0], x[1]).otherwise(rest), enumerate(sets), F.lit(None).cast("string"))
+    return out.select("doc_id", name.alias("license"), F.round(F.coalesce(-F.col("top.score"), F.lit(0.0)), 9).alias("dice"), F.greatest(F.lit(0), F.coalesce("n", F.lit(0))).cast("long").alias("n_license_lines"))
 
 
 def _sql() -> str:
     t = THRESHOLD
-    rows = ", ".join(f"('{k}', '{g}')" for k, v in sorted(TEMPLATES.items()) for g in bigrams_of(v))
+    sets = {k: bigrams_of(v) for k, v in sorted(TEMPLATES.items())}
+    rows = ", ".join(f"('{k}', '{g}')" for k, b in sets.items() for g in b)
+    sizes = ", ".join(f"('{k}', {len(b)}, {bounds(len(b), t)[0]}, {bounds(len(b), t)[1]})" for k, b in sets.items())
     return f"""
 WITH templates(license, g) AS (VALUES {rows}),
-sizes AS (SELECT license, count(*) AS b FROM templates GROUP BY license),
+sizes(license, b, fewest, longest) AS (VALUES {sizes}),
 lines AS (SELECT rid, line_no, list_filter(string_split(line, ' '), lambda x: x <> '') AS w FROM (
   SELECT rid, unnest(l) AS line, generate_subscripts(l, 1) AS line_no FROM (
     SELECT rowid AS rid, string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\n]+', ' ', 'g'), chr(10)) AS l
     FROM (SELECT row_number() OVER () AS rowid, text FROM (SELECT doc_id, text FROM documents ORDER BY doc_id))))),
-grams AS (SELECT DISTINCT rid, line_no, w[i] || ' ' || w[i + 1] AS g FROM (SELECT rid, line_no, w, unnest(range(1, len(w))) AS i FROM lines WHERE len(w) > 1)),
-counts AS (SELECT rid, line_no, count(*) AS n FROM grams GROUP BY ALL),
-shared AS (SELECT rid, line_no, license, count(*) AS k FROM grams JOIN templates USING (g) GROUP BY ALL),
-hits AS (SELECT rid, line_no, license, 2.0::DOUBLE * k / (n + b) AS dice FROM shared JOIN counts USING (rid, line_no) JOIN sizes USING (license) WHERE 2.0::DOUBLE * k / (n + b) >= {t}),
-top AS (SELECT rid, count(DISTINCT line_no) AS n_license_lines, (list(license ORDER BY dice DESC, license))[1] AS license, max(dice) AS dice FROM hits GROUP BY rid)
+words AS (SELECT rid, line_no, w, row_number() OVER (PARTITION BY rid ORDER BY line_no, i) AS p FROM (SELECT rid, line_no, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM lines)),
+grams AS (SELECT x.rid, x.p, x.w || ' ' || y.w AS g FROM words x JOIN words y ON x.rid = y.rid AND y.p = x.p + 1),
+own AS (SELECT rid, license, p, row_number() OVER (PARTITION BY rid, license ORDER BY p) AS r FROM grams JOIN templates USING (g)),
+near AS (SELECT x.rid, license, b, x.p AS f, y.p AS l FROM own x JOIN own y USING (rid, license) JOIN sizes USING (license) WHERE y.r >= x.r + fewest - 1 AND y.p - x.p < longest),
+scored AS (SELECT near.rid, near.license, b, f, l, 2.0::DOUBLE * count(DISTINCT grams.g) FILTER (templates.g IS NOT NULL) / (count(DISTINCT grams.g) + b) AS dice
+  FROM near JOIN grams ON grams.rid = near.rid AND grams.p BETWEEN f AND l LEFT JOIN templates ON templates.license = near.license AND templates.g = grams.g GROUP BY near.rid, near.license, b, f, l),
+best AS (SELECT rid, list([{{'license': license, 'dice': dice, 'f': f, 'l': l}}] ORDER BY dice DESC, b DESC, license, f, l) AS found FROM scored WHERE dice >= {t} GROUP BY rid),
+taken AS (SELECT rid, unnest(list_reduce(found, lambda got, x: CASE WHEN len(list_filter(got, lambda y: y.f <= x[1].l + 1 AND x[1].f <= y.l + 1)) > 0 THEN got ELSE got || x END)) AS m FROM best),
+top AS (SELECT rid, (list(m.license ORDER BY m.dice DESC, m.license))[1] AS license, max(m.dice) AS dice, count(DISTINCT line_no) AS n_license_lines FROM taken JOIN words USING (rid) WHERE p BETWEEN m.f AND m.l + 1 GROUP BY rid)
 SELECT doc_id, license, round(coalesce(dice, 0), 9) AS dice, coalesce(n_license_lines, 0)::BIGINT AS n_license_lines
 FROM (SELECT row_number() OVER () AS rid, doc_id FROM (SELECT doc_id FROM documents ORDER BY doc_id)) LEFT JOIN top USING (rid)"""
 
