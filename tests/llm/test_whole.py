@@ -3,7 +3,9 @@
 import random
 import re
 
-from tidemark.llm import licenses
+import numpy as np
+
+from tidemark.llm import embedding_dedup, licenses
 
 
 def brute_licences(text):
@@ -55,3 +57,17 @@ def test_licences_wrapped_and_embedded(spark, tmp_path):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/d/*.parquet'")
     assert {x[0]: x[1:] for x in c.sql(licenses.SQL).fetchall()} == got
+
+
+def test_embeddings_that_share_a_direction(spark):
+    r = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(0.83 * unit(r.standard_normal(64)) + 0.557 * unit(r.standard_normal((600, 64))))  # random pairs have cosine 0.69
+    side = r.standard_normal(x.shape)
+    side = unit(side - (side * x).sum(1, keepdims=True) * x)
+    all_of = np.vstack([x, 0.932 * x + np.sqrt(1 - 0.932**2) * side])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(all_of)], "vec_id long, embedding array<double>, label int")
+    want = (all_of @ all_of.T >= 0.93).sum(1) - 1
+    got = {q["vec_id"]: q["n_links"] for q in embedding_dedup.near_vectors(df).collect()}
+    found = np.array([got[i] for i in range(len(all_of))])
+    assert want.sum() >= 1200 and (found <= want).all() and found.sum() >= 0.98 * want.sum()
