@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from tidemark.llm import embedding_dedup, licenses
+from tidemark.llm import embedding_dedup, licenses, mixing
 
 
 def brute_licences(text):
@@ -71,3 +71,25 @@ def test_embeddings_that_share_a_direction(spark):
     got = {q["vec_id"]: q["n_links"] for q in embedding_dedup.near_vectors(df).collect()}
     found = np.array([got[i] for i in range(len(all_of))])
     assert want.sum() >= 1200 and (found <= want).all() and found.sum() >= 0.98 * want.sum()
+
+
+def test_raking_of_near_monolingual_sources(spark):
+    r = np.random.default_rng(6)
+    size = 10 ** r.uniform(4, 8, 20)
+    cells = [(f"s{i}", g, "prose", int(size[i] * (0.98 if k == i % 4 else 0.02 / 3)) + 1) for i in range(20) for k, g in enumerate(("de", "en", "es", "fr"))]
+    got = mixing.rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")).collect()
+    for d in ("source", "lang"):
+        tokens, w = {}, {}
+        for x in got:
+            tokens[x[d]] = tokens.get(x[d], 0) + x["tokens"]
+            w[x[d]] = w.get(x[d], 0) + x["w"]
+        goals = {k: n**mixing.TEMPER for k, n in tokens.items()}
+        assert max(abs(w[k] / (goals[k] / sum(goals.values())) - 1) for k in w) < 2 * mixing.TOLERANCE
+
+
+def test_raking_reports_targets_that_cannot_be_met(spark):
+    import pytest
+
+    cells = spark.createDataFrame([("a", "en", "prose", 100), ("b", "en", "prose", 100), ("c", "de", "prose", 100)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="off its target"):
+        assert mixing.rake(cells).count() == 3

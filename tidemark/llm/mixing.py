@@ -1,15 +1,18 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame functions only.
 
 Tokens are summed per cell (source, language, topic): a partial aggregate, so a hot source costs a row a task. The cell
-weights are then raked in turn to the target share of each source, language and topic until the marginals agree, and a
-document is kept with the probability weight * scale / tokens of its cell. The scale makes the expected kept tokens equal
+weights are then raked in turn to the target share of each source, language and topic until the marginals agree within
+TOLERANCE (the largest relative error of any), and a document is kept with the probability weight * scale / tokens of its cell. The scale makes the expected kept tokens equal
 ``rate`` of all, with cells whose probability would pass 1 kept whole and the rest scaled up to make up for them. The
 draw is a hash of the id, so it is repeatable and independent of partitioning. The probabilities, a row a cell, are
-written first: Spark then knows their size, broadcasts them under its limit and shuffles documents only beyond it.
+written first (raking writes them every ROUNDS rounds): Spark then knows their size, broadcasts them under its limit and shuffles documents only beyond it.
 
 Targets are shares by value, or where a dimension has none, its observed token shares to the power ``TEMPER``, so rare
 values are raised and frequent ones lowered.
 
+Targets that no weights on the cells at hand can meet never agree. Raking then ends when ROUNDS more rounds leave
+the error and all cells as they are, or after MOST rounds, and warns of the error that is left.
+
 Defined cases: a null source or language counts as ``unknown``, a null or empty text as one token, a null id draws by
 the empty string. A value without a target in an explicit dict has target 0 and is never kept; targets of values that no
 row has are spread over the others. Repeated rows draw alike. An empty table gives an empty result. Other columns,
@@ -18,15 +21,19 @@ whatever their names, are ignored or, in mixed_rows, kept.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 DIMS = ("source", "lang", "topic")
-TEMPER, ITERATIONS, RATE, SEED = 0.5, 8, 0.6, "mix-1"
+TEMPER, RATE, SEED = 0.5, 0.6, "mix-1"
+TOLERANCE, ROUNDS, MOST = 1e-6, 8, 800
+#: Raking has come to its end if ROUNDS rounds change the error by less than the first share and no cell by more than the second.
+STALL, MOVED = 1e-6, 1e-9
 #: topic by the first mark that a text holds; ``prose`` if none. A register rather than a subject: the corpus has no subjects.
 TOPICS = (("table", " | "), ("loud", "!!"), ("symbols", "$$$"), ("contact", "@"), ("web", "http"), ("licence", "icense"))
 BYTES_PER_TOKEN = 4
@@ -46,7 +53,7 @@ def described(docs: DataFrame, p: str = "") -> DataFrame:
     })
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, iterations: int = ITERATIONS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, tolerance: float = TOLERANCE, most: int = MOST) -> DataFrame:
     """cells (source, lang, topic, tokens) with w: the share of the mix, raked to the targets of every dimension."""
     every = Window.partitionBy(F.lit(1))
     own = cells.withColumn("w", F.col("tokens") / F.sum("tokens").over(every))
@@ -61,10 +68,23 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, i
     for d in DIMS:
         own = own.withColumn("part", F.col("goal_" + d) / F.count(F.lit(1)).over(Window.partitionBy(d)))
         own = own.withColumn("goal_" + d, F.col("goal_" + d) / F.sum("part").over(every)).drop("part")
-    for _ in range(iterations):
-        for d in DIMS:
-            own = own.withColumn("sum", F.sum("w").over(Window.partitionBy(d))).withColumn("w", F.when(F.col("sum") > 0, F.col("w") * F.col("goal_" + d) / F.col("sum")).otherwise(0.0)).drop("sum")
-    return own.select(*DIMS, "tokens", "w")
+    last = own.withColumn("err", F.lit(1.0))
+    err, before = 1.0, None
+    for done in range(ROUNDS, most + ROUNDS, ROUNDS):
+        own = last.drop("err").withColumn("w0", F.col("w"))
+        for _ in range(ROUNDS):
+            for d in DIMS:
+                own = own.withColumn("sum", F.sum("w").over(Window.partitionBy(d))).withColumn("w", F.when(F.col("sum") > 0, F.col("w") * F.col("goal_" + d) / F.col("sum")).otherwise(0.0)).drop("sum")
+        new = written(own.withColumn("err", F.greatest(*(F.when(F.col("goal_" + d) > 0, F.abs(F.sum("w").over(Window.partitionBy(d)) / F.col("goal_" + d) - 1)).otherwise(0.0) for d in DIMS))))
+        if before is not None:
+            discard(before)
+        before = last = new
+        was, (err, moved) = err, new.agg(F.max("err"), F.max(F.abs(F.col("w") - F.col("w0")))).first()
+        if err is None or err <= tolerance or (abs(was - err) <= STALL * err and moved <= MOVED):
+            break
+    if err is not None and err > tolerance:
+        warnings.warn(f"mixing: after {done} rounds a marginal is still {err:.2g} off its target", stacklevel=2)
+    return last.select(*DIMS, "tokens", "w")
 
 
 def calibrated(raked: DataFrame, rate: float = RATE) -> DataFrame:
@@ -103,14 +123,18 @@ def _sql() -> str:
     for d in DIMS:
         steps.append(f"{last}_{d} AS (SELECT * EXCLUDE (part), goal_{d} / sum(part) OVER () AS t_{d} FROM (SELECT *, goal_{d} / count(*) OVER (PARTITION BY {d}) AS part FROM {last}))")
         last = f"{last}_{d}"
-    k = 0
-    for _ in range(ITERATIONS):
-        for d in DIMS:
-            k += 1
-            steps.append(f"r{k} AS (SELECT * EXCLUDE (w, s), CASE WHEN s > 0 THEN w * t_{d} / s ELSE 0 END AS w FROM (SELECT *, sum(w) OVER (PARTITION BY {d}) AS s FROM {last}))")
-            last = f"r{k}"
+    at, round_ = last, f"(SELECT * REPLACE (CASE WHEN k % {ROUNDS} = 0 THEN w ELSE w0 END AS w0) FROM m)"
+    for d in DIMS:
+        round_ = f"(SELECT * REPLACE (CASE WHEN s > 0 THEN w * t_{d} / s ELSE 0 END AS w) FROM (SELECT * EXCLUDE (s), sum(w) OVER (PARTITION BY {d}) AS s FROM {round_}))"
+    off = ", ".join(f"CASE WHEN t_{d} > 0 THEN abs(sum(w) OVER (PARTITION BY {d}) / t_{d} - 1) ELSE 0 END" for d in DIMS)
+    cols = "source, lang, topic, tokens, " + ", ".join(f"t_{d}" for d in DIMS)
+    steps.append(f"""m AS (SELECT {cols}, w, 0::DOUBLE AS s, 0 AS k, 1::DOUBLE AS err, 2::DOUBLE AS was, w AS w0, 0::DOUBLE AS moved FROM {at}
+  UNION ALL
+  SELECT {cols}, w, s, k + 1, CASE WHEN (k + 1) % {ROUNDS} = 0 THEN max(e) OVER () ELSE err END, CASE WHEN (k + 1) % {ROUNDS} = 0 THEN err ELSE was END, w0, max(abs(w - w0)) OVER ()
+  FROM (SELECT *, greatest({off}) AS e FROM {round_}) WHERE k % {ROUNDS} <> 0 OR k = 0 OR (k < {MOST} AND err > {TOLERANCE} AND NOT (abs(was - err) <= {STALL} * err AND moved <= {MOVED})))""")
+    last = "(SELECT * FROM m WHERE k = (SELECT max(k) FROM m))"
     return f"""
-WITH own AS (
+WITH RECURSIVE own AS (
   SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, {topic} AS topic,
          greatest(1, strlen(t) // {BYTES_PER_TOKEN})::BIGINT AS n_tokens,
          ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / {1 << 52} AS draw
