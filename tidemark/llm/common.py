@@ -7,6 +7,7 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,24 +25,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) one made here."""
-    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
-        path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session (tests) gets one of its own; a cluster is an error."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + _local()
+
+
+@lru_cache(1)
+def _local() -> str:
+    return tempfile.mkdtemp(prefix="tidemark-")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, outlives lost executors, is deleted when the driver ends."""
+    """df as a table in the shared folder: cuts the lineage, outlives lost executors, is deleted by release() or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
-        atexit.register(_clean)
+        atexit.register(release)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Delete every written() table. For drivers that live long: call it when the results built so far are stored or no longer needed."""
+    while _written:
+        with contextlib.suppress(Exception):  # the session may have ended
+            _delete(*_written.pop())
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table of a written() result that nothing reads any more."""
     for spark, path in [x for x in _written if any(f.startswith(x[1]) for f in df.inputFiles()[:1])]:
@@ -55,12 +69,6 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def _clean() -> None:
-    for spark, path in _written:
-        with contextlib.suppress(Exception):  # the session may have ended
-            _delete(spark, path)
-
-
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
     """Arrow batches of at most size while the steps inside run: rows with whole sets or vectors are large."""
@@ -82,15 +90,16 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """(doc_id, text, label) of at most per_class training rows of each label, taken in the order of a hash of doc_id.
 
-    The join broadcasts ids and labels of the sample only, at most 2 * per_class rows whatever the input.
+    An id counts once: of several labels the smallest, of several texts the smallest. The join broadcasts ids and labels of
+    the sample only, at most 2 * per_class rows whatever the input.
     """
-    own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label"))
+    own = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label"))
     order = F.xxhash64("doc_id", F.lit(17))
     picked = None
     for value in (0, 1):
-        part = own.where(F.col("label") == value).dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(per_class)
+        part = own.where(F.col("label") == value).orderBy(order, "doc_id").limit(per_class)
         picked = part if picked is None else picked.union(part)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:

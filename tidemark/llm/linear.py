@@ -29,6 +29,24 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, weight: np.ndarr
     return (w[:-1], float(w[-1])) if bias else (w, 0.0)
 
 
+def logistic_towards(x: np.ndarray, y: np.ndarray, prior: np.ndarray, bias: float, pull: float, steps: int = 4000) -> tuple[np.ndarray, float]:
+    """(weights, bias) of logistic regression whose weights are not negative and are pulled towards prior, by accelerated projected gradient."""
+    w = v = np.append(prior, bias)
+    if not len(x):
+        return prior, bias
+    a = np.hstack([x, np.ones((len(x), 1))])
+    reg = np.append(np.full(len(prior), pull), 1e-6)
+    rate = 1 / (0.25 * np.linalg.eigvalsh(a.T @ a / len(a))[-1] + pull)
+    low, start = np.append(np.zeros(len(prior)), -np.inf), w
+    for k in range(steps):
+        new = np.maximum(low, v - rate * (a.T @ (sigmoid(a @ v) - y) / len(a) + reg * (v - start)))
+        v = new + k / (k + 3) * (new - w)
+        done, w = np.abs(new - w).max() < 1e-9, new
+        if done:
+            break
+    return w[:-1], float(w[-1])
+
+
 def svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 150) -> tuple[np.ndarray, float]:
     """(weights, bias) of a linear support vector machine with squared hinge loss, y in {-1, 1}, classes weighted alike, by accelerated gradient."""
     n, d = x.shape

@@ -4,10 +4,14 @@ Words map to symbols (insult, threat, target, negation, reporting verb, quote, o
 through the composition of three deterministic transducers: negation turns insults and threats in its reach into
 harmless ones, reported speech turns those that follow a reporting verb into quoted ones, and the target transducer
 joins what is left with a person addressed nearby, before or after. Its arcs emit matched events; a document's score is
-the logistic of the summed arc weights of its events, so isolated words weigh less than matched clauses. Arc weights,
-and insulting words and stems beyond the given ones, are learned from a bounded sample of labelled rows (``PER_CLASS``
-of each label) that are never held out. Learned entries that clean rows hardly hold become insults; those that are
-merely much more frequent in toxic rows become slurs, whose arc has a weight of its own.
+the logistic of the summed arc weights of its events (each by the logarithm of one more than its count).
+
+Arc weights, and insulting words and stems beyond the given ones, are learned from a bounded sample of labelled rows
+(``PER_CLASS`` of each label) that are never held out. Learning keeps the order of the grammar (``arcs``): what is
+negated or reported weighs no more than the same word alone, a targeted word no less; one targeted clause or threat is
+enough to pass 0.5, one isolated word is not. Weights are pulled towards the built-in ones, so arcs that the sample
+hardly takes keep theirs. Learned entries that clean rows hardly hold become insults; those that are merely much more
+frequent in toxic rows become slurs, whose arc has a weight of its own.
 
 Defined cases: null, empty and word-less texts match nothing and get the score of no event. A text is read whole,
 clause by clause. Repeated rows and null ids are scored like others. With no labels, or labels of one class only, the
@@ -28,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, labelled_sample, written
-from .linear import logistic, sigmoid
+from .linear import logistic_towards, sigmoid
 
 # Word lists of the grammar, by symbol.
 WORDS = {
@@ -39,13 +43,17 @@ WORDS = {
     "T": "kill murder strangle hurt destroy stab shoot beat crush hang tuer tuerai crever frapper töten umbringen schlagen matar mataré matarte golpear",
     "Y": "you your youre you're u he she they them him her these those everyone tu toi te vous ton ta tes du dich dir ihr euch dein deine tú te ti usted ustedes vosotros",
     "N": "not no never isn't aren't wasn't don't doesn't isnt arent ne pas jamais non nicht kein keine nie niemals nunca jamás",
-    "R": "said says say called quoted quote reported reports claimed claims wrote writes alleged according dit écrit déclaré sagte sagt schrieb behauptet dijo dice escribió según",
+    "R": "said says say saying called quoted quote reported reports claimed claims wrote writes alleged according word words term dit écrit déclaré mot sagte sagt schrieb behauptet wort dijo dice escribió según palabra",
 }
 REACH = 3
 EVENTS = ("insult", "targeted", "negated", "reported", "threat", "slur")
 HARM = "ITM"
 #: Arc weights before anything is learned, and the weight of no event.
-PRIOR, NOTHING = (4.0, 5.0, 0.5, 0.5, 5.0, 1.0), -3.0
+PRIOR, NOTHING = (3.5, 6.0, 0.5, 0.5, 6.0, 1.0), -3.0
+#: One targeted clause or threat scores at least the first, one isolated word at most the second.
+CLAUSE, ALONE = 0.7, 0.4
+#: How strongly weights are pulled towards the built-in ones.
+PULL = 1e-3
 PER_CLASS = 4000
 #: A word or stem is learned if this share of the toxic sample holds it, so many times the share of the others that do;
 #: it is an insult rather than a slur if the others' share is at most LEARN_LEAK of it. At most LEARN_MOST are.
@@ -212,21 +220,31 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "label"])
 
     got = sample.select("text", "label").mapInArrow(matched, "x array<double>, label int").toPandas()
-    x, y = np.array(got["x"].tolist()), got["label"].to_numpy(float)
-    # Deviations from the built-in weights are what is learned and shrunk: arcs that the sample never takes keep theirs.
-    base = np.array(PRIOR)
-    w, bias = logistic_around(x, y, base)
+    w, bias = arcs(np.array(got["x"].tolist()), got["label"].to_numpy(float))
     return Model(learned, without, tuple(w), bias)
 
 
-def logistic_around(x: np.ndarray, y: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression whose ridge pulls towards base: arcs with few events keep their built-in weight."""
-    seen = (x > 0).mean(0) >= 0.002
-    w = base.copy()
-    if seen.any():
-        w[seen], bias = logistic(x[:, seen], y, ridge=1e-3)
-        return w, bias
-    return w, NOTHING
+def arcs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weights, bias) of events x for labels y, in the order that the grammar gives them.
+
+    Every weight is a sum of parts that are not negative: an insult weighs what a negated and a reported one weigh and
+    more, a targeted insult and a threat what an insult weighs and more. The parts are fitted, pulled towards those of
+    PRIOR. Then targeted clauses and threats are lifted to CLAUSE and isolated words held to ALONE.
+    """
+    insult, targeted, negated, said, threat, slur = range(len(EVENTS))
+    parts = [(negated, insult, targeted, threat), (said, insult, targeted, threat), (insult, targeted, threat), (targeted,), (threat,), (slur,)]
+    to = np.zeros((len(EVENTS), len(parts)))
+    for k, events_of in enumerate(parts):
+        to[list(events_of), k] = 1
+    own, bias = logistic_towards(x @ to, y, np.maximum(np.linalg.solve(to, np.array(PRIOR)), 0), NOTHING, PULL)
+    w = to @ own
+    once = np.log1p(1)
+    for e in (targeted, threat):
+        w[e] = max(w[e], (np.log(CLAUSE / (1 - CLAUSE)) - bias) / once)
+    w[insult] = min(w[insult], (np.log(ALONE / (1 - ALONE)) - bias) / once)
+    for e in (negated, said):
+        w[e] = min(w[e], w[insult])
+    return w, bias
 
 
 def score_udf(model: Model) -> Callable[[Column], Column]:
