@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: ASCII white space, [\x20\x09-\x0D]; words are runs of other bytes, which is what bytes.split() gives.
 WHITE = b" \t\n\x0b\x0c\r"
 
+#: Spark's own setting: shuffle files are deleted when the execution that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -42,7 +45,8 @@ def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, outlives lost executors, is deleted by release() or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with settings(spark, CLEANUP, "true"):  # nothing reads its shuffles once it is written
+        df.write.parquet(path)
     if not _written:
         atexit.register(release)
     _written.append((spark, path))
@@ -70,15 +74,19 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
-    """Arrow batches of at most size while the steps inside run: rows with whole sets or vectors are large."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, size)
+def settings(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session while the steps inside run."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def small_batches(spark: SparkSession, size: str = "8m") -> contextlib.AbstractContextManager[None]:
+    """Arrow batches of at most size while the steps inside run: rows with whole sets or vectors are large."""
+    return settings(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:

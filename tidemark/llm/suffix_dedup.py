@@ -11,30 +11,33 @@ exactly a repeated window. The digits are chosen so that most suffixes never mov
 2. Second digit: the bytes of the whole run. Runs equal in both are repeated as a whole; all but those of the smallest
    doc_id are removed.
 3. Runs that share the anchor only may share some windows, if they also agree on 17 bytes before or after it: a window
-   holds that many on one side. The windows of such runs are sorted singly by the hash of their 50 bytes, in another
-   round over the texts that hold them.
+   holds that many on one side. The windows of such runs are sorted singly by their 50 bytes, in another round over the
+   texts that hold them.
+
+The digits stand for bytes: a digit of 50 bytes and more travels as a hash of it. Runs are told apart by 96 bits (48 of
+the anchor, 48 of the run), windows by 96 of two hashes with different multipliers; that two different ones agree
+anywhere among 10**13 has a probability of about 0.001. Bytes themselves would travel as 3.6 times the text.
 
 Records travel as compressed blobs of arrays, one a map chunk and bucket, and are sorted inside a bucket with numpy; the
-number of buckets follows the bytes of the input, so a bucket fits in memory at every size. Equality is decided by 96
-bits of hash for runs and 64 for windows. Intermediate results are tables in the shared folder.
+number of buckets follows the bytes of the input, so a bucket fits in memory at every size. Intermediate results are
+tables in the shared folder.
 
 Defined cases: a null or empty text has no bytes; texts under 50 bytes keep all. A null doc_id counts as larger than all
-others. Rows of one doc_id never remove each other's bytes and are taken to hold one text: what is found in one applies
-to all, within their lengths. Decisions are on the input, not on what is left. Other columns are ignored.
+others. Rows of one doc_id, or without one, never remove each other's bytes; each row is judged by its own text: rows
+that share an id and not a text, and rows without an id, are told apart by 64 bits of their text's hash (``twin``, 0
+where the id has one text). Decisions are on the input, not on what is left. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import runs, written
@@ -47,8 +50,8 @@ LAST = (1 << 63) - 1
 
 _rng = np.random.default_rng(50)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_M = int(_rng.integers(1 << 60, 1 << 62)) | 5
-_INV = pow(_M, -1, 1 << 64)
+#: Two odd multipliers with their inverses.
+_BASES = [(m, pow(m, -1, 1 << 64)) for m in (int(_rng.integers(1 << 60, 1 << 62)) | 5 for _ in range(2))]
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -71,9 +74,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Hashes:
     """Hashes of any substring of some bytes, from prefix sums of a polynomial hash."""
 
-    def __init__(self, raw: np.ndarray) -> None:
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * _power(_M, len(raw)))])
-        self.back = _power(_INV, len(raw) + 1)
+    def __init__(self, raw: np.ndarray, base: int = 0) -> None:
+        forth, back = _BASES[base]
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * _power(forth, len(raw)))])
+        self.back = _power(back, len(raw) + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mix((self.sums[end] - self.sums[start]) * self.back[start])
@@ -118,69 +122,71 @@ def pack(*columns: np.ndarray) -> bytes:
     return zstandard.compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns), 1)
 
 
-def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merged(doc: np.ndarray, twin: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Spans by document, those that overlap or touch joined."""
     if not len(doc):
-        return doc, start, end
-    o = np.lexsort((start, doc))
-    doc, start, end = doc[o], start[o], end[o]
-    turn = np.append(True, doc[1:] != doc[:-1])
+        return doc, twin, start, end
+    o = np.lexsort((start, twin, doc))
+    doc, twin, start, end = doc[o], twin[o], start[o], end[o]
+    turn = np.append(True, (doc[1:] != doc[:-1]) | (twin[1:] != twin[:-1]))
     # Ends of earlier spans, never across documents: each document's numbers are lifted above those before.
     lift = np.cumsum(turn) * (int(end.max()) + 1)
     high = np.maximum.accumulate(end + lift)
     new = turn | np.append(True, (start + lift)[1:] > high[:-1])
-    return doc[new], start[new], np.append(high[:-1][new[1:]], high[-1]) - lift[new]
+    return doc[new], twin[new], start[new], np.append(high[:-1][new[1:]], high[-1]) - lift[new]
 
 
-_SPAN = "doc_id long, kind int, s long, e long"
+_SPAN = "doc_id long, twin long, kind int, s long, e long"
 
 
-def _spans(kind: int, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(np.full(len(doc), kind, np.int32)), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64))], names=["doc_id", "kind", "s", "e"])
+def _spans(kind: int, doc: np.ndarray, twin: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(twin.astype(np.int64)), pa.array(np.full(len(doc), kind, np.int32)), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64))], names=["doc_id", "twin", "kind", "s", "e"])
 
 
 # Rows on their way to buckets: blobs of records, or, with bucket and blob null, spans that are settled.
-_DEALT = "bucket long, blob binary, n long, doc_id long, kind int, s long, e long"
-_DEALT_PA = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("n", pa.int64()), ("doc_id", pa.int64()), ("kind", pa.int32()), ("s", pa.int64()), ("e", pa.int64())])
+_DEALT = "bucket long, blob binary, n long, doc_id long, twin long, kind int, s long, e long"
+_DEALT_PA = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("n", pa.int64()), ("doc_id", pa.int64()), ("twin", pa.int64()), ("kind", pa.int32()), ("s", pa.int64()), ("e", pa.int64())])
 
 
-def _deal(keys: list[np.ndarray], extra: list[np.ndarray], doc: np.ndarray, s: np.ndarray, e: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def _deal(keys: list[np.ndarray], extra: list[np.ndarray], doc: np.ndarray, twin: np.ndarray, s: np.ndarray, e: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Records sorted and sent as blobs, but for those that a smaller doc_id of the chunk makes repeated: their spans are settled."""
-    o = np.lexsort((s, doc, *reversed(keys)))
-    keys, extra, doc, s, e = [k[o] for k in keys], [x[o] for x in extra], doc[o], s[o], e[o]
+    o = np.lexsort((s, twin, doc, *reversed(keys)))
+    once = np.append(True, np.any([x[o][1:] != x[o][:-1] for x in (*keys, doc, twin, s)], axis=0))  # equal rows deal once
+    o = o[once]
+    keys, extra, doc, twin, s, e = [k[o] for k in keys], [x[o] for x in extra], doc[o], twin[o], s[o], e[o]
     fresh = np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))
     left = doc == doc[fresh][np.cumsum(fresh) - 1]
     if not left.all():
-        b = _spans(0, *merged(doc[~left], s[~left], e[~left] + THRESHOLD))
+        b = _spans(0, *merged(doc[~left], twin[~left], s[~left], e[~left] + THRESHOLD))
         none = pa.nulls(b.num_rows)
         yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), *b.columns], schema=_DEALT_PA)
-    keys, extra, doc, s, e = [k[left] for k in keys], [x[left] for x in extra], doc[left], s[left], e[left]
+    keys, extra, doc, twin, s, e = [k[left] for k in keys], [x[left] for x in extra], doc[left], twin[left], s[left], e[left]
     to = (keys[0] >> np.uint64(40)).astype(np.int64) % buckets
     o = np.argsort(to, kind="stable")
     cuts = np.searchsorted(to[o], np.arange(buckets + 1))
     rows: list[tuple[int, bytes, int]] = []
     for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
         at = o[cuts[k] : cuts[k + 1]]
-        rows.append((int(k), pack(*(x[at] for x in keys), *(x[at] for x in extra), doc[at], s[at].astype(np.uint32), (e[at] - s[at]).astype(np.uint8)), len(at)))
+        rows.append((int(k), pack(*(x[at] for x in keys), *(x[at] for x in extra), doc[at], twin[at], s[at].astype(np.uint32), (e[at] - s[at]).astype(np.uint8)), len(at)))
     none = pa.nulls(len(rows))
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64())], schema=_DEALT_PA)
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64())], schema=_DEALT_PA)
 
 
-def _bucket(rows: pa.Table, kinds: list[type]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """The records of a bucket: keys and further columns of these kinds, doc, s, e."""
+def _bucket(rows: pa.Table, kinds: list[type]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The records of a bucket: keys and further columns of these kinds, doc, twin, s, e."""
     parts: list[list[np.ndarray]] = []
     for blob, n in zip(rows["blob"], rows["n"].to_pylist()):
         raw, at, own = zstandard.decompress(blob.as_py()), 0, []
-        for kind in [*kinds, np.int64, np.uint32, np.uint8]:
+        for kind in [*kinds, np.int64, np.int64, np.uint32, np.uint8]:
             own.append(np.frombuffer(raw, kind, n, at))
             at += own[-1].nbytes
         parts.append(own)
-    *cols, doc, s, wide = (np.concatenate(c) for c in zip(*parts))
-    return cols, doc, s.astype(np.int64), s.astype(np.int64) + wide
+    *cols, doc, twin, s, wide = (np.concatenate(c) for c in zip(*parts))
+    return cols, doc, twin, s.astype(np.int64), s.astype(np.int64) + wide
 
 
 def _settled(rows: pa.Table) -> pa.RecordBatch:
-    return pa.Table.combine_chunks(rows.select(["doc_id", "kind", "s", "e"])).to_batches()[0]
+    return pa.Table.combine_chunks(rows.select(["doc_id", "twin", "kind", "s", "e"])).to_batches()[0]
 
 
 def _sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,13 +194,13 @@ def _sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if bucket < 0:
             yield _settled(rows)
             continue
-        (anchor, whole, sides), doc, s, e = _bucket(rows, [np.uint64, np.uint64, np.uint32])
+        (anchor, whole, sides), doc, twin, s, e = _bucket(rows, [np.uint64, np.uint64, np.uint32])
         o = np.lexsort((doc, whole, anchor))
-        anchor, whole, sides, doc, s, e = anchor[o], whole[o], sides[o], doc[o], s[o], e[o]
+        anchor, whole, sides, doc, twin, s, e = (x[o] for x in (anchor, whole, sides, doc, twin, s, e))
         fresh = np.append(True, (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1]))
         gone = doc != doc[fresh][np.cumsum(fresh) - 1]
-        yield _spans(0, *merged(doc[gone], s[gone], e[gone] + THRESHOLD))
-        anchor, whole, sides, doc, s, e = (x[~gone] for x in (anchor, whole, sides, doc, s, e))
+        yield _spans(0, *merged(doc[gone], twin[gone], s[gone], e[gone] + THRESHOLD))
+        anchor, whole, sides, doc, twin, s, e = (x[~gone] for x in (anchor, whole, sides, doc, twin, s, e))
         # Runs that agree with a different run of another document on the anchor and one side go to the next pass.
         opened = np.zeros(len(doc), bool)
         for side in (sides >> np.uint32(16), sides & np.uint32(0xFFFF)):
@@ -206,7 +212,7 @@ def _sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for x in (whole[o], doc[o]):
                     several &= np.minimum.reduceat(x, start) != np.maximum.reduceat(x, start)
                 opened[o] |= np.repeat(several, np.diff(np.append(start, len(o))))
-        yield _spans(1, doc[opened], s[opened], e[opened])
+        yield _spans(1, doc[opened], twin[opened], s[opened], e[opened])
 
 
 def _sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,12 +220,12 @@ def _sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if bucket < 0:
             yield _settled(rows)
             continue
-        (window,), doc, s, _ = _bucket(rows, [np.uint64])
-        o = np.lexsort((doc, window))
-        window, doc, s = window[o], doc[o], s[o]
-        top = np.append(True, window[1:] != window[:-1])
+        (window, more), doc, twin, s, _ = _bucket(rows, [np.uint64, np.uint32])
+        o = np.lexsort((doc, more, window))
+        window, more, doc, twin, s = window[o], more[o], doc[o], twin[o], s[o]
+        top = np.append(True, (window[1:] != window[:-1]) | (more[1:] != more[:-1]))
         gone = doc != doc[top][np.cumsum(top) - 1]
-        yield _spans(0, *merged(doc[gone], s[gone], s[gone] + THRESHOLD))
+        yield _spans(0, *merged(doc[gone], twin[gone], s[gone], s[gone] + THRESHOLD))
 
 
 def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,11 +238,11 @@ class _Gather:
 
     def __init__(self, keys: int, extra: int, buckets: int) -> None:
         self.keys, self.extra, self.buckets = keys, extra, buckets
-        self.cols: list[list[np.ndarray]] = [[] for _ in range(keys + extra + 3)]
+        self.cols: list[list[np.ndarray]] = [[] for _ in range(keys + extra + 4)]
         self.held = 0
 
-    def add(self, columns: list[np.ndarray], doc: int, s: np.ndarray, e: np.ndarray, size: int) -> None:
-        for c, x in zip(self.cols, [*columns, np.full(len(s), doc, np.int64), s, e]):
+    def add(self, columns: list[np.ndarray], doc: int, twin: int, s: np.ndarray, e: np.ndarray, size: int) -> None:
+        for c, x in zip(self.cols, [*columns, np.full(len(s), doc, np.int64), np.full(len(s), twin, np.int64), s, e]):
             c.append(x)
         self.held += size
 
@@ -258,14 +264,6 @@ def _own(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.concatenate([[0], np.cumsum(sizes)]), [flat.field(i).to_numpy(zero_copy_only=False) for i in range(flat.type.num_fields)]
 
 
-def _free(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are written: its cleaner acts on what the JVM has collected."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def _finish(raw: bytes, spans: Iterable[tuple[int, int]]) -> tuple[int, int, int, str]:
     """(bytes, removed, maximal removed runs, SHA-256 of the rest)."""
     n, h, at, gone, count = len(raw), hashlib.sha256(), 0, 0, 0
@@ -298,52 +296,70 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return _repeats(docs, id_col, text_col)[1]
 
 
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(doc_id, twin, text) of all rows, null ids as LAST, and the bytes of all texts.
+
+    Texts are joined with the ids that have several of them only if there are such ids.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("own"), text.alias("text"))
+    per = written(src.groupBy("doc_id").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.sum(F.octet_length("text").cast("long")).alias("bytes")))
+    total = per.agg(F.sum("bytes")).first()[0] or 0
+    several = per.where((F.col("low") != F.col("high")) & (F.col("doc_id") != LAST)).select("doc_id", F.lit(True).alias("several"))
+    null = F.col("doc_id") == LAST
+    if not several.isEmpty():
+        src = src.join(several, "doc_id", "left")
+        null = null | F.col("several").isNotNull()
+    return src.select("doc_id", F.when(null, F.col("own")).otherwise(F.lit(0).cast("long")).alias("twin"), "text"), total
+
+
 def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    spark = docs.sparkSession
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    total = src.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    src, total = _identified(docs, id_col, text_col)
     buckets = 1 << max(10, (total // BUCKET).bit_length())
+    row = ["doc_id", "twin"]
 
     def deal_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _Gather(2, 1, buckets)
         for b in batches:
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1)):
+            for doc, twin, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 raw = t.as_py().encode("utf-8", "replace")
                 if len(raw) >= THRESHOLD:
                     for at, part in pieces(raw):
                         anchor, whole, sides, s, e = anchored_runs(part)
-                        got.add([anchor & np.uint64(0xFFFFFFFFFFFF0000), whole & np.uint64(0xFFFFFFFFFFFF), sides], doc, s + at, e + at, len(part))
+                        got.add([anchor & np.uint64(0xFFFFFFFFFFFF0000), whole & np.uint64(0xFFFFFFFFFFFF), sides], doc, twin, s + at, e + at, len(part))
                 if got.full():
                     yield from got.flush()
         yield from got.flush()
 
-    found = written(src.mapInArrow(deal_runs, _DEALT).repartition("bucket", F.coalesce("doc_id", F.lit(0))).sortWithinPartitions("bucket").mapInArrow(_sort_runs, _SPAN))
-    _free(spark)
+    def sorted_by_bucket(dealt: DataFrame) -> DataFrame:
+        return dealt.repartition("bucket", F.coalesce("doc_id", F.lit(0))).sortWithinPartitions("bucket")
+
+    found = written(sorted_by_bucket(src.mapInArrow(deal_runs, _DEALT)).mapInArrow(_sort_runs, _SPAN))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents without open runs are finished; the others keep their text."""
         for b in batches:
-            at, (kind, s, e) = _own(b.column(2))
+            at, (kind, s, e) = _own(b.column(3))
             rows, kept = [], []
-            for i, t in enumerate(b.column(1)):
+            for i, t in enumerate(b.column(2)):
                 own = slice(at[i], at[i + 1])
                 opened = bool(kind[own].any())
                 kept.append(i if opened else None)
                 rows.append((None,) * 4 if opened else _finish(t.as_py().encode("utf-8", "replace"), zip(s[own].tolist(), e[own].tolist())))
             cols = list(zip(*rows)) if rows else [[]] * 4
             kept = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).take(kept).cast(pa.string()), b.column(2).take(kept).cast(_FIRST.field(2).type), *(pa.array(c, f.type) for c, f in zip(cols, list(_FIRST)[3:]))], schema=_FIRST)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2).take(kept).cast(pa.string()), b.column(3).take(kept).cast(_FIRST.field(3).type), *(pa.array(c, f.type) for c, f in zip(cols, list(_FIRST)[4:]))], schema=_FIRST)
 
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "s", "e")).alias("own"))
-    state = written(src.join(spans, "doc_id", "left").select("doc_id", "text", "own").mapInArrow(first, "doc_id long, text string, own array<struct<kind:int,s:long,e:long>>, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
-    _free(spark)
-    opened = state.where("own is not null").select("doc_id", "text", "own")
+    # Equal rows share their spans, each once: a list is as long as one text has runs.
+    spans = found.groupBy(*row).agg(F.collect_set(F.struct("kind", "s", "e")).alias("own"))
+    state = written(src.join(spans, row, "left").select(*row, "text", "own").mapInArrow(first, "doc_id long, twin long, text string, own array<struct<kind:int,s:long,e:long>>, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    opened = state.where("own is not null").select(*row, "text", "own")
 
     def deal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _Gather(1, 0, buckets)
+        got = _Gather(2, 0, buckets)
         for b in batches:
-            offsets, (kind, starts, ends) = _own(b.column(2))
-            for i, (doc, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
+            offsets, (kind, starts, ends) = _own(b.column(3))
+            for i, (doc, twin, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2))):
                 raw = t.as_py().encode("utf-8", "replace")
                 own = np.arange(offsets[i], offsets[i + 1])
                 own = own[kind[own] == 1]
@@ -356,12 +372,13 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
                     np.add.at(mark, np.minimum(highs[inside] - at + 1, n), -1)
                     s = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
                     if len(s):
-                        got.add([Hashes(part).of(s, s + THRESHOLD)], doc, s + at, s + at, 8 * len(s))
+                        two = [Hashes(part, k).of(s, s + THRESHOLD) for k in range(2)]
+                        got.add([two[0], (two[1] >> np.uint64(32)).astype(np.uint32)], doc, twin, s + at, s + at, 8 * len(s))
                 if got.full():
                     yield from got.flush()
         yield from got.flush()
 
-    more = written(opened.mapInArrow(deal_windows, _DEALT).repartition("bucket", F.coalesce("doc_id", F.lit(0))).sortWithinPartitions("bucket").mapInArrow(_sort_windows, _SPAN))
+    more = written(sorted_by_bucket(opened.mapInArrow(deal_windows, _DEALT)).mapInArrow(_sort_windows, _SPAN))
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -374,8 +391,8 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
             cols = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(cols, list(_FINAL)[1:]))], schema=_FINAL)
 
-    added = more.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("new"))
-    rest = opened.join(added, "doc_id", "left").select("doc_id", "text", "own", "new").mapInArrow(last, _DONE)
+    added = more.groupBy(*row).agg(F.collect_set(F.struct("s", "e")).alias("new"))
+    rest = opened.join(added, row, "left").select("doc_id", "text", "own", "new").mapInArrow(last, _DONE)
     out = state.where("own is null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").union(rest)
     null = F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id")
     both = found.where("kind = 0").union(more).select(null, "s", "e")
@@ -383,4 +400,4 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 
 
 _FINAL = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-_FIRST = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("own", pa.list_(pa.struct([("kind", pa.int32()), ("s", pa.int64()), ("e", pa.int64())]))), *list(_FINAL)[1:]])
+_FIRST = pa.schema([("doc_id", pa.int64()), ("twin", pa.int64()), ("text", pa.string()), ("own", pa.list_(pa.struct([("kind", pa.int32()), ("s", pa.int64()), ("e", pa.int64())]))), *list(_FINAL)[1:]])
