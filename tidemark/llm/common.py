@@ -164,6 +164,20 @@ def runs(batches: Iterator[pa.RecordBatch], key: str = "g") -> Iterator[tuple[ob
         yield last, pa.Table.from_batches(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str = "g", rows: int = 1 << 14) -> Iterator[pa.Table]:
+    """The rows of a sorted partition in tables of about ``rows`` rows that cut no run of equal keys; a longer run is a table of its own."""
+    held: list[pa.Table] = []
+    n = 0
+    for _, t in runs(batches, key):
+        if held and n + t.num_rows > rows:
+            yield pa.concat_tables(held)
+            held, n = [], 0
+        held.append(t)
+        n += t.num_rows
+    if held:
+        yield pa.concat_tables(held)
+
+
 def blocked(rows: DataFrame, key: Column, size: Column, of: Column, most: int) -> DataFrame:
     """rows with the group column g: all pairs of a bucket meet in some group, and no group has much over 2 * most rows.
 
