@@ -150,9 +150,7 @@ _DEALT_PA = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("n", pa.i
 
 def _deal(keys: list[np.ndarray], extra: list[np.ndarray], doc: np.ndarray, twin: np.ndarray, s: np.ndarray, e: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Records sorted and sent as blobs, but for those that a smaller doc_id of the chunk makes repeated: their spans are settled."""
-    o = np.lexsort((s, twin, doc, *reversed(keys)))
-    once = np.append(True, np.any([x[o][1:] != x[o][:-1] for x in (*keys, doc, twin, s)], axis=0))  # equal rows deal once
-    o = o[once]
+    o = np.lexsort((doc, *reversed(keys)))
     keys, extra, doc, twin, s, e = [k[o] for k in keys], [x[o] for x in extra], doc[o], twin[o], s[o], e[o]
     fresh = np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))
     left = doc == doc[fresh][np.cumsum(fresh) - 1]
@@ -221,7 +219,10 @@ def _sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield _settled(rows)
             continue
         (window, more), doc, twin, s, _ = _bucket(rows, [np.uint64, np.uint32])
-        o = np.lexsort((doc, more, window))
+        o = np.lexsort((doc, window))
+        cuts = np.flatnonzero(np.append(True, window[o][1:] != window[o][:-1]))
+        if (np.minimum.reduceat(more[o], cuts) != np.maximum.reduceat(more[o], cuts)).any():  # the first hash alone does not part them
+            o = np.lexsort((doc, more, window))
         window, more, doc, twin, s = window[o], more[o], doc[o], twin[o], s[o]
         top = np.append(True, (window[1:] != window[:-1]) | (more[1:] != more[:-1]))
         gone = doc != doc[top][np.cumsum(top) - 1]
@@ -283,7 +284,7 @@ def _finish(raw: bytes, spans: Iterable[tuple[int, int]]) -> tuple[int, int, int
     return n, gone, count, h.hexdigest()
 
 
-_DONE = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_DONE = "doc_id long, twin long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,25 +297,31 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return _repeats(docs, id_col, text_col)[1]
 
 
-def _identified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """(doc_id, twin, text) of all rows, null ids as LAST, and the bytes of all texts.
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, twin, text) of all rows, null ids as LAST, and of all different rows; the bytes of all texts.
 
-    Texts are joined with the ids that have several of them only if there are such ids.
+    Texts are joined with the ids that several rows have only if there are such ids; only rows without an id and rows of
+    such ids are made different.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("own"), text.alias("text"))
-    per = written(src.groupBy("doc_id").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.sum(F.octet_length("text").cast("long")).alias("bytes")))
-    total = per.agg(F.sum("bytes")).first()[0] or 0
-    several = per.where((F.col("low") != F.col("high")) & (F.col("doc_id") != LAST)).select("doc_id", F.lit(True).alias("several"))
+    per = written(src.groupBy("doc_id").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")))
     null = F.col("doc_id") == LAST
-    if not several.isEmpty():
-        src = src.join(several, "doc_id", "left")
-        null = null | F.col("several").isNotNull()
-    return src.select("doc_id", F.when(null, F.col("own")).otherwise(F.lit(0).cast("long")).alias("twin"), "text"), total
+    some = per.agg(F.sum("bytes"), F.max(F.when(null, 1)), F.max(F.when(~null & (F.col("n") > 1), 1))).first()
+    again, parted = null, null
+    if some[2]:
+        src = src.join(per.where(~null & (F.col("n") > 1)).select("doc_id", (F.col("low") != F.col("high")).alias("parted")), "doc_id", "left")
+        again, parted = null | F.col("parted").isNotNull(), null | F.coalesce("parted", F.lit(False))
+    rows = src.select("doc_id", F.when(parted, F.col("own")).otherwise(F.lit(0).cast("long")).alias("twin"), "text", again.alias("again"))
+    every = rows.select("doc_id", "twin", "text")
+    if not some[1] and not some[2]:
+        return every, every, some[0] or 0
+    once = rows.where("again").groupBy("doc_id", "twin").agg(F.min("text").alias("text"))
+    return every, rows.where("not again").select("doc_id", "twin", "text").union(once), some[0] or 0
 
 
 def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    src, total = _identified(docs, id_col, text_col)
+    src, unique, total = _identified(docs, id_col, text_col)
     buckets = 1 << max(10, (total // BUCKET).bit_length())
     row = ["doc_id", "twin"]
 
@@ -334,7 +341,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     def sorted_by_bucket(dealt: DataFrame) -> DataFrame:
         return dealt.repartition("bucket", F.coalesce("doc_id", F.lit(0))).sortWithinPartitions("bucket")
 
-    found = written(sorted_by_bucket(src.mapInArrow(deal_runs, _DEALT)).mapInArrow(_sort_runs, _SPAN))
+    found = written(sorted_by_bucket(unique.mapInArrow(deal_runs, _DEALT)).mapInArrow(_sort_runs, _SPAN))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents without open runs are finished; the others keep their text."""
@@ -350,9 +357,9 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
             kept = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2).take(kept).cast(pa.string()), b.column(3).take(kept).cast(_FIRST.field(3).type), *(pa.array(c, f.type) for c, f in zip(cols, list(_FIRST)[4:]))], schema=_FIRST)
 
-    # Equal rows share their spans, each once: a list is as long as one text has runs.
-    spans = found.groupBy(*row).agg(F.collect_set(F.struct("kind", "s", "e")).alias("own"))
-    state = written(src.join(spans, row, "left").select(*row, "text", "own").mapInArrow(first, "doc_id long, twin long, text string, own array<struct<kind:int,s:long,e:long>>, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    # A list is as long as one text has runs: equal rows dealt theirs once.
+    spans = found.groupBy(*row).agg(F.collect_list(F.struct("kind", "s", "e")).alias("own"))
+    state = written(unique.join(spans, row, "left").select(*row, "text", "own").mapInArrow(first, "doc_id long, twin long, text string, own array<struct<kind:int,s:long,e:long>>, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
     opened = state.where("own is not null").select(*row, "text", "own")
 
     def deal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,22 +389,25 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            (at, (kind, s, e)), (to, (ns, ne)) = _own(b.column(2)), _own(b.column(3))
+            (at, (kind, s, e)), (to, (ns, ne)) = _own(b.column(3)), _own(b.column(4))
             rows = []
-            for i, t in enumerate(b.column(1)):
+            for i, t in enumerate(b.column(2)):
                 own, new = np.arange(at[i], at[i + 1]), slice(to[i], to[i + 1])
                 own = own[kind[own] == 0]
                 rows.append(_finish(t.as_py().encode("utf-8", "replace"), [*zip(s[own].tolist(), e[own].tolist()), *zip(ns[new].tolist(), ne[new].tolist())]))
             cols = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(cols, list(_FINAL)[1:]))], schema=_FINAL)
-
-    added = more.groupBy(*row).agg(F.collect_set(F.struct("s", "e")).alias("new"))
-    rest = opened.join(added, row, "left").select("doc_id", "text", "own", "new").mapInArrow(last, _DONE)
-    out = state.where("own is null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").union(rest)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, f.type) for c, f in zip(cols, list(_FINAL)[2:]))], schema=_FINAL)
+
+    added = more.groupBy(*row).agg(F.collect_list(F.struct("s", "e")).alias("new"))
+    rest = opened.join(added, row, "left").select(*row, "text", "own", "new").mapInArrow(last, _DONE)
+    out = state.where("own is null").select(*row, "n_bytes", "n_removed", "n_spans", "kept_sha256").union(rest)
+    if unique is not src:  # a result for every row again
+        out = src.select(*row).join(out, row)
+    out = out.drop("twin")
     null = F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id")
     both = found.where("kind = 0").union(more).select(null, "s", "e")
     return out.withColumn("doc_id", null), both
 
 
-_FINAL = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-_FIRST = pa.schema([("doc_id", pa.int64()), ("twin", pa.int64()), ("text", pa.string()), ("own", pa.list_(pa.struct([("kind", pa.int32()), ("s", pa.int64()), ("e", pa.int64())]))), *list(_FINAL)[1:]])
+_FINAL = pa.schema([("doc_id", pa.int64()), ("twin", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+_FIRST = pa.schema([("doc_id", pa.int64()), ("twin", pa.int64()), ("text", pa.string()), ("own", pa.list_(pa.struct([("kind", pa.int32()), ("s", pa.int64()), ("e", pa.int64())]))), *list(_FINAL)[2:]])
