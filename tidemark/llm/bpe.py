@@ -7,8 +7,8 @@ Fragments and pieces repeat, so both are kept in bounded caches, and a very long
 short fragments.
 
 The pattern engines can disagree only on characters newer than the oldest of their Unicode tables (compared over all
-code points). A text with a code point that Python's table calls unassigned is therefore encoded by the library as a
-whole.
+code points). Where a text holds a code point that Python's table calls unassigned, the library's own pre-tokeniser finds
+its pieces; they are cut and encoded like all others.
 
 Defined cases: null and empty texts give no tokens, and the digests of the empty string. Rows are independent: repeated
 rows, null ids and further columns change nothing.
@@ -67,7 +67,7 @@ class Codec:
         self.model = self.whole.model
         spec = json.loads(self.whole.to_str())
         self.letters = byte_letters()
-        back = {c: b for b, c in enumerate(self.letters)}
+        self.back = back = {c: b for b, c in enumerate(self.letters)}
         self.token_bytes: dict[int, bytes] = {}
         inside = set()
         for token, i in spec["model"]["vocab"].items():
@@ -104,8 +104,6 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text."""
-        if self._library(text):
-            return self.whole.encode(text, add_special_tokens=False).ids
         ids: list[int] = []
         for s in self._spans(text):
             if isinstance(s, int):
@@ -117,13 +115,20 @@ class Codec:
         return ids
 
     def _spans(self, text: str) -> Iterator[int | list[str]]:
+        """Ids of special strings, and the pieces between them."""
+        find = self._known if self._unassigned(text) else self.find
         for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if k % 2:
                 yield self.special[part]
             elif part:
-                yield self.find(part)
+                yield find(part)
 
-    def _library(self, text: str) -> bool:
+    def _known(self, text: str) -> list[str]:
+        """The pieces that the library's pre-tokeniser finds."""
+        return [bytes(self.back[c] for c in piece).decode() for piece, _ in self.whole.pre_tokenizer.pre_tokenize_str(text)]
+
+    @staticmethod
+    def _unassigned(text: str) -> bool:
         return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text))
 
     def decode(self, ids: list[int]) -> str:
@@ -132,9 +137,6 @@ class Codec:
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text)."""
         text = text or ""
-        if self._library(text):
-            ids = self.whole.encode(text, add_special_tokens=False).ids
-            return len(ids), _sha(",".join(map(str, ids)).encode()), _sha(self.decode(ids).encode())
         said, size, raw, get = [], 0, [], self.pieces.__getitem__
         for s in self._spans(text):
             if isinstance(s, int):

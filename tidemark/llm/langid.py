@@ -2,8 +2,9 @@
 
 Texts become hashed character n-grams (1 to 3, letters in lower case, everything else one space). One-versus-one linear
 support vector machines choose the family, further ones the language within it. Learned from a bounded sample of
-labelled rows, never held out: each row is taken with probability cap / (rows of its language), where cap is PER_LANG,
-or SAMPLE shared over the languages if that is less.
+labelled rows, never held out, of the MOST_LANGS languages with most rows (a tail of misspelt codes teaches nothing): each
+different (id, text) is taken with probability cap / (rows of its language), where cap is PER_LANG, or SAMPLE shared over
+the languages if that is less; twice SAMPLE rows are brought to the driver at most, by the order of their hashes.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; long texts are read whole. Rows without a
 language teach nothing but are predicted. With one language only it is predicted for all, without any every row is
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import held_out
 from .linear import sigmoid, svm
 
-DIMS, PER_LANG, SAMPLE = 4096, 700, 4000
+DIMS, PER_LANG, SAMPLE, MOST_LANGS = 4096, 700, 4000, 200
 # Language codes by family. A code in none of them is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -123,22 +124,26 @@ class Model:
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """Learned from docs (doc_id, text, lang); what comes to the driver is one count a language and SAMPLE vectors or so."""
+    """Learned from docs (doc_id, text, lang); what comes to the driver is MOST_LANGS counts and 2 * SAMPLE vectors at most."""
     own = docs.where(F.col("lang").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
     if not sizes:
         return Model(np.zeros((0, DIMS), np.float32), [])
     cap = max(1, min(per_lang, SAMPLE // len(sizes)))
     rate = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, cap / n))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
+    # The text takes part in the draw, so rows without an id are drawn apart; equal rows are drawn once.
+    at = F.xxhash64("doc_id", "text", F.lit(29))
+    draw = F.pmod(at, F.lit(1 << 30)) / float(1 << 30)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, g, vector(t).tobytes()) for i, t, g in zip(*(c.to_pylist() for c in b.columns)) if has_letter(t)]
+            rows = [(i, g, vector(t).tobytes()) for _, t, g, i in zip(*(c.to_pylist() for c in b.columns)) if has_letter(t)]
             cols = list(zip(*rows)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary())], names=["doc_id", "lang", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary())], names=["at", "lang", "v"])
 
-    got = own.where(draw < rate[F.col("lang")]).select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, v binary").toPandas().sort_values(["doc_id", "lang"])
+    picked = own.where(draw < rate[F.col("lang")]).select("doc_id", "text", "lang", at.alias("at")).groupBy("at", "lang").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    picked = picked.orderBy("at", "lang").limit(2 * SAMPLE)
+    got = picked.select("doc_id", "text", "lang", "at").mapInArrow(run, "at long, lang string, v binary").toPandas().sort_values(["at", "lang"])
     x = np.frombuffer(b"".join(got["v"]), np.float32).reshape(-1, DIMS)
     return Model(x, got["lang"].tolist())
 
