@@ -1,14 +1,18 @@
 """Near-dedup by min-max hashing over word shingles, with every link confirmed on full sets.
 
 A text's set holds the hashes of its distinct 5-word shingles. Each permutation gives two values, the smallest and the
-largest element under it, so 64 evaluations give a signature of 128 values, cut into 32 bands of 4. Two texts of
-similarity 0.75 miss all bands with probability below 0.00001. Equal sets are first collapsed into one representative
+largest element under it, so 64 evaluations give a signature of 128 values, cut into 32 bands of 4. Two large sets of
+similarity 0.75 miss all bands with probability below 0.00001. In small sets minimum and maximum depend on each other, so
+sets of up to SMALL shingles have exact keys besides: of n shingles the floor(n / 4) + 1 smallest hashes, of which two
+sets of similarity 0.75 or more always have one in common. Equal sets are first collapsed into one representative
 (their smallest doc_id), so copies are never paired. Links are then found in rounds, and pairs of texts already joined
 are skipped: first each representative with the bucket leader it shares most bands with, then within buckets that still
 hold several components the most alike partner of each, in two rounds. Last, the texts of all pairs that are left meet in their first common bucket with their full sets,
 where pairs are confirmed in the task and only links leave it. In buckets pairs are compared by
-their signatures (one byte a value); only those whose estimate is not clearly too low (five standard errors) are
-confirmed on full sets. Buckets are dealt into blocks, so none is gathered whole. Nothing is dropped or capped.
+their signatures (one byte a value); only those whose estimate is not clearly too low (six and a half standard errors, a
+chance of 4e-11) are confirmed on full sets. Buckets are dealt into blocks, so none is gathered whole: the rows of a
+bucket's largest component go to one block each, all others to every block, so a large bucket that is all but joined
+costs its rows once. Nothing is dropped or capped.
 
 Defined cases: texts that are null, empty or without words have n_shingles 0 and link with nothing. A text of fewer
 than five words is one shingle. Repeated rows are copies of each other, with the same component_id and, if it is theirs,
@@ -26,12 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocked, components, runs, small_batches, written
+from .common import components, runs, small_batches, written
 
 WORDS, SIMILAR = 5, 75
 PERMUTATIONS, BANDS = 64, 32
-#: Bytes of 128 that agree at least in a pair worth confirming: 0.75 less five standard errors of 0.038.
-AGREE = 72
+#: Bytes of 128 that agree at least in a pair worth confirming: 0.75 less six and a half standard errors of 0.038.
+AGREE = 64
+#: Shingles up to which a set has exact keys, and the most such keys. Pairs are exact where the smaller set has 3/4 of SMALL.
+SMALL = 24
+EXACT = SMALL // 4 + 1
 BLOCK = 1024
 #: Shingles that count as one row when a bucket is cut, so that a block's full sets are bounded in bytes too.
 ROW_ITEMS = 2048
@@ -93,6 +100,11 @@ def banded(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def exact_keys(s: np.ndarray) -> np.ndarray:
+    """Of a small set's sorted hashes the first floor(n / 4) + 1, as keys; none of a large set."""
+    return _mix(s[: len(s) // 4 + 1] ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64) if len(s) <= SMALL else np.zeros(0, np.int64)
+
+
 def short(sig: np.ndarray) -> bytes:
     return (_mix(sig.ravel()) >> np.uint64(56)).astype(np.uint8).tobytes()
 
@@ -109,7 +121,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(s):
                 m = signature(s)
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
-                bands.append(banded(m))
+                bands.append(np.concatenate([banded(m), exact_keys(s)]))
                 sig.append(short(m))
             else:
                 digest.append(None), bands.append(None), sig.append(None)
@@ -167,14 +179,23 @@ def _pairs(partners: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 def _left(rows: pa.Table, group: _Group) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The group's pairs less those that meet in an earlier band too."""
-    bands = np.array(rows["bands"].to_pylist(), np.int64).reshape(len(group.rep), -1)
+    """The group's pairs less those that meet in an earlier band too, or in a smaller exact key."""
+    bands, exact = np.zeros((len(group.rep), BANDS), np.int64), np.zeros((len(group.rep), EXACT), np.int64)
+    for i, own in enumerate(rows["bands"]):
+        own = own.values.to_numpy()
+        bands[i], exact[i, : len(own) - BANDS] = own[:BANDS], own[BANDS:]
     key = rows["key"].to_numpy()
     for p, q, agree in group.pairs(both_ways=False):
         for i in range(0, len(p), 1 << 14):
             u, v, k = p[i : i + (1 << 14)], q[i : i + (1 << 14)], agree[i : i + (1 << 14)]
             same = bands[u] == bands[v]
-            here = bands[u, same.argmax(1)] == key[u]
+            banded_too = same.any(1)
+            first = bands[u, same.argmax(1)]
+            if not banded_too.all():
+                both = (exact[u][:, :, None] == exact[v][:, None, :]) & (exact[u] != 0)[:, :, None]
+                common = np.where(both.any(2), exact[u], np.iinfo(np.int64).max).min(1)
+                first = np.where(banded_too, first, common)
+            here = first == key[u]
             if here.any():
                 yield u[here], v[here], k[here]
 
@@ -227,11 +248,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _dealt(members: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
-    """The rows of the buckets that hold several components, in groups (_ROW)."""
-    own = members.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("comp"))
-    mixed = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    own = own.join(mixed, "key", "left_semi").join(reps.select("rep", "n", "sig", "bands"), "rep")
-    return blocked(own, F.col("key"), F.col("size"), F.col("rep"), BLOCK).select("g", "key", "rep", "comp", "n", "sig", "bands", "own", "other").repartition("g").sortWithinPartitions("g")
+    """The rows of the buckets that hold several components, in groups (_ROW).
+
+    Only pairs of different components matter. A bucket's largest component is cut into blocks; all other rows of the
+    bucket meet each of them, and each other in blocks of their own.
+    """
+    own = members.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    size = F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n") / ROW_ITEMS)).alias("size")
+    parts = own.groupBy("key", "comp").agg(size)
+    mixed = parts.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    own = own.join(mixed.select("key", "top", "all"), "key").join(reps.select("rep", "sig", "bands"), "rep")
+    whole = F.col("all") <= BLOCK
+    major = F.col("comp") == F.col("top.comp")
+    blocks = F.ceil(F.col("top.size") / BLOCK).cast("int")
+    rest = F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top.size")) / BLOCK)).cast("int")
+    at = lambda k: F.pmod(F.xxhash64("rep", F.lit(3)), k).cast("int")
+    place = lambda kind, x, y, mine, its: F.struct(F.lit(kind).alias("kind"), x.cast("int").alias("x"), y.cast("int").alias("y"), mine.cast("int").alias("own"), its.cast("int").alias("other"))
+    none, one = F.lit(0), F.lit(1)
+    against = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: place(1, i, none, none, one))
+    among = F.transform(F.sequence(F.lit(0), rest - 1), lambda i: place(2, F.least(at(rest), i), F.greatest(at(rest), i), at(rest), i))
+    places = F.when(whole, F.array(place(0, none, none, none, none))).when(major, F.array(place(1, at(blocks), none, one, none))).otherwise(F.concat(against, among))
+    dealt = own.withColumn("p", F.explode(places)).withColumn("g", F.xxhash64("key", "p.kind", "p.x", "p.y"))
+    return dealt.select("g", "key", "rep", "comp", "n", "sig", "bands", "p.own", "p.other").repartition("g").sortWithinPartitions("g")
 
 
 def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -251,9 +289,7 @@ def _near_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     prints = written(src.mapInArrow(_prints, _PRINTS))
     reps = written(prints.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     rows = reps.select(F.explode("bands").alias("key"), "rep", "n")
-    leaders = rows.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("many"), F.sum("n").alias("items")).where("many > 1")
-    leaders = leaders.select("key", "lead", F.greatest("many", F.ceil(F.col("items") / ROW_ITEMS)).alias("size"))
-    rows = rows.drop("n")
+    leaders = rows.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "lead")
     members = written(rows.join(leaders, "key"))
     ids = members.select("rep").distinct()
     sets = written(src.join(ids, src.doc_id == ids.rep, "left_semi").mapInArrow(_sets, "rep long, items array<long>"))
