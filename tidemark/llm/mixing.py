@@ -3,10 +3,15 @@
 Tokens are summed per cell (source, language, topic): a partial aggregate, so a hot source costs a row a task. The cell
 weights are then raked in turn to the target share of each source, language and topic until the marginals agree within
 TOLERANCE (the largest relative error of any), and a document is kept with the probability weight * scale / tokens of its cell. The scale makes the expected kept tokens equal
-``rate`` of all, with cells whose probability would pass 1 kept whole and the rest scaled up to make up for them. The
+``rate`` of all, with cells whose probability would pass 1 kept whole and the rest scaled up to make up for them. No task
+holds all cells, only those of one value of a dimension, which are as many as the combinations of the other two, not as
+the documents; single numbers alone reach the driver. The
 draw is a hash of the id, so it is repeatable and independent of partitioning. The probabilities, a row a cell, are
 written first (raking writes them every ROUNDS rounds): Spark then knows their size, broadcasts them under its limit and shuffles documents only beyond it.
 
+A document's topic is the subject of which it holds most different words (SUBJECTS, the first on ties); a text without
+any such word has a register by its marks instead (MARKS), ``prose`` if it has none.
+
 Targets are shares by value, or where a dimension has none, its observed token shares to the power ``TEMPER``, so rare
 values are raised and frequent ones lowered.
 
@@ -34,13 +39,30 @@ TEMPER, RATE, SEED = 0.5, 0.6, "mix-1"
 TOLERANCE, ROUNDS, MOST = 1e-6, 8, 800
 #: Raking has come to its end if ROUNDS rounds change the error by less than the first share and no cell by more than the second.
 STALL, MOVED = 1e-6, 1e-9
-#: topic by the first mark that a text holds; ``prose`` if none. A register rather than a subject: the corpus has no subjects.
-TOPICS = (("table", " | "), ("loud", "!!"), ("symbols", "$$$"), ("contact", "@"), ("web", "http"), ("licence", "icense"))
+# Words that tell a subject, between blanks and in lower case.
+SUBJECTS = {
+    "computing": "algorithm browser byte cache compiler database download email keyboard laptop network password program server software website",
+    "finance": "bank bond budget credit currency debt dividend income inflation interest investment invoice loan mortgage shares tax",
+    "health": "blood cancer clinic diagnosis disease doctor dose hospital infection nurse patient surgery symptoms therapy treatment vaccine",
+    "law": "appeal attorney contract court criminal defendant evidence judge jury lawsuit lawyer legal plaintiff sentence testimony verdict",
+    "science": "atom biology cell chemistry electron energy experiment galaxy gene hypothesis laboratory molecule physics planet protein theory",
+    "sport": "athlete ball championship coach cup defeat football goal league match player score season stadium team tournament",
+}
+#: Registers of texts without a subject, by the first mark that they hold.
+MARKS = (("table", " | "), ("loud", "!!"), ("symbols", "$$$"), ("contact", "@"), ("web", "http"), ("licence", "icense"))
 BYTES_PER_TOKEN = 4
 
 
 def topic_of(text: Column) -> Column:
-    return reduce(lambda rest, t: F.when(text.contains(t[1]), t[0]).otherwise(rest), reversed(TOPICS), F.lit("prose"))
+    register = reduce(lambda rest, t: F.when(text.contains(t[1]), t[0]).otherwise(rest), reversed(MARKS), F.lit("prose"))
+    told = F.array_intersect(F.split(F.lower(text), " ", -1), F.array(*(F.lit(w) for own in SUBJECTS.values() for w in own.split())))
+
+    def best(words: Column) -> Column:
+        counts = F.array(*(F.struct(F.size(F.array_intersect(words, F.array(*map(F.lit, own.split())))).alias("n"), F.lit(-i).alias("turn"), F.lit(k).alias("topic")) for i, (k, own) in enumerate(SUBJECTS.items())))
+        return F.when(F.size(words) > 0, F.array_max(counts)["topic"]).otherwise(register)
+
+    # Bound once by a transform, so that the text is split once.
+    return F.element_at(F.transform(F.array(told), best), 1)
 
 
 def described(docs: DataFrame, p: str = "") -> DataFrame:
@@ -53,36 +75,40 @@ def described(docs: DataFrame, p: str = "") -> DataFrame:
     })
 
 
+def summed(cells: DataFrame, d: str, value: str, name: str) -> DataFrame:
+    return cells.groupBy(d).agg(F.sum(value).alias(name))
+
+
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, tolerance: float = TOLERANCE, most: int = MOST) -> DataFrame:
     """cells (source, lang, topic, tokens) with w: the share of the mix, raked to the targets of every dimension."""
-    every = Window.partitionBy(F.lit(1))
-    own = cells.withColumn("w", F.col("tokens") / F.sum("tokens").over(every))
+    cells = written(cells.withColumn("tokens", F.col("tokens").cast("double")))
+    total = cells.agg(F.sum("tokens")).first()[0]
+    if total is None:
+        return cells.withColumn("w", F.lit(0.0))
+    own = cells.withColumn("w", F.col("tokens") / total)
     for d in DIMS:
-        at = Window.partitionBy(d)
         if targets and d in targets:
             goal = reduce(lambda rest, t: F.when(F.col(d) == t[0], float(t[1])).otherwise(rest), targets[d].items(), F.lit(0.0))
         else:
-            goal = F.pow(F.sum("tokens").over(at).cast("double"), F.lit(TEMPER))
-        own = own.withColumn("goal_" + d, goal)
-    # Each cell of a value carries an equal part of the value's goal, so the sum over cells is the sum over values.
-    for d in DIMS:
-        own = own.withColumn("part", F.col("goal_" + d) / F.count(F.lit(1)).over(Window.partitionBy(d)))
-        own = own.withColumn("goal_" + d, F.col("goal_" + d) / F.sum("part").over(every)).drop("part")
-    last = own.withColumn("err", F.lit(1.0))
+            goal = F.pow(F.col("t"), F.lit(TEMPER))
+        values = summed(cells, d, "tokens", "t").select(d, goal.alias("goal"))
+        every = values.agg(F.sum("goal")).first()[0]
+        own = own.join(values.select(d, (F.col("goal") / every).alias("goal_" + d)), d)
+    last = written(own)
     err, before = 1.0, None
     for done in range(ROUNDS, most + ROUNDS, ROUNDS):
-        own = last.drop("err").withColumn("w0", F.col("w"))
+        own = last.drop("w0").withColumn("w0", F.col("w"))
         for _ in range(ROUNDS):
             for d in DIMS:
                 own = own.withColumn("sum", F.sum("w").over(Window.partitionBy(d))).withColumn("w", F.when(F.col("sum") > 0, F.col("w") * F.col("goal_" + d) / F.col("sum")).otherwise(0.0)).drop("sum")
-        new = written(own.withColumn("err", F.greatest(*(F.when(F.col("goal_" + d) > 0, F.abs(F.sum("w").over(Window.partitionBy(d)) / F.col("goal_" + d) - 1)).otherwise(0.0) for d in DIMS))))
-        if before is not None:
-            discard(before)
-        before = last = new
-        was, (err, moved) = err, new.agg(F.max("err"), F.max(F.abs(F.col("w") - F.col("w0")))).first()
-        if err is None or err <= tolerance or (abs(was - err) <= STALL * err and moved <= MOVED):
+        new = written(own)
+        discard(last)
+        last = new
+        off = reduce(DataFrame.union, (new.groupBy(d).agg(F.sum("w").alias("sum"), F.max("goal_" + d).alias("goal")).select(F.when(F.col("goal") > 0, F.abs(F.col("sum") / F.col("goal") - 1)).otherwise(0.0).alias("off")) for d in DIMS))
+        was, err, moved = err, off.agg(F.max("off")).first()[0], new.agg(F.max(F.abs(F.col("w") - F.col("w0")))).first()[0]
+        if err <= tolerance or (abs(was - err) <= STALL * err and moved <= MOVED):
             break
-    if err is not None and err > tolerance:
+    if err > tolerance:
         warnings.warn(f"mixing: after {done} rounds a marginal is still {err:.2g} off its target", stacklevel=2)
     return last.select(*DIMS, "tokens", "w")
 
@@ -90,16 +116,19 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
 def calibrated(raked: DataFrame, rate: float = RATE) -> DataFrame:
     """raked with p, the probability of keeping a document of the cell.
 
-    Cells in falling order of w / tokens are kept whole as long as the scale that the rest needs would lift the next one
-    past 1; from the first that is not, the computed scale only falls, so the largest is right. The cells are as many as the combinations of values, not documents, so one sorted window over them holds.
+    Cells that the scale lifts past 1 are kept whole and the scale of the others is set anew, until it lifts no further
+    one past 1. It only rises, so every cell is passed once at most; as a rule it settles in a few steps.
     """
-    up = Window.partitionBy(F.lit(1)).orderBy(F.col("r").desc(), *DIMS)
-    c = raked.withColumn("r", F.col("w") / F.col("tokens"))
-    before = up.rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("used", F.coalesce(F.sum("tokens").over(before), F.lit(0))).withColumn("spent", F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    c = c.withColumn("scale", (F.lit(rate) * F.sum("tokens").over(Window.partitionBy(F.lit(1))) - F.col("used")) / F.greatest(1 - F.col("spent"), F.lit(1e-12)))
-    c = c.withColumn("scale", F.max(F.when(F.col("scale") * F.col("r") <= 1, F.col("scale"))).over(Window.partitionBy(F.lit(1))))
-    return c.withColumn("p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col("scale") * F.col("r"), F.lit(1.0))))).select(*DIMS, "w", "p")
+    r = F.col("w") / F.col("tokens")
+    total = raked.agg(F.sum("tokens")).first()[0] or 0.0
+    scale, full = rate * total, 0
+    while True:
+        over = scale * r > 1
+        n, used, spent, left = raked.agg(F.count_if(over), F.sum(F.when(over, F.col("tokens"))), F.sum(F.when(over, F.col("w"))), F.count_if(~over)).first()
+        if n == full or not left:
+            break
+        full, scale = n, max(scale, (rate * total - (used or 0.0)) / max(1 - (spent or 0.0), 1e-12))
+    return raked.withColumn("p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(float(scale)) * r))).select(*DIMS, "w", "p")
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE) -> DataFrame:
@@ -118,7 +147,10 @@ def mixed_rows(docs: DataFrame, targets: dict[str, dict[str, float]] | None = No
 
 
 def _sql() -> str:
-    topic = "CASE " + " ".join(f"WHEN contains(t, '{mark}') THEN '{name}'" for name, mark in TOPICS) + " ELSE 'prose' END"
+    register = "CASE " + " ".join(f"WHEN contains(t, '{mark}') THEN '{name}'" for name, mark in MARKS) + " ELSE 'prose' END"
+    lists = {k: "[" + ", ".join(f"'{w}'" for w in own.split()) + "]" for k, own in SUBJECTS.items()}
+    counts = ", ".join(f"{{'n': len(list_filter({own}, lambda w: list_contains(words, w))), 'turn': {-i}, 'topic': '{k}'}}" for i, (k, own) in enumerate(lists.items()))
+    topic = f"CASE WHEN list_max([{counts}]).n > 0 THEN list_max([{counts}]).topic ELSE {register} END"
     steps, last = [], "g0"
     for d in DIMS:
         steps.append(f"{last}_{d} AS (SELECT * EXCLUDE (part), goal_{d} / sum(part) OVER () AS t_{d} FROM (SELECT *, goal_{d} / count(*) OVER (PARTITION BY {d}) AS part FROM {last}))")
@@ -138,7 +170,7 @@ WITH RECURSIVE own AS (
   SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, {topic} AS topic,
          greatest(1, strlen(t) // {BYTES_PER_TOKEN})::BIGINT AS n_tokens,
          ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / {1 << 52} AS draw
-  FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
+  FROM (SELECT *, coalesce(text, '') AS t, string_split(lower(coalesce(text, '')), ' ') AS words FROM documents)),
 cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM own GROUP BY ALL),
 g0 AS (SELECT *, tokens / sum(tokens) OVER () AS w, {', '.join(f'pow(sum(tokens) OVER (PARTITION BY {d}), {TEMPER}) AS goal_{d}' for d in DIMS)} FROM cells),
 {', '.join(steps)},
