@@ -23,7 +23,7 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["arrival", str(tmp_path / "f"), "--config", str(tmp_path / "c.yaml"), "-n", "100"], spark) == 0
     assert "two:bold" in capsys.readouterr().out
     store.write_stream(spark.range(30).select(F.col("id").alias("idx"), F.lit("a").alias("label"), F.lit(1.0).alias("features")), f"file://{tmp_path}/s")
-    assert main(["recognize", str(tmp_path / "s")], spark) == 0
+    assert main(["recognize", str(tmp_path / "s"), "--model", "last-seen"], spark) == 0
     assert "0.966666667" in capsys.readouterr().out
     assert main(["recognize", str(tmp_path / "s"), "--model", "none"], spark) == 1
     assert main(["assets-status", str(tmp_path / "m.yaml"), str(tmp_path)], spark) == 1

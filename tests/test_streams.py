@@ -127,17 +127,6 @@ def test_neighbours_against_a_loop(spark):
     assert got == sorted(want)
 
 
-def test_features_of_masks_and_blanks():
-    bar = np.zeros((20, 30), bool)
-    bar[2:18, 10:14] = True
-    got = imaging.describe(bar)
-    assert list(got) == imaging.NAMES and len(got) == 38 and got["stroke_max"] == 4 and got["slant_deg"] == 0
-    assert set(imaging.describe(bar[:0]).values()) == {0.0}
-    grey = np.where(bar, 10, 250).astype(np.uint8)
-    dark, light = imaging.ink(grey), imaging.ink(255 - grey)
-    assert dark[1] and not light[1] and (dark[0] == light[0]).all() and dark[0].shape == (16, 4)
-
-
 def test_head_learns_a_separable_stream():
     r = np.random.default_rng(1)
     head, centres, hits = Head(8), r.standard_normal((3, 8)) * 2, []
@@ -164,9 +153,10 @@ def test_streaming_equals_batch(spark, tmp_path):
     own = [(i, random.Random(i).choice("abc")) for i in range(60)]
     for part in range(3):
         spark.createDataFrame([("s", *r) for r in own[part * 20 : part * 20 + 20]], "stream_id string, idx long, label string").coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
-    live = spark.readStream.schema("stream_id string, idx long, label string").option("recursiveFileLookup", True).parquet(f"file://{tmp_path}/in")
+    live_by = lambda n: spark.readStream.schema("stream_id string, idx long, label string").option("recursiveFileLookup", True).option("maxFilesPerTrigger", n).parquet(f"file://{tmp_path}/in")
     batch = spark.createDataFrame(own, "idx long, label string")
-    seen = processors.run_now(spark, processors.last_seen(live), f"file://{tmp_path}/a")
+    live = live_by(1)
+    seen = processors.run_steps(spark, live, processors.last_seen, f"file://{tmp_path}/a")
     assert sorted(map(tuple, seen.collect())) == sorted(map(tuple, ordered.latest(batch, "label", "pred").select("idx", "label", "pred").collect()))
-    new = processors.run_now(spark, processors.novelty(live), f"file://{tmp_path}/b")
+    new = processors.run_steps(spark, live, processors.novelty, f"file://{tmp_path}/b")
     assert sorted(map(tuple, new.collect())) == sorted((r["idx"], r["label"], r["n_seen"]) for r in ordered.novelty(batch).where("first_seen").collect())

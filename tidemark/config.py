@@ -10,6 +10,9 @@ from typing import Any
 from tidemark.functions.text import KINDS
 
 
+# The keys and defaults of all configuration classes below are those of existing configuration files.
+
+
 @dataclass(frozen=True)
 class Range:
     """A closed interval; also given as [lo, hi] or one number."""

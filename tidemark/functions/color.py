@@ -52,8 +52,9 @@ def plan(low: Column, high: Column, ratio: Column, prefer_dark: Column) -> Colum
 
 def crop_box(left: Column, top: Column, width: Column, height: Column, pads: list[Column], canvas_w: Column, canvas_h: Column) -> Column:
     """struct(x0, y0, x1, y1): the box with pads (left, top, right, bottom) in parts of its height, half-even rounded, inside the canvas, a pixel at least."""
-    x0 = F.greatest(F.lit(0), F.bround(left - pads[0] * height).cast("int"))
-    y0 = F.greatest(F.lit(0), F.bround(top - pads[1] * height).cast("int"))
-    x1 = F.least(canvas_w, F.bround(left + width + pads[2] * height).cast("int"))
-    y1 = F.least(canvas_h, F.bround(top + height + pads[3] * height).cast("int"))
+    unit = F.greatest(F.lit(1), height)
+    near = lambda at, pad, end: F.greatest(F.lit(0), F.least(F.bround(at - pad * unit).cast("int"), end - 1))
+    far = lambda at, pad, end: F.least(end, F.greatest(F.bround(at + pad * unit).cast("int"), F.lit(1)))
+    x0, y0 = near(left, pads[0], canvas_w), near(top, pads[1], canvas_h)
+    x1, y1 = far(left + width, pads[2], canvas_w), far(top + height, pads[3], canvas_h)
     return F.struct(x0.alias("x0"), y0.alias("y0"), F.greatest(x1, x0 + 1).alias("x1"), F.greatest(y1, y0 + 1).alias("y1"))

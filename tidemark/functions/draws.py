@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def uniform(index: Column, purpose: str, seed: int = 0, space: str = "item") -> Column:
+def uniform(index: Column, purpose: str | Column, seed: int = 0, space: str = "item") -> Column:
     """Uniform in [0, 1), 52 bits of SHA-256."""
-    text = F.concat(F.lit(f"{space}:{seed}:"), index.cast("string"), F.lit(f":{purpose}"))
+    text = F.concat(F.lit(f"{space}:{seed}:"), index.cast("string"), F.lit(":"), F.lit(purpose) if isinstance(purpose, str) else purpose)
     return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
@@ -29,6 +31,11 @@ def integer(u: Column, lo: int, hi: int) -> Column:
     return (F.floor(u * (hi - lo + 1)) + lo).cast("int")
 
 
+def choice(u: Column, values: Sequence[str]) -> Column:
+    """One of some values, each as likely as another."""
+    return F.element_at(F.array(*map(F.lit, values)), integer(u, 1, len(values)))
+
+
 def weighted(u: Column, weights: dict[str, float]) -> Column:
     """A key, by weight: keys in sorted order, those without weight left out."""
     own = sorted((k, w) for k, w in weights.items() if w > 0)

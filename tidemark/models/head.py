@@ -8,16 +8,18 @@ from __future__ import annotations
 from collections import defaultdict, deque
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
 
-HIDDEN, PER_CLASS, BATCH, RATE = 64, 400, 32, 0.001
+# Hidden units, items remembered of a label, items of a step, and the step of the optimiser.
+HIDDEN, PER_CLASS, BATCH, RATE = 512, 400, 32, 0.001
 
 
 class Head:
     def __init__(self, dims: int, seed: int = 0) -> None:
         self.rng = np.random.default_rng(seed)
-        self.w = [self.rng.normal(0, dims**-0.5, (dims, HIDDEN)), np.zeros(HIDDEN), np.zeros((HIDDEN, 0)), np.zeros(0)]
+        bound = dims**-0.5
+        self.w = [self.rng.uniform(-bound, bound, (dims, HIDDEN)), self.rng.uniform(-bound, bound, HIDDEN), np.zeros((HIDDEN, 0)), np.zeros(0)]
+        # Running mean and summed squares of every dimension; one scale for all.
+        self.n, self.mean, self.squares = 0, np.zeros(dims), np.zeros(dims)
         self.labels: list[str] = []
         self.kept: dict[str, deque] = defaultdict(lambda: deque(maxlen=PER_CLASS))
         self._reset()
@@ -25,9 +27,15 @@ class Head:
     def _reset(self) -> None:
         self.m, self.v, self.t = [np.zeros_like(x) for x in self.w], [np.zeros_like(x) for x in self.w], 0
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        """Less the running mean, over the mean of the deviations of all dimensions."""
+        scale = max(1e-6, float(np.sqrt(self.squares / (self.n - 1)).mean())) if self.n > 1 else 1.0
+        return (x - self.mean) / scale
+
     def predict(self, x: np.ndarray) -> str | None:
         if not self.labels:
             return None
+        x = self.scaled(x)
         return self.labels[int((np.maximum(x @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3]).argmax())]
 
     def learn(self, x: np.ndarray, label: str) -> None:
@@ -36,8 +44,12 @@ class Head:
             self.w[2], self.w[3] = np.hstack([self.w[2], np.zeros((HIDDEN, 1))]), np.append(self.w[3], 0.0)
             self._reset()
         self.kept[label].append(x)
+        self.n += 1
+        gap = x - self.mean
+        self.mean = self.mean + gap / self.n
+        self.squares = self.squares + gap * (x - self.mean)
         picks = self.rng.integers(0, len(self.labels), BATCH)
-        xs = np.array([x] + [self.kept[self.labels[c]][self.rng.integers(len(self.kept[self.labels[c]]))] for c in picks[1:]])
+        xs = self.scaled(np.array([x] + [self.kept[self.labels[c]][self.rng.integers(len(self.kept[self.labels[c]]))] for c in picks[1:]]))
         ys = np.array([self.labels.index(label), *picks[1:]])
         h = np.maximum(xs @ self.w[0] + self.w[1], 0)
         z = h @ self.w[2] + self.w[3]
@@ -51,19 +63,3 @@ class Head:
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             w -= RATE * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
-
-
-def head_predictions(stream: DataFrame) -> DataFrame:
-    """idx, label, pred of streams (stream_id, idx, label, features): predicted before it is learned."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("idx")
-        head, out = None, []
-        for i, y, x in zip(p["idx"], p["label"], p["features"]):
-            x = np.asarray(x, float)
-            head = head or Head(len(x))
-            out.append((i, y, head.predict(x)))
-            head.learn(x, y)
-        return pd.DataFrame(out, columns=["idx", "label", "pred"])
-
-    return stream.groupBy("stream_id").applyInPandas(run, "idx long, label string, pred string")

@@ -15,7 +15,7 @@ def status(pins: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def folder(path: str) -> Column:
-    return F.regexp_replace(path, "/[^/]*$", "")
+    return F.regexp_replace(path, "/?[^/]*$", "")
 
 
 def untracked(pins: DataFrame, files: DataFrame) -> DataFrame:

@@ -63,9 +63,22 @@ def neighbours(stream: DataFrame, k: int = NEIGHBOURS, window: int = WINDOW) ->
     return dealt.groupBy("block").applyInPandas(nearest, "idx long, other long, rank int, distance double")
 
 
-def vote(found: DataFrame, stream: DataFrame) -> DataFrame:
-    """idx, label, pred: the most frequent label of the neighbours, that of the nearest on ties; null without any."""
+def single_scale(stream: DataFrame) -> DataFrame:
+    """idx, scale: the mean over dimensions of the deviation (of a sample) of strictly earlier rows; null before two of them."""
+    own = scaler(stream).withColumn("n", F.lit(None))
+    place = ranked(stream.select("idx"), "idx", "n")
+    own = own.drop("n").groupBy("idx").agg(F.avg(F.sqrt("var")).alias("sd")).join(place, "idx")
+    return own.select("idx", F.when(F.col("n") > 1, F.col("sd") * F.sqrt(F.col("n") / (F.col("n") - 1))).alias("scale"))
+
+
+def vote(found: DataFrame, stream: DataFrame, weighted: bool = True) -> DataFrame:
+    """idx, label, pred: the label with most votes of the neighbours, that of the nearest on ties; null without any.
+
+    A vote weighs the inverse of its distance, and one at distance 0 decides alone; with weighted off all weigh alike.
+    """
     labels = stream.select(F.col("idx").alias("other"), F.col("label").alias("their"))
-    votes = found.join(labels, "other").groupBy("idx", "their").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("best"))
-    top = votes.groupBy("idx").agg(F.max(F.struct("n", (-F.col("best")).alias("neg"), "their")).alias("t"))
+    weight = F.when(F.col("distance") > 0, 1 / F.col("distance")) if weighted else F.lit(1.0)
+    exact = F.max(F.when(F.col("distance") == 0, -F.col("rank"))) if weighted else F.lit(None).cast("int")
+    votes = found.join(labels, "other").groupBy("idx", "their").agg(exact.alias("exact"), F.round(F.sum(weight), 6).alias("n"), F.min("rank").alias("best"))
+    top = votes.groupBy("idx").agg(F.max(F.struct(F.coalesce("exact", F.lit(-(1 << 30))).alias("exact"), "n", (-F.col("best")).alias("neg"), "their")).alias("t"))
     return stream.join(top, "idx", "left").select("idx", "label", F.col("t.their").alias("pred"))

@@ -45,14 +45,15 @@ def add(a: Column, b: Column) -> Column:
     return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
 
 
-def latest(df: DataFrame, value: str, name: str, idx: str = "idx", size: int = BLOCK) -> DataFrame:
-    """df with the value of the row before (the last-seen prediction)."""
+def latest(df: DataFrame, value: str, name: str, idx: str = "idx", size: int = BLOCK, keys: tuple[str, ...] = ()) -> DataFrame:
+    """df with the value of the row before, per keys (the last-seen prediction)."""
+    by = [*keys, "__b"]
     own = df.withColumn("__b", block(idx, size))
-    ends = own.groupBy("__b").agg(F.max_by(value, idx).alias("__e"))
-    carry = ends.select("__b", F.lag("__e").over(Window.orderBy("__b")).alias("__c"))
-    inside = Window.partitionBy("__b").orderBy(idx)
+    ends = own.groupBy(*by).agg(F.max_by(value, idx).alias("__e"))
+    carry = ends.select(*by, F.lag("__e").over(Window.partitionBy(*keys).orderBy("__b")).alias("__c"))
+    inside = Window.partitionBy(*by).orderBy(idx)
     first = F.row_number().over(inside) == 1
-    return own.withColumns({"__l": F.lag(value).over(inside), "__o": first}).join(carry, "__b").withColumn(name, F.when(F.col("__o"), F.col("__c")).otherwise(F.col("__l"))).drop("__b", "__l", "__o", "__c")
+    return own.withColumns({"__l": F.lag(value).over(inside), "__o": first}).join(carry, by).withColumn(name, F.when(F.col("__o"), F.col("__c")).otherwise(F.col("__l"))).drop("__b", "__l", "__o", "__c")
 
 
 def novelty(stream: DataFrame) -> DataFrame:

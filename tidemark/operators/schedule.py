@@ -45,26 +45,47 @@ def unmatched(faces: DataFrame, rules: dict[str, Rule]) -> DataFrame:
     return one.where("not x.hit").select("x.pattern")
 
 
-def active(at: Column) -> Column:
-    return (F.col("weight") > 0) & (F.col("start") <= at) & (F.col("stop").isNull() | (at < F.col("stop")))
+def require(faces: DataFrame, rules: dict[str, Rule]) -> None:
+    """Raise if a rule matches no face: a mistyped pattern would otherwise leave the stream as if it weren't there."""
+    if idle := sorted(r["pattern"] for r in unmatched(faces, rules).collect()):
+        raise ScheduleError(f"no label matches {', '.join(map(repr, idle))}")
+
+
+def edges(schedule: DataFrame) -> DataFrame:
+    """One row: the sorted array of the places where the schedule changes, 0 the first of them."""
+    own = schedule.select(F.explode(F.array(F.lit(0).cast("long"), "start", "stop")).alias("at"))
+    return own.agg(F.sort_array(F.collect_set("at")).alias("edges"))
 
 
 def segments(schedule: DataFrame) -> DataFrame:
     """seg, lo, hi (null: open): the stretches between changes of the schedule."""
-    edges = schedule.select(F.explode(F.array(F.lit(0).cast("long"), "start", "stop")).alias("lo")).where("lo is not null").distinct()
-    order = Window.orderBy("lo")
-    return edges.select((F.row_number().over(order) - 1).alias("seg"), "lo", F.lead("lo").over(order).alias("hi"))
+    return edges(schedule).select("edges", F.posexplode("edges").alias("seg", "lo")).select("seg", "lo", F.get("edges", F.col("seg") + 1).alias("hi"))
 
 
 def shares(schedule: DataFrame) -> DataFrame:
-    """seg, lo, hi, face_id, weight, share, cum_lo, cum_hi: the active labels of each segment, their share of its weight, and its cumulative bounds."""
-    at = segments(schedule).join(F.broadcast(schedule), active(F.col("lo")))
-    every, upto = Window.partitionBy("seg"), Window.partitionBy("seg").orderBy("face_id").rowsBetween(Window.unboundedPreceding, 0)
-    share = F.col("weight") / F.sum("weight").over(every)
-    out = at.withColumn("share", share).withColumn("cum_hi", F.sum("weight").over(upto) / F.sum("weight").over(every))
-    last = F.row_number().over(Window.partitionBy("seg").orderBy(F.desc("face_id"))) == 1
-    out = out.withColumn("cum_lo", F.coalesce(F.lag("cum_hi").over(Window.partitionBy("seg").orderBy("face_id")), F.lit(0.0)))
-    return out.withColumn("cum_hi", F.when(last, 2.0).otherwise(F.col("cum_hi"))).select("seg", "lo", "hi", "face_id", "weight", "share", "cum_lo", "cum_hi")
+    """seg, lo, hi, face_id, weight, share, cum_lo, cum_hi: the active labels of each segment, their share of its weight, and its cumulative bounds.
+
+    A label is active in the segments from the one that its start opens up to the one that its stop opens: no join.
+    """
+    own = schedule.where("weight > 0").withColumn("edges", edges(schedule).scalar())
+    place = lambda c: (F.array_position("edges", c) - 1).cast("int")
+    end = F.when(F.col("stop").isNull(), F.size("edges")).otherwise(place(F.col("stop")))
+    own = own.withColumns({"first": place(F.col("start")), "end": end}).where("first < end")
+    at = own.select("face_id", "weight", "edges", F.explode(F.sequence("first", F.col("end") - 1)).alias("seg"))
+    every, order = Window.partitionBy("seg"), Window.partitionBy("seg").orderBy("face_id")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    out = at.withColumns({"share": F.col("weight") / F.sum("weight").over(every), "cum_hi": F.sum("weight").over(upto) / F.sum("weight").over(every), "more": F.lead("face_id").over(order).isNotNull()})
+    out = out.withColumn("cum_lo", F.coalesce(F.lag("cum_hi").over(order), F.lit(0.0)))
+    return out.select("seg", F.get("edges", "seg").alias("lo"), F.get("edges", F.col("seg") + 1).alias("hi"), "face_id", "weight", "share", "cum_lo", F.when(F.col("more"), F.col("cum_hi")).otherwise(2.0).alias("cum_hi"))
+
+
+def upper_bound(values: Column, x: Column) -> Column:
+    """How many of a sorted array's values are at most x, by halving."""
+    half = lambda a: F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+    state = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(values) + 1)).cast("int"))
+    step = lambda a, _: F.when(a["lo"] >= a["hi"], a).when(F.get(values, half(a)) <= x, state(half(a) + 1, a["hi"])).otherwise(state(a["lo"], half(a)))
+    return F.aggregate(steps, state(F.lit(0), F.size(values)), step)["lo"]
 
 
 def check(schedule: DataFrame, n: int) -> None:
@@ -77,10 +98,15 @@ def check(schedule: DataFrame, n: int) -> None:
         raise ScheduleError(f"no label is active at item {idle['lo']}")
 
 
-def draw(schedule: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """idx, label for n items. The cumulative shares, one row a label and segment, are broadcast: their number follows the label space, not n."""
+def draw(schedule: DataFrame, n: int, seed: int = 0, first: int = 0) -> DataFrame:
+    """idx, label of the items from first up to n.
+
+    An item finds its segment among the places of change, and its label among the segment's cumulative shares, both by
+    halving a sorted array; the one join is by segment, of which there are as many as changes.
+    """
     spark = schedule.sparkSession
-    items = spark.range(n).select(F.col("id").alias("idx"), uniform(F.col("id"), "arrival", seed, "arrival").alias("u"))
-    s = F.broadcast(shares(schedule).select("lo", "hi", "face_id", "cum_lo", "cum_hi"))
-    hit = (F.col("idx") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("idx") < F.col("hi"))) & (F.col("u") >= F.col("cum_lo")) & (F.col("u") < F.col("cum_hi"))
-    return items.join(s, hit).select("idx", F.col("face_id").alias("label"))
+    own = shares(schedule).groupBy("seg").agg(F.sort_array(F.collect_list(F.struct("cum_hi", "face_id"))).alias("own"))
+    own = own.select("seg", F.transform("own", lambda x: x["cum_hi"]).alias("bounds"), F.transform("own", lambda x: x["face_id"]).alias("names"))
+    items = spark.range(first, n).select(F.col("id").alias("idx"), uniform(F.col("id"), "arrival", seed, "arrival").alias("u"), edges(schedule).scalar().alias("edges"))
+    items = items.select("idx", "u", (upper_bound(F.col("edges"), F.col("idx")) - 1).alias("seg"))
+    return items.join(own, "seg").select("idx", F.get("names", upper_bound(F.col("bounds"), F.col("u"))).alias("label"))

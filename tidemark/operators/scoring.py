@@ -39,6 +39,25 @@ def overall(matrix: DataFrame) -> DataFrame:
         F.round(F.avg("f1"), 9).alias("macro_f1"), F.count(F.lit(1)).alias("n_labels"), F.round(1 / F.count(F.lit(1)), 9).alias("chance"))
 
 
+def classes(preds: DataFrame, window: int = WINDOW) -> DataFrame:
+    """by_class of preds with recent_recall (null where a label is not among the last rows), most frequent labels first, then by first appearance."""
+    m = confusion(preds)
+    now = by_class(confusion(recent(preds, window))).select("label", F.col("recall").alias("recent_recall"))
+    first = m.groupBy(F.col("true").alias("label")).agg(F.min("first_idx").alias("first_idx"))
+    return by_class(m).join(first, "label").join(now, "label", "left").orderBy(F.desc("support"), "first_idx")
+
+
+def headline(preds: DataFrame, majority: DataFrame, window: int = WINDOW) -> DataFrame:
+    """measure, overall, recent: the scores over all and over the last rows, and those of answering the commonest label (majority: its predictions) and of chance."""
+    one, now = overall(confusion(preds)), overall(confusion(recent(preds, window)))
+    common = overall(confusion(majority)).select(F.lit(1).alias("k"), F.col("accuracy").alias("common"))
+    both = one.withColumn("k", F.lit(1)).join(now.select(F.lit(1).alias("k"), *(F.col(c).alias("recent_" + c) for c in ("accuracy", "balanced_accuracy", "macro_f1"))), "k").join(common, "k")
+    lift = F.when(F.col("common") == 0, float("inf")).otherwise(F.round(F.col("accuracy") / F.col("common"), 9))
+    none = F.lit(None).cast("double")
+    rows = [(c, F.col(c), F.col("recent_" + c)) for c in ("accuracy", "balanced_accuracy", "macro_f1")] + [("majority", F.col("common"), none), ("chance", F.col("chance"), none), ("lift", lift, none)]
+    return both.select(F.explode(F.array(*(F.struct(F.lit(n).alias("measure"), a.alias("overall"), b.alias("recent")) for n, a, b in rows))).alias("x")).select("x.*")
+
+
 def worst(matrix: DataFrame, k: int = 10) -> DataFrame:
     """The k largest wrong cells: by count, then by the first appearance of the true label and of the pair."""
     first = matrix.groupBy("true").agg(F.min("first_idx").alias("first_true"))

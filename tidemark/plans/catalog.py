@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +13,7 @@ from tidemark.config import Rule
 from tidemark.functions import color, draws, imaging, keys
 from tidemark.functions import text as words
 from tidemark.models import registry
-from tidemark.models.head import PER_CLASS, head_predictions
+from tidemark.models.head import PER_CLASS
 from tidemark.operators import integrity, labels, neighbours, ordered, schedule, scoring
 from tidemark.sources import store
 from tidemark.streaming import processors
@@ -199,9 +201,9 @@ def running_scaler(spark: SparkSession, d: str) -> DataFrame:
 _KNN = f"""{_CELLS}, z AS (SELECT idx, dim, CASE WHEN var > 0 THEN (x - mean) / sqrt(var) ELSE 0 END AS z FROM sc),
 zl AS (SELECT idx, row_number() OVER (ORDER BY idx) AS pos, list(coalesce(z, 0) ORDER BY dim) AS z FROM z GROUP BY idx),
 dist AS (SELECT q.idx, c.idx AS other, round(list_distance(q.z, c.z), 6) AS dd FROM zl q JOIN zl c ON c.pos BETWEEN q.pos - {neighbours.WINDOW} AND q.pos - 1),
-nn AS (SELECT idx, other, row_number() OVER (PARTITION BY idx ORDER BY dd, other DESC) AS rank FROM dist QUALIFY rank <= 5)"""
-_VOTE = """v AS (SELECT nn.idx, e.label::VARCHAR AS their, count(*) AS n, min(rank) AS best FROM nn JOIN embeddings e ON e.vec_id = nn.other GROUP BY ALL),
-p AS (SELECT e.vec_id AS idx, e.label::VARCHAR AS label, t.their AS pred FROM embeddings e LEFT JOIN (SELECT idx, their FROM v QUALIFY row_number() OVER (PARTITION BY idx ORDER BY n DESC, best) = 1) t ON t.idx = e.vec_id)"""
+nn AS (SELECT idx, other, dd, row_number() OVER (PARTITION BY idx ORDER BY dd, other DESC) AS rank FROM dist QUALIFY rank <= 5)"""
+_VOTE = """v AS (SELECT nn.idx, e.label::VARCHAR AS their, max(CASE WHEN dd = 0 THEN -rank END) AS exact, round(sum(CASE WHEN dd > 0 THEN 1 / dd END), 6) AS n, min(rank) AS best FROM nn JOIN embeddings e ON e.vec_id = nn.other GROUP BY ALL),
+p AS (SELECT e.vec_id AS idx, e.label::VARCHAR AS label, t.their AS pred FROM embeddings e LEFT JOIN (SELECT idx, their FROM v QUALIFY row_number() OVER (PARTITION BY idx ORDER BY exact DESC NULLS LAST, n DESC, best) = 1) t ON t.idx = e.vec_id)"""
 
 
 @plan(f"WITH {_KNN} SELECT idx, other, rank::INT AS rank FROM nn")
@@ -232,7 +234,14 @@ def replay_buffer(spark: SparkSession, d: str) -> DataFrame:
 
 @plan()
 def head_replay(spark: SparkSession, d: str) -> DataFrame:
-    return head_predictions(vectors(spark, d).withColumn("stream_id", F.lit("embeddings")))
+    own = registry.prequential(vectors(spark, d).withColumn("stream_id", F.lit("embeddings")), registry.load("replay-head"))
+    return own.select("idx", "label", "pred")
+
+
+@plan(f"""WITH {_CELLS}, n AS (SELECT vec_id AS idx, row_number() OVER (ORDER BY vec_id) - 1 AS n FROM embeddings)
+SELECT idx, round(CASE WHEN any_value(n) > 1 THEN avg(sqrt(var)) * sqrt(any_value(n) / (any_value(n) - 1)) END, 6) AS scale FROM sc JOIN n USING (idx) GROUP BY idx""")
+def running_scale(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.single_scale(vectors(spark, d)).select("idx", F.round("scale", 6).alias("scale"))
 
 
 @plan("WITH g AS (SELECT label, least(255, greatest(0, (127.5 * (x + 1))::INT)) AS level FROM (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings)), n AS (SELECT label, level, count(*) AS n FROM g GROUP BY ALL), "
@@ -249,10 +258,36 @@ def otsu_threshold(spark: SparkSession, d: str) -> DataFrame:
     return c.where("below < total").groupBy("label").agg((-F.max(F.struct(var.alias("v"), (-F.col("level")).alias("l")))["l"]).alias("threshold"))
 
 
-@plan()
+def _features_sql() -> str:
+    """The 38 features of a mask of 4 rows and 16 columns, pixel by pixel."""
+    angles = ", ".join(map(str, (-24, -18, -12, -6, 0, 6, 12, 18, 24)))
+    rows = ", ".join(f"{f'r{(i - 2) // 3} / peak' if i % 3 == 2 else '0::DOUBLE'} AS row_{i}" for i in range(12))
+    cols = ", ".join(f"(c[{2 * i + 1}] + c[{2 * i + 2}]) / 2 AS col_{i}" for i in range(8))
+    names = ["aspect", "ink_density", "slant_deg", *(f"row_{i}" for i in range(12)), "row_peak", "row_centroid", "row_spread", *(f"col_{i}" for i in range(8)), "col_mean", "col_std", "col_gaps", "col_autocorr", "stroke_mean", "stroke_std", "stroke_contrast", "stroke_max", "edge_density", "hole_ratio", "grad_orientation"]
+    return f"""
+WITH p AS (SELECT vec_id, k // 16 AS y, k % 16 AS x, e > 0 AS m FROM (SELECT vec_id, unnest(embedding) AS e, unnest(range(64)) AS k FROM embeddings)),
+q AS (SELECT *, lag(m) OVER across AS l, lead(m) OVER across AS r, lag(m) OVER down AS u, lead(m) OVER down AS d FROM p WINDOW across AS (PARTITION BY vec_id, y ORDER BY x), down AS (PARTITION BY vec_id, x ORDER BY y)),
+w AS (SELECT vec_id, y, x, m, 2 * (1 + (coalesce(l, true) AND coalesce(r, true) AND coalesce(u, true) AND coalesce(d, true))::INT) AS w, coalesce(m <> r, false) AS across, coalesce(m <> d, false) AS down FROM q),
+a AS (SELECT vec_id, avg(m::INT) AS density, avg(w) FILTER (m) / 4 AS stroke_mean, stddev_pop(w) FILTER (m) / 4 AS stroke_std, quantile_cont(w::DOUBLE, 0.95) FILTER (m) / quantile_cont(w::DOUBLE, 0.2) FILTER (m) AS stroke_contrast, max(w) FILTER (m) / 4 AS stroke_max,
+  count(*) FILTER (across OR down) / count(*) FILTER (m) AS edge_density, CASE WHEN bool_or(across OR down) THEN count(*) FILTER (down) / (count(*) FILTER (across) + count(*) FILTER (down)) ELSE 0.5 END AS grad_orientation,
+  avg(m::INT) FILTER (y = 0) AS r0, avg(m::INT) FILTER (y = 1) AS r1, avg(m::INT) FILTER (y = 2) AS r2, avg(m::INT) FILTER (y = 3) AS r3 FROM w GROUP BY vec_id),
+b AS (SELECT *, greatest(r0, r1, r2, r3) AS peak, (r1 / 3 + r2 * 2 / 3 + r3) / (r0 + r1 + r2 + r3) AS centre FROM a),
+col AS (SELECT vec_id, list(v ORDER BY x) AS c, avg(v) AS col_mean, stddev_pop(v) AS col_std, count(*) FILTER (v < 0.02) / 16 AS col_gaps FROM (SELECT vec_id, x, avg(m::INT) AS v FROM w GROUP BY ALL) GROUP BY vec_id),
+cen AS (SELECT vec_id, list_transform(c, lambda v: v - col_mean) AS z FROM col),
+auto AS (SELECT vec_id, CASE WHEN list_sum(list_transform(z, lambda v: v * v)) > 0 THEN list_max(list_transform(range(2, 8), lambda k: list_sum(list_transform(range(1, 17 - k), lambda i: z[i + k] * z[i])))) / list_sum(list_transform(z, lambda v: v * v)) ELSE 0 END AS col_autocorr FROM cen),
+sh AS (SELECT vec_id, t, angle, (x + round_even(tan(radians(angle)) * (y - 2), 0)::INT + 160) % 16 AS place FROM w, (SELECT unnest([{angles}]) AS angle, unnest(range(9)) AS t) WHERE m),
+va AS (SELECT vec_id, t, angle, sum(n * n) / 16.0::DOUBLE - pow(sum(n) / 16.0::DOUBLE, 2) AS v FROM (SELECT vec_id, t, angle, place, count(*) AS n FROM sh GROUP BY ALL) GROUP BY ALL),
+sl AS (SELECT vec_id, angle::DOUBLE AS slant_deg FROM va QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(v, 9) DESC, t) = 1),
+f AS (SELECT vec_id, ln(4) AS aspect, density AS ink_density, slant_deg, {rows}, peak AS row_peak, centre AS row_centroid,
+  sqrt((r0 * pow(centre, 2) + r1 * pow(1 / 3 - centre, 2) + r2 * pow(2 / 3 - centre, 2) + r3 * pow(1 - centre, 2)) / (r0 + r1 + r2 + r3)) AS row_spread, {cols}, col_mean, col_std, col_gaps, col_autocorr, stroke_mean, stroke_std, stroke_contrast, stroke_max, edge_density, 1 - density AS hole_ratio, grad_orientation
+  FROM b JOIN col USING (vec_id) JOIN auto USING (vec_id) JOIN sl USING (vec_id))
+SELECT vec_id, 1::DOUBLE AS dark_on_light, {', '.join(f'round({n}::DOUBLE, 6) AS {n}' for n in names)} FROM f"""
+
+
+@plan(_features_sql())
 def mask_features(spark: SparkSession, d: str) -> DataFrame:
     bits = F.transform("embedding", lambda x: x > 0)
-    return table(spark, d, "embeddings").select("vec_id", imaging.mask_features(bits, F.lit(8)).alias("f")).select("vec_id", *(F.round(f"f.{n}", 9).alias(n) for n in imaging.NAMES))
+    return table(spark, d, "embeddings").select("vec_id", imaging.mask_features(bits, F.lit(16)).alias("f")).select("vec_id", *(F.round(f"f.{n}", 6).alias(n) for n in imaging.NAMES))
 
 
 @plan("SELECT vec_id, printf('crops/%05d/%08d.png', vec_id // 10000, vec_id) AS path FROM embeddings")
@@ -370,19 +405,33 @@ def _covered() -> Column:
 
 @plan(f"SELECT doc_id, list_aggregate(list_distinct(list_filter(string_split(text, ''), lambda c: c <> ' ' AND NOT contains('{_ALNUM}', c))), 'count') AS n_missing, n_chars > 0 AS seen FROM documents")
 def charset_coverage(spark: SparkSession, d: str) -> DataFrame:
-    lack = F.length(F.replace(keys.missing(F.col("text"), _covered()), F.lit(" ")))
+    lack = F.length(F.replace(keys.missing_from(F.col("text"), _ALNUM), F.lit(" ")))
     return table(spark, d, "documents").select("doc_id", lack.cast("long").alias("n_missing"), (F.col("n_chars") > 0).alias("seen"))
 
 
 @plan(f"""SELECT doc_id, coalesce(string_agg(c, '' ORDER BY i), '') AS missing FROM (SELECT doc_id, c, min(i) AS i FROM (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents) WHERE NOT contains('{_ALNUM}', c) GROUP BY doc_id, c) RIGHT JOIN (SELECT doc_id FROM documents) USING (doc_id) GROUP BY doc_id""")
 def missing_glyphs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", keys.missing(F.col("text"), _covered()).alias("missing"))
+    return table(spark, d, "documents").select("doc_id", keys.missing_from(F.col("text"), _ALNUM).alias("missing"))
+
+
+def _presets_sql() -> str:
+    letters, digits, signs = "abcdefghijklmnopqrstuvwxyz", "0123456789", "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
+    more = "àâäçèéêëîïôöùûüÿœæÀÂÄÇÈÉÊËÎÏÔÖÙÛÜŸŒÆáíóúñÁÍÓÚÑ¿¡ßÄÖÜ“”‘’–—…€£"
+    sets = {"ascii_alnum": letters + letters.upper() + digits, "ascii_printable": letters + letters.upper() + digits + signs, "latin1_printable": letters + letters.upper() + digits + signs + more}
+    count = lambda chars: f"len(list_filter(list_distinct(string_split(text, '')), lambda c: c NOT IN (' ', chr(9), chr(10), chr(13)) AND NOT contains('{chars}', c)))"
+    return f"SELECT doc_id, {', '.join(f'{count(v)} AS {k}' for k, v in sets.items())} FROM documents"
+
+
+@plan(_presets_sql())
+def preset_coverage(spark: SparkSession, d: str) -> DataFrame:
+    lack = {k: F.length(F.regexp_replace(keys.missing_from(F.col("text"), keys.charset(k)), "[ \t\n\r]", "")) for k in keys.CHARSETS}
+    return table(spark, d, "documents").select("doc_id", *(v.cast("long").alias(k) for k, v in lack.items()))
 
 
 @plan("""SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'variable-font' WHEN p_size % 3 = 0 THEN 'missing-glyphs' END AS reason, CASE WHEN p_size % 7 = 0 OR p_size % 3 = 0 THEN 'rejected' ELSE 'kept' END AS status,
 CASE WHEN p_size % 7 <> 0 AND p_size % 3 = 0 THEN '0123456789' END AS detail FROM part""")
 def admission_status(spark: SparkSession, d: str) -> DataFrame:
-    full, part = F.array(*[F.lit(ord(c)) for c in _ALNUM]), F.array(*[F.lit(ord(c)) for c in keys.charset("ascii_letters")])
+    full, part = F.array(*[F.lit(ord(c)) for c in _ALNUM]), F.array(*[F.lit(ord(c)) for c in _ALNUM if not c.isdigit()])
     own = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("face_id"), F.format_string("%08d", "p_partkey").alias("path"), (F.col("p_size") % 7 == 0).alias("variable"), F.when(F.col("p_size") % 3 == 0, part).otherwise(full).alias("codepoints"))
     return labels.admitted(own).select("p_partkey", "reason", "status", "detail")
 
@@ -393,28 +442,34 @@ def project_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", keys.project(F.col("text"), _covered(), F.concat(F.lit("doc"), F.col("doc_id").cast("string")))["text"].alias("text"))
 
 
-@plan("SELECT p_partkey, CASE WHEN p_size BETWEEN 40 AND 1000 THEN p_size " + " ".join(f"WHEN contains(lower(s), '{w}') THEN {n}" for w, n in keys.WEIGHT_WORDS) + " ELSE 400 END::INT AS weight FROM (SELECT p_partkey, p_size, ['Extra Light', 'Semi-Bold', 'Black Italic', 'Regular', 'Heavy', 'Plain'][1 + p_partkey % 6] AS s0, regexp_replace(s0, '[ _-]', '', 'g') AS s FROM part)")
+STYLES = ["Extra Light", "Semi-Bold", "Black Italic", "Regular", "Heavy", "Plain", "Extra Black", "Semi Light", "Regular Bold", "Medium Bold", "Book Heavy", "Light Black", "Thin", "Ultra Light", "Demi_bold", "Normal"]
+
+
+@plan("SELECT p_partkey, CASE WHEN p_size >= 40 THEN p_size ELSE [300, 600, 900, 400, 900, 400, 950, 350, 700, 700, 900, 900, 100, 300, 600, 400][1 + p_partkey % 16] END::INT AS weight FROM part")
 def weight_keywords(spark: SparkSession, d: str) -> DataFrame:
-    style = F.element_at(F.array(*map(F.lit, ["Extra Light", "Semi-Bold", "Black Italic", "Regular", "Heavy", "Plain"])), (F.col("p_partkey") % 6 + 1).cast("int"))
+    style = F.element_at(F.array(*map(F.lit, STYLES)), (F.col("p_partkey") % 16 + 1).cast("int"))
     declared = F.when(F.col("p_size") >= 40, F.col("p_size"))
     return table(spark, d, "part").select("p_partkey", keys.style_weight(declared, style).alias("weight"))
 
 
 # --- files -----------------------------------------------------------------------------------------------------------
 
-_FILES = "files AS (SELECT 'docs/' || (doc_id % 9) || '/' || doc_id AS path, sha256(text) AS actual, doc_id FROM documents WHERE doc_id % 7 <> 0)"
-_PINS = "pins AS (SELECT 'docs/' || (doc_id % 9) || '/' || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN sha256('x' || text) ELSE ' ' || upper(sha256(text)) END AS sha256, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'CC0' END AS license FROM documents WHERE doc_id % 2 = 0)"
+# Every document is a file and a pin. A seventh of the files lie under another name, so their pins are missing and they are
+# untracked; a fifth of the pins have another checksum.
+_FILES = "files AS (SELECT 'docs/' || (doc_id % 9) || '/' || CASE WHEN doc_id % 7 = 0 THEN 'moved-' ELSE '' END || doc_id AS path, sha256(text) AS actual, doc_id FROM documents)"
+_PINS = "pins AS (SELECT 'docs/' || (doc_id % 9) || '/' || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN sha256('x' || text) ELSE ' ' || upper(sha256(text)) END AS sha256, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'CC0' END AS license FROM documents)"
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
-    return table(spark, d, "documents").where(i % 7 != 0).select(F.concat(F.lit("docs/"), (i % 9).cast("string"), F.lit("/"), i.cast("string")).alias("path"), F.sha2("text", 256).alias("actual"))
+    name = F.concat(F.when(i % 7 == 0, "moved-").otherwise(""), i.cast("string"))
+    return table(spark, d, "documents").select(F.concat(F.lit("docs/"), (i % 9).cast("string"), F.lit("/"), name).alias("path"), F.sha2("text", 256).alias("actual"))
 
 
 def pins(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     sha = F.when(i % 5 == 0, F.sha2(F.concat(F.lit("x"), "text"), 256)).otherwise(F.concat(F.lit(" "), F.upper(F.sha2("text", 256))))
-    return table(spark, d, "documents").where(i % 2 == 0).select(F.concat(F.lit("docs/"), (i % 9).cast("string"), F.lit("/"), i.cast("string")).alias("path"), sha.alias("sha256"), F.when(i % 3 != 0, "CC0").alias("license"))
+    return table(spark, d, "documents").select(F.concat(F.lit("docs/"), (i % 9).cast("string"), F.lit("/"), i.cast("string")).alias("path"), sha.alias("sha256"), F.when(i % 3 != 0, "CC0").alias("license"))
 
 
 @plan(f"WITH {_FILES}, {_PINS} SELECT path, CASE WHEN actual IS NULL THEN 'missing' WHEN actual = lower(trim(sha256)) THEN 'ok' ELSE 'changed' END AS state, actual FROM pins LEFT JOIN files USING (path)")
@@ -486,12 +541,12 @@ def _pad(i: int) -> str:
 
 
 @plan(f"""WITH b AS (SELECT l_orderkey, l_linenumber, (l_quantity * 3)::INT AS x, (l_linenumber * 5)::INT AS y, 20 + (l_quantity * 2)::INT AS w, 10 + l_linenumber::INT AS h, {', '.join(f'{_pad(i)} AS p{i}' for i in range(4))} FROM lineitem),
-c AS (SELECT *, greatest(0, round_even(x - p0 * h, 0)::INT) AS x0, greatest(0, round_even(y - p1 * h, 0)::INT) AS y0, least(256, round_even(x + w + p2 * h, 0)::INT) AS x1, least(64, round_even(y + h + p3 * h, 0)::INT) AS y1 FROM b)
+c AS (SELECT *, greatest(0, least(127, round_even(x - p0 * h, 0)::INT)) AS x0, greatest(0, least(23, round_even(y - p1 * h, 0)::INT)) AS y0, least(128, greatest(1, round_even(x + w + p2 * h, 0)::INT)) AS x1, least(24, greatest(1, round_even(y + h + p3 * h, 0)::INT)) AS y1 FROM b)
 SELECT l_orderkey, l_linenumber, x0, y0, greatest(x1, x0 + 1)::INT AS x1, greatest(y1, y0 + 1)::INT AS y1 FROM c""")
 def crop_boxes(spark: SparkSession, d: str) -> DataFrame:
     u = [draws.between(draws.uniform(F.col("l_orderkey") * 10 + F.col("l_linenumber"), f"pad{i}"), -0.04, 0.35) for i in range(4)]
     q, n = F.col("l_quantity"), F.col("l_linenumber")
-    box = color.crop_box(F.bround(q * 3).cast("int"), n * 5, 20 + F.bround(q * 2).cast("int"), 10 + n, u, F.lit(256), F.lit(64))
+    box = color.crop_box(F.bround(q * 3).cast("int"), n * 5, 20 + F.bround(q * 2).cast("int"), 10 + n, u, F.lit(128), F.lit(24))
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", box.alias("b")).select("l_orderkey", "l_linenumber", "b.x0", "b.y0", "b.x1", "b.y1")
 
 
@@ -506,24 +561,41 @@ def text_casing(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(i.alias("i"), F.when(i % 4 == 0, t).when(i % 4 == 1, F.upper(t)).when(i % 4 == 2, F.lower(t)).otherwise(keys.title(t)).alias("text"))
 
 
+@plan("SELECT kind, count(*) AS n FROM (" + words.SQL.strip() + ") GROUP BY kind")
+def kind_summary(spark: SparkSession, d: str) -> DataFrame:
+    return words.samples(spark.range(5000)).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"))
+
+
+@plan("SELECT p_partkey, CASE WHEN length(p_name) > 12 THEN rtrim(substr(p_name, 1, 11)) || '…' ELSE p_name END AS name FROM part")
+def shortened_labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", keys.shortened(F.col("p_name"), 12).alias("name"))
+
+
 # --- streaming -------------------------------------------------------------------------------------------------------
 
 
 def _place(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='tidemark-')}/stream-{uuid.uuid4().hex}"
+    """A folder that driver and executors share; a local session without one (tests) gets its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared or 'file://' + tempfile.mkdtemp(prefix='tidemark-')}/stream-{uuid.uuid4().hex}"
 
 
 @plan("SELECT event_id AS idx, event_type AS label, lag(event_type) OVER (ORDER BY event_id) AS pred FROM events")
 def stream_last_seen(spark: SparkSession, d: str) -> DataFrame:
-    return processors.run_now(spark, processors.last_seen(processors.event_stream(spark, d)), _place(spark))
+    return processors.run_steps(spark, processors.event_stream(spark, d), processors.last_seen, _place(spark))
+
+
+@plan("SELECT event_id AS idx, round(avg((event_type = 'click')::INT::DOUBLE) OVER (ORDER BY event_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW), 9) AS accuracy FROM events")
+def stream_rolling_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    live = processors.event_stream(spark, d).withColumn("pred", F.lit("click"))
+    return processors.run_now(spark, processors.rolling_accuracy(live), _place(spark)).select("idx", F.round("accuracy", 9).alias("accuracy"))
 
 
 @plan("SELECT min(event_id) AS idx, event_type AS label, row_number() OVER (ORDER BY min(event_id)) AS n_seen FROM events GROUP BY event_type")
 def stream_novelty(spark: SparkSession, d: str) -> DataFrame:
-    return processors.run_now(spark, processors.novelty(processors.event_stream(spark, d)), _place(spark))
+    return processors.run_steps(spark, processors.event_stream(spark, d), processors.novelty, _place(spark))
 
 
 @plan("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
+from datetime import UTC, datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.config import StreamConfig, parse
 
 SHARD = 10_000
 
@@ -24,50 +31,141 @@ def _file(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def _put(spark: SparkSession, path: str, data: bytes) -> None:
+    fs, at = _file(spark, path)
+    out = fs.create(at, True)
+    out.write(bytearray(data))
+    out.close()
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    fs, at = _file(spark, path)
+    fs.delete(at, True)
+
+
+#: Tables that may stand beside the items: the label space, the resolved schedule, and what arrived.
+BESIDE = ("registry", "schedule", "arrival")
+
+
 def write_stream(items: DataFrame, path: str, shard: int = SHARD, **facts: object) -> dict:
-    """Write items (idx, label, ...; those with an error are skipped) and then the manifest, which is returned."""
-    spark = items.sparkSession
+    """Write items (idx, label, ...) and then the manifest, which is returned.
+
+    Rows with an error are kept beside the others as what was skipped. facts go into the manifest, but for the DataFrames
+    of BESIDE, which become tables; ``config``, a StreamConfig, is written out. An old manifest goes first, so a rewrite
+    that fails leaves no stream.
+    """
+    _drop(items.sparkSession, f"{path}/manifest.json")
+    append_items(items, path, shard, "overwrite")
+    return finish_stream(items.sparkSession, path, shard, None, **facts)
+
+
+def append_items(items: DataFrame, path: str, shard: int = SHARD, mode: str = "append") -> None:
     own = items.withColumn("shard", F.floor(F.col("idx") / shard))
-    good = own.where("error is null").drop("error") if "error" in items.columns else own
-    good.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/items")
-    counts = spark.read.parquet(f"{path}/items").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first"))
-    counts.write.mode("overwrite").parquet(f"{path}/labels")
+    if "error" not in items.columns:
+        own = own.withColumn("error", F.lit(None).cast("string"))
+    own.write.mode(mode).partitionBy("shard").parquet(f"{path}/items")
+
+
+def finish_stream(spark: SparkSession, path: str, shard: int = SHARD, most: int | None = None, **facts: object) -> dict:
+    """The tables beside the items, and the manifest last. most: the stream ends with that many items; later ones don't count."""
+    items = spark.read.parquet(f"{path}/items")
+    last = None
+    if most is not None and (end := items.where("error is null").select("idx").orderBy("idx").limit(most).agg(F.max("idx")).first()[0]) is not None:
+        last, items = end, items.where(F.col("idx") <= end)
+    items.where("error is null").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first")).write.mode("overwrite").parquet(f"{path}/labels")
     one = spark.read.parquet(f"{path}/labels").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).first()
-    manifest = {"n_items": one["n"] or 0, "n_labels": one["labels"], "shard_size": shard, **facts}
-    fs, at = _file(spark, f"{path}/manifest.json")
-    out = fs.create(at, True)
-    out.write(bytearray(json.dumps(manifest).encode()))
-    out.close()
+    for name in BESIDE:
+        _drop(spark, f"{path}/{name}")
+        if isinstance(table := facts.pop(name, None), DataFrame):
+            table.write.parquet(f"{path}/{name}")
+    config = facts.pop("config", None)
+    manifest = {
+        "created": datetime.now(UTC).isoformat(timespec="seconds"), "n_items": one["n"] or 0, "n_labels": one["labels"], "n_skipped": items.where("error is not null").count(), "shard_size": shard, "last_idx": last,
+        "config": dataclasses.asdict(config) if config is not None else None, **facts,
+    }
+    _put(spark, f"{path}/manifest.json", json.dumps(manifest, indent=1).encode())
     return manifest
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict:
     fs, at = _file(spark, f"{path}/manifest.json")
     if not fs.exists(at):
-        raise StreamNotFound(path)
+        raise StreamNotFound(f"no finished stream at {path}")
     return json.loads(spark.read.text(f"{path}/manifest.json", wholetext=True).first()[0])
 
 
+def read_config(spark: SparkSession, path: str) -> StreamConfig:
+    """The configuration that a stream was drawn with."""
+    found = read_manifest(spark, path)["config"]
+    if found is None:
+        raise StreamNotFound(f"the stream at {path} has no configuration")
+    return parse(found)
+
+
+def read_beside(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The table registry, schedule or arrival of a finished stream."""
+    read_manifest(spark, path)
+    fs, at = _file(spark, f"{path}/{name}")
+    if name not in BESIDE or not fs.exists(at):
+        raise StreamNotFound(f"the stream at {path} has no table {name}")
+    return spark.read.parquet(f"{path}/{name}")
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The label space that a stream was drawn from."""
+    return read_beside(spark, path, "registry")
+
+
+def _all(spark: SparkSession, path: str) -> DataFrame:
+    last = read_manifest(spark, path).get("last_idx")
+    items = spark.read.parquet(f"{path}/items")
+    return items if last is None else items.where(F.col("idx") <= last)
+
+
 def read_stream(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """The items of a finished stream, in order."""
-    read_manifest(spark, path)
-    items = spark.read.parquet(f"{path}/items").orderBy("idx")
+    items = _all(spark, path).where("error is null").drop("error").orderBy("idx")
     return items.limit(limit) if limit is not None else items
 
 
+def read_skipped(spark: SparkSession, path: str) -> DataFrame:
+    """idx, label, error of the items that were skipped."""
+    return _all(spark, path).where("error is not null").select("idx", "label", "error")
+
+
 def read_annotations(spark: SparkSession, path: str, schema: str = "index long, label string, image string, meta string") -> DataFrame:
-    """Line-wise JSON records; blank lines are skipped."""
+    """Line-wise JSON records; blank lines are skipped. meta is the record's own JSON text."""
     return spark.read.schema(schema).json(path)
 
 
 def write_annotations(items: DataFrame, path: str, shard: int = SHARD) -> None:
-    items.select(F.to_json(F.struct(F.col("idx").alias("index"), "label", shard_path(F.col("idx"), shard).alias("image"))).alias("value")).write.text(path)
+    """A record for each item: index, label, the path of its image, and its metadata (a JSON text in the column meta)."""
+    if "error" in items.columns:
+        items = items.where("error is null")
+    head = F.to_json(F.struct(F.col("idx").alias("index"), "label", shard_path(F.col("idx"), shard).alias("image")))
+    meta = F.coalesce("meta", F.lit("{}")) if "meta" in items.columns else F.lit("{}")
+    items.select(F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"meta":'), meta, F.lit("}")).alias("value")).write.text(path)
+
+
+def annotated_images(spark: SparkSession, annotations: str, folder: str) -> DataFrame:
+    """idx, label, meta, content of annotated image files below a folder, in order; an annotation without its file is an error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_extract("path", "(crops/.*)$", 1).alias("image"), "content")
+    both = read_annotations(spark, annotations).join(files, "image", "left")
+    content = F.when(F.col("content").isNull(), F.raise_error(F.concat(F.lit("no image file "), "image"))).otherwise(F.col("content"))
+    return both.select(F.col("index").alias("idx"), "label", "meta", content.alias("content")).orderBy("idx")
+
+
+def image_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path, height, width, rgb (bytes, row by row) of the PNG files below a folder."""
+    found = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][nN][gG]").option("dropInvalid", True).load(folder)
+    return found.where("image.nChannels in (1, 3, 4)").select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), _rgb("image.nChannels", "image.data").alias("rgb"))
 
 
-def font_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, length of font files below a folder, in order; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
-    return found.where(F.lower("path").rlike(r"\.(ttf|otf)$")).orderBy("path")
+@F.pandas_udf(T.BinaryType())
+def _rgb(channels: pd.Series, data: pd.Series) -> pd.Series:
+    """Spark decodes to blue, green, red (and alpha), or grey alone."""
+    own = (np.frombuffer(d, np.uint8).reshape(-1, n) for n, d in zip(channels, data))
+    return pd.Series([(np.repeat(x, 3, 1) if x.shape[1] == 1 else x[:, 2::-1]).tobytes() for x in own], index=data.index)
 
 
 def checksums(spark: SparkSession, folder: str) -> DataFrame:

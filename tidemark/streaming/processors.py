@@ -2,41 +2,63 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import ordered
 
-def last_seen(stream: DataFrame) -> DataFrame:
-    """idx, label, pred of a stream (stream_id, idx, label): state is one label a stream; rows of a batch are taken in the order of idx."""
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values("idx")
-        last = state.get[0] if state.exists else None
-        rows["pred"] = [last, *rows["label"].tolist()[:-1]]
-        state.update((rows["label"].iloc[-1],))
-        yield rows[["idx", "label", "pred"]]
+Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
 
-    return stream.groupBy("stream_id").applyInPandasWithState(step, "idx long, label string, pred string", "last string", "append", "NoTimeout")
 
+def last_seen(batch: DataFrame, kept: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(idx, label, pred) of a batch (stream_id, idx, label); kept is the last row of each stream.
 
-def novelty(stream: DataFrame) -> DataFrame:
-    """idx, label, n_seen of the first row of each label, per stream; state is the set of labels seen, one row a label."""
+    The kept rows go before the batch, and the batch form of the operator does the rest: a stream in one batch is spread
+    over tasks like a table.
+    """
+    rows = batch.select("stream_id", "idx", "label", F.lit(True).alias("new"))
+    if kept is not None:
+        rows = rows.union(kept.select("stream_id", "idx", "label", F.lit(False)))
+    out = ordered.latest(rows, "label", "pred", keys=("stream_id",)).where("new").select("idx", "label", "pred")
+    return out, rows.groupBy("stream_id").agg(F.max("idx").alias("idx"), F.max_by("label", "idx").alias("label"))
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values("idx")
-        seen = set(state.get[0]) if state.exists else set()
-        out = []
-        for i, label in zip(rows["idx"], rows["label"]):
-            if label not in seen:
-                seen.add(label)
-                out.append((i, label, len(seen)))
-        state.update((sorted(seen),))
-        yield pd.DataFrame(out, columns=["idx", "label", "n_seen"])
-
-    return stream.groupBy("stream_id").applyInPandasWithState(step, "idx long, label string, n_seen long", "seen array<string>", "append", "NoTimeout")
+
+def novelty(batch: DataFrame, kept: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(idx, label, n_seen) of the first row of each label, per stream; kept is the first row of every label so far."""
+    first = batch.groupBy("stream_id", "label").agg(F.min("idx").alias("idx"))
+    if kept is not None:
+        first = first.join(kept.select("stream_id", "label"), ["stream_id", "label"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("stream_id").orderBy("idx"))
+    own = first.withColumn("rank", rank)
+    if kept is None:
+        out = own.withColumn("n_seen", F.col("rank").cast("long"))
+    else:
+        before = kept.groupBy("stream_id").agg(F.count(F.lit(1)).alias("n"))
+        out = own.join(before, "stream_id", "left").withColumn("n_seen", F.col("rank") + F.coalesce("n", F.lit(0)))
+    every = first.select("stream_id", "label", "idx")
+    return out.select("idx", "label", "n_seen"), every if kept is None else every.union(kept.select("stream_id", "label", "idx"))
+
+
+def run_steps(spark: SparkSession, stream: DataFrame, step: Step, path: str) -> DataFrame:
+    """The rows that a step makes of all batches that there are now, written under path (a folder that all executors share).
+
+    A batch reads what the one before kept and writes its rows and what it keeps under its own number, so a batch that is
+    run again after a loss replaces its own.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession
+        kept = own.read.parquet(f"{path}/kept/{number - 1}") if number else None
+        out, keep = step(batch, kept)
+        out.write.mode("overwrite").parquet(f"{path}/out/{number}")
+        keep.write.mode("overwrite").parquet(f"{path}/kept/{number}")
+
+    stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{path}/out")
 
 
 def rolling_accuracy(stream: DataFrame, window: int = 500) -> DataFrame:
