@@ -133,7 +133,7 @@ def calibrated(raked: DataFrame, rate: float = RATE) -> DataFrame:
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, n_tokens, probability, sampled."""
-    own = described(docs.select("doc_id", "text", "source", "lang")).drop("text")
+    own = written(described(docs.select("doc_id", "text", "source", "lang")).drop("text"))  # texts are read once
     cells = own.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))
     p = written(calibrated(rake(cells, targets), rate).select(*DIMS, "p"))
     return own.join(p, list(DIMS)).select("doc_id", *DIMS, "n_tokens", F.round("p", 9).alias("probability"), (F.col("draw") < F.col("p")).alias("sampled"))
