@@ -53,6 +53,9 @@ def test_ranks_have_no_gaps(spark):
     df = spark.createDataFrame([(k,) for k in random.Random(2).sample(range(100_000), 300)], "event_id long")
     got = sorted((r["event_id"], r["idx"]) for r in ordered.ranked(df, "event_id").collect())
     assert [i for _, i in got] == list(range(300))
+    times = random.Random(3).sample(range(10**15, 10**15 + 10**9), 400)  # far apart: still few blocks
+    far = ordered.ranked(spark.createDataFrame([(t,) for t in times], "t long"), "t", size=50)
+    assert [r["idx"] for r in far.orderBy("t").collect()] == list(range(400))
 
 
 def test_abstentions_are_columns_only(spark):
@@ -156,6 +159,8 @@ def test_streaming_equals_batch(spark, tmp_path):
     live_by = lambda n: spark.readStream.schema("stream_id string, idx long, label string").option("recursiveFileLookup", True).option("maxFilesPerTrigger", n).parquet(f"file://{tmp_path}/in")
     batch = spark.createDataFrame(own, "idx long, label string")
     live = live_by(1)
+    common = processors.run_steps(spark, live, processors.majority, f"file://{tmp_path}/m")
+    assert sorted(map(tuple, common.collect())) == sorted(map(tuple, ordered.majority(batch).collect()))
     seen = processors.run_steps(spark, live, processors.last_seen, f"file://{tmp_path}/a")
     assert sorted(map(tuple, seen.collect())) == sorted(map(tuple, ordered.latest(batch, "label", "pred").select("idx", "label", "pred").collect()))
     new = processors.run_steps(spark, live, processors.novelty, f"file://{tmp_path}/b")

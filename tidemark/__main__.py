@@ -148,7 +148,7 @@ def assets_status(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     if n := own.where("license is null").count():
         print(f"{n} assets have no licence recorded")
     a.failed = not loose.isEmpty() or not states.where("state <> 'ok'").isEmpty()
-    return states.join(own.select("path", "license"), "path").orderBy("path")
+    return states.join(own.select("path", "license"), "path").withColumn("told", integrity.told(F.col("state"))).orderBy("path")
 
 
 def assets_fetch(spark: SparkSession, a: argparse.Namespace) -> DataFrame:

@@ -14,6 +14,11 @@ def status(pins: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("path", F.when(F.col("actual").isNull(), "missing").when(F.col("actual") == F.col("want"), "ok").otherwise("changed").alias("state"), "actual")
 
 
+def told(state: Column) -> Column:
+    """What a state means, and what to do about it."""
+    return F.when(state == "ok", "as pinned").when(state == "missing", "not on disk: fetch it").otherwise("other bytes than pinned: fetch it by force, or pin these")
+
+
 def folder(path: str) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 

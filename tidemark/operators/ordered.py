@@ -19,8 +19,12 @@ def block(idx: str | Column = "idx", size: int = BLOCK) -> Column:
 
 
 def ranked(df: DataFrame, key: str, name: str = "idx", size: int = BLOCK) -> DataFrame:
-    """df with the 0-based rank of an integer key without ties."""
-    own = df.withColumn("__b", block(key, size))
+    """df with the 0-based rank of an integer key without ties.
+
+    Blocks are as wide as holds about ``size`` rows, so keys may lie far apart (times, hashes) as well as close together.
+    """
+    span = df.agg(F.struct(F.min(key).alias("lo"), F.greatest(F.lit(1.0), (F.max(key) - F.min(key) + 1) * F.lit(float(size)) / F.count(key)).alias("width")).alias("s")).scalar()
+    own = df.withColumn("__b", F.floor((F.col(key) - span["lo"]) / span["width"]))
     counts = own.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     start = counts.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))

@@ -593,6 +593,11 @@ def stream_rolling_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return processors.run_now(spark, processors.rolling_accuracy(live), _place(spark)).select("idx", F.round("accuracy", 9).alias("accuracy"))
 
 
+@plan(f"WITH {_MAJOR.replace('row_number() OVER (ORDER BY event_id) - 1 AS idx', 'event_id AS idx')} SELECT idx, label, pred FROM p")
+def stream_majority(spark: SparkSession, d: str) -> DataFrame:
+    return processors.run_steps(spark, processors.event_stream(spark, d), processors.majority, _place(spark))
+
+
 @plan("SELECT min(event_id) AS idx, event_type AS label, row_number() OVER (ORDER BY min(event_id)) AS n_seen FROM events GROUP BY event_type")
 def stream_novelty(spark: SparkSession, d: str) -> DataFrame:
     return processors.run_steps(spark, processors.event_stream(spark, d), processors.novelty, _place(spark))

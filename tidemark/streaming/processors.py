@@ -43,6 +43,22 @@ def novelty(batch: DataFrame, kept: DataFrame | None) -> tuple[DataFrame, DataFr
     return out.select("idx", "label", "n_seen"), every if kept is None else every.union(kept.select("stream_id", "label", "idx"))
 
 
+def majority(batch: DataFrame, kept: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(idx, label, pred) of a batch of one stream: the most frequent earlier label, the earliest seen on ties; kept is a count and first idx of every label."""
+    own = batch.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first"))
+    rows = batch.select("idx", "label")
+    every = own if kept is None else own.union(kept.select("label", "n", "first")).groupBy("label").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    best = lambda n: F.struct(n.alias("n"), (-F.col("first")).alias("neg"), "label")
+    counted = ordered.carried(rows, F.lit(1), F.sum, ordered.add, "rn", keys=("label",)).join(every.select("label", "first"), "label")
+    before = F.lit(None).cast("struct<n:bigint,neg:bigint,label:string>")
+    if kept is not None:
+        counted = counted.join(kept.select("label", F.col("n").alias("n0")), "label", "left").withColumn("rn", F.col("rn") + F.coalesce("n0", F.lit(0)))
+        before = kept.agg(F.max(best(F.col("n")))).scalar()
+    larger = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.greatest(a, b))
+    out = ordered.carried(counted.withColumn("best", best(F.col("rn").cast("long"))), F.col("best"), F.max, larger, "top", exclusive=True)
+    return out.select("idx", "label", larger(F.col("top"), before)["label"].alias("pred")), every
+
+
 def run_steps(spark: SparkSession, stream: DataFrame, step: Step, path: str) -> DataFrame:
     """The rows that a step makes of all batches that there are now, written under path (a folder that all executors share).
 
