@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 #: ASCII white space, [\x20\x09-\x0D]; words are runs of other bytes, which is what bytes.split() gives.
 WHITE = b" \t\n\x0b\x0c\r"
 
+SMALL = 32 << 20
 #: Spark's own setting: shuffle files are deleted when the execution that made them ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -27,6 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it is small (SMALL bytes a core) and lies in fewer files than there are cores.
+
+    A file of one row group is one task, and with Python in it, one busy core. Larger tables stay as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL * cores:
+        return df
+    return df.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session (tests) gets one of its own; a cluster is an error."""
     if path := spark.conf.get("spark.checkpoint.dir", None):
@@ -107,7 +119,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for value in (0, 1):
         part = own.where(F.col("label") == value).orderBy(order, "doc_id").limit(per_class)
         picked = part if picked is None else picked.union(part)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return rows.select("doc_id", "text", "label").repartition(docs.sparkSession.sparkContext.defaultParallelism)
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocked, components, whole_groups, written
+from .common import blocked, components, spread, whole_groups, written
 
 COSINE = 0.93
 SAMPLE, ROUNDS = 8192, 30
@@ -216,7 +216,7 @@ def _buckets(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("long").alias("label"))
+    src = spread(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("long").alias("label")))
     picked = src.where("v is not null and label is not null").orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(SAMPLE).select("v")
     sample = [x for r in picked.toLocalIterator() if (x := usable(r["v"])) is not None]
     largest = src.where("v is not null and label is not null").groupBy("label").agg(F.approx_count_distinct(F.xxhash64("v")).alias("n")).agg(F.max("n")).first()[0] or 0

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, written
+from .common import WHITE, spread, written
 
 #: The largest primes under 2**63 and 2**62.
 PRIMES = (2**63 - 25, 2**62 - 57)
@@ -185,7 +185,7 @@ def _bitmap(groups: DataFrame) -> np.ndarray:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", huge: int = HUGE, primes: tuple[int, int] = PRIMES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_norm_bytes."""
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     large = F.coalesce(F.octet_length("text") >= huge, F.lit(False))
     prints = written(src.select("doc_id", F.when(~large, F.col("text")).alias("text"), large.alias("large")).mapInArrow(_prints(primes), _FP_DDL))
     if not prints.where("h1 is null").isEmpty():  # huge texts, left out so far

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, spread
 from .linear import sigmoid, svm
 
 DIMS, PER_LANG, SAMPLE, MOST_LANGS = 4096, 700, 4000, 200
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary())], names=["at", "lang", "v"])
 
     picked = own.where(draw < rate[F.col("lang")]).select("doc_id", "text", "lang", at.alias("at")).groupBy("at", "lang").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
-    picked = picked.orderBy("at", "lang").limit(2 * SAMPLE)
+    picked = picked.orderBy("at", "lang").limit(2 * SAMPLE).repartition(docs.sparkSession.sparkContext.defaultParallelism)
     got = picked.select("doc_id", "text", "lang", "at").mapInArrow(run, "at long, lang string, v binary").toPandas().sort_values(["at", "lang"])
     x = np.frombuffer(b"".join(got["v"]), np.float32).reshape(-1, DIMS)
     return Model(x, got["lang"].tolist())
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
 
 def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score. Predictions see nothing but the text."""
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    src = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
     model = docs.sparkSession.sparkContext.broadcast(fit(src, per_lang))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

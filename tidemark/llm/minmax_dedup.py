@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, runs, small_batches, written
+from .common import components, runs, small_batches, spread, written
 
 WORDS, SIMILAR = 5, 75
 PERMUTATIONS, BANDS = 64, 32
@@ -285,7 +285,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _near_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     prints = written(src.mapInArrow(_prints, _PRINTS))
     reps = written(prints.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     rows = reps.select(F.explode("bands").alias("key"), "rep", "n")

@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, written
+from .common import runs, spread, written
 
 THRESHOLD, ANCHOR = 50, 16
 #: Bytes of text for which a map task gathers records, for which there is one bucket, and that are hashed at once.
@@ -304,7 +304,7 @@ def _identified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     such ids are made different.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("own"), text.alias("text"))
+    src = spread(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("own"), text.alias("text")))
     per = written(src.groupBy("doc_id").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")))
     null = F.col("doc_id") == LAST
     some = per.agg(F.sum("bytes"), F.max(F.when(null, 1)), F.max(F.when(~null & (F.col("n") > 1), 1))).first()

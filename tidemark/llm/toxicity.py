@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, written
+from .common import held_out, labelled_sample, spread, written
 from .linear import logistic_towards, sigmoid
 
 # Word lists of the grammar, by symbol.
@@ -258,7 +258,7 @@ def score_udf(model: Model) -> Callable[[Column], Column]:
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class: int = PER_CLASS) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     scored = src.select("doc_id", held_out().alias("held_out"), score_udf(fit(src, labels, per_class))("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
@@ -266,4 +266,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_cla
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, that score under the threshold."""
     model = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels)
-    return docs.where(score_udf(model)(F.col("text")) < threshold)
+    return spread(docs).where(score_udf(model)(F.col("text")) < threshold)
