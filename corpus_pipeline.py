@@ -1,8 +1,13 @@
 """A corpus pipeline of five stages over ``documents``.
 
-Each stage gets what its predecessor kept, as a table. The first four return the columns of documents; the last one the
-tokens' digests. A document without an id is never taken for a copy of another. A row whose doc_id repeats goes or stays
-with its twin.
+Each stage gets what its predecessor kept, as a table. The first four return the columns of documents, further ones
+whatever their names included; the last one the tokens' digests.
+
+Defined cases, in every stage: a null text counts as an empty one. It is not toxic; empty and white-space texts are exact
+copies of each other, and near copies of nothing; they mix as one token and encode to none. Texts are read whole. A
+document without an id is judged by its text like others in the toxicity stage, never goes as a copy of another, and draws
+by the empty string in the mix. A row whose doc_id repeats goes or stays with its twin, also where their texts differ:
+the copy stages drop ids. Ties go to the smaller id. An empty table stays empty.
 """
 
 from __future__ import annotations
