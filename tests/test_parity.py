@@ -54,6 +54,24 @@ def test_shares_and_draws_without_a_join_of_all_with_all(spark):
     assert [r["n"] for r in got] == [0, 1, 1, 3, 3, 3, 3, 4, 4, 4, 4, 4]
 
 
+def test_a_live_stream_draws_the_same_items(spark, tmp_path):
+    faces = spark.createDataFrame([(f"f{i}",) for i in range(5)], "face_id string")
+    own = schedule.resolve(faces, {"f1": Rule(start=30), "f2": Rule(stop=50, weight=3.0)})
+    query = schedule.live(own, seed=4, rows=40).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/marks").start()
+    try:
+        for _ in range(200):
+            if query.lastProgress and query.lastProgress["batchId"] >= 2:
+                break
+            import time
+
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    got = {r["idx"]: r["label"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = {r["idx"]: r["label"] for r in schedule.draw(own, len(got), seed=4).collect()}
+    assert len(got) >= 80 and got == want
+
+
 def test_a_rewrite_that_fails_leaves_no_stream(spark, tmp_path):
     path = f"file://{tmp_path}/s"
     good = spark.range(10).selectExpr("id as idx", "'a' as label")

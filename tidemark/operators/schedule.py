@@ -98,15 +98,25 @@ def check(schedule: DataFrame, n: int) -> None:
         raise ScheduleError(f"no label is active at item {idle['lo']}")
 
 
-def draw(schedule: DataFrame, n: int, seed: int = 0, first: int = 0) -> DataFrame:
-    """idx, label of the items from first up to n.
+def drawn(items: DataFrame, schedule: DataFrame, seed: int = 0) -> DataFrame:
+    """idx, label of items (idx), a table or a stream.
 
     An item finds its segment among the places of change, and its label among the segment's cumulative shares, both by
     halving a sorted array; the one join is by segment, of which there are as many as changes.
     """
-    spark = schedule.sparkSession
     own = shares(schedule).groupBy("seg").agg(F.sort_array(F.collect_list(F.struct("cum_hi", "face_id"))).alias("own"))
     own = own.select("seg", F.transform("own", lambda x: x["cum_hi"]).alias("bounds"), F.transform("own", lambda x: x["face_id"]).alias("names"))
-    items = spark.range(first, n).select(F.col("id").alias("idx"), uniform(F.col("id"), "arrival", seed, "arrival").alias("u"), edges(schedule).scalar().alias("edges"))
+    items = items.select("idx", uniform(F.col("idx"), "arrival", seed, "arrival").alias("u"), edges(schedule).scalar().alias("edges"))
     items = items.select("idx", "u", (upper_bound(F.col("edges"), F.col("idx")) - 1).alias("seg"))
     return items.join(own, "seg").select("idx", F.get("names", upper_bound(F.col("bounds"), F.col("u"))).alias("label"))
+
+
+def draw(schedule: DataFrame, n: int, seed: int = 0, first: int = 0) -> DataFrame:
+    """idx, label of the items from first up to n."""
+    return drawn(schedule.sparkSession.range(first, n).select(F.col("id").alias("idx")), schedule, seed)
+
+
+def live(schedule: DataFrame, seed: int = 0, rows: int = 1000) -> DataFrame:
+    """The same items as a stream without end, rows of them a batch."""
+    source = schedule.sparkSession.readStream.format("rate-micro-batch").option("rowsPerBatch", rows).option("numPartitions", 1).load()
+    return drawn(source.select(F.col("value").alias("idx")), schedule, seed)

@@ -8,7 +8,7 @@ from datetime import UTC, datetime
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,11 +59,14 @@ def write_stream(items: DataFrame, path: str, shard: int = SHARD, **facts: objec
     return finish_stream(items.sparkSession, path, shard, None, **facts)
 
 
-def append_items(items: DataFrame, path: str, shard: int = SHARD, mode: str = "append") -> None:
+def append_items(items: DataFrame, path: str, shard: int = SHARD, mode: str = "append") -> dict[str, int]:
+    """Write items by shard; what was seen on the way: n of them, errors among them."""
     own = items.withColumn("shard", F.floor(F.col("idx") / shard))
     if "error" not in items.columns:
         own = own.withColumn("error", F.lit(None).cast("string"))
-    own.write.mode(mode).partitionBy("shard").parquet(f"{path}/items")
+    seen = Observation("items")
+    own.observe(seen, F.count(F.lit(1)).alias("n"), F.count("error").alias("errors")).write.mode(mode).partitionBy("shard").parquet(f"{path}/items")
+    return seen.get
 
 
 def finish_stream(spark: SparkSession, path: str, shard: int = SHARD, most: int | None = None, **facts: object) -> dict:
