@@ -221,6 +221,22 @@ def test_plug_in_models_equal_their_batch_forms(spark):
     assert scale[0] is None and scale[1] is None and scale[100] == pytest.approx(x[:100].std(0, ddof=1).mean())
 
 
+def test_streamed_models_equal_their_batch_forms(spark, tmp_path):
+    from tidemark.streaming import processors
+
+    r = np.random.default_rng(6)
+    rows = [("s", i, str(i % 3), (r.standard_normal(4) + 2 * (i % 3)).tolist()) for i in range(45)]
+    schema = "stream_id string, idx long, label string, features array<double>"
+    for part in range(3):
+        spark.createDataFrame(rows[part * 15 : part * 15 + 15], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+    live = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    for name in ("baseline", "replay-head"):
+        model = registry.load(name)
+        got = processors.run_now(spark, processors.recognized(live, model), f"file://{tmp_path}/{name}")
+        want = registry.prequential(spark.createDataFrame(rows, schema), model)
+        assert sorted(map(str, got.collect())) == sorted(str(q) for q in want.select("idx", "label", "pred").collect())
+
+
 def test_boxes_stay_on_the_canvas(spark):
     cases = [(300, 5, 20, 10), (5, 90, 20, 10), (-60, -60, 20, 10), (10, 10, 5, 4)]
     df = spark.createDataFrame(cases, "x int, y int, w int, h int")
@@ -243,6 +259,9 @@ def test_planner_of_the_renderer_is_that_of_the_columns(spark):
 def test_classes_in_order_and_headline(spark):
     preds = spark.createDataFrame([(i, "ab"[i % 3 == 0], "a") for i in range(9)] + [(9, "c", None)], "idx long, label string, pred string")
     assert [r["label"] for r in scoring.classes(preds, 3).collect()] == ["a", "b", "c"]
+    far = scoring.result(preds.withColumn("idx", F.col("idx") * 1000), 5, 2)
+    assert {r["n_items"] for r in far.curve.collect()} == {2, 4, 6, 8, 10} and far.confusion.count() == 3
+    assert sorted(map(str, far.headline.collect())) == sorted(map(str, scoring.headline(preds, ordered.majority(preds.select("idx", "label")), 5).collect()))
     got = {r["measure"]: (r["overall"], r["recent"]) for r in scoring.headline(preds, ordered.majority(preds.select("idx", "label")), 5).collect()}
     assert got["accuracy"] == (0.6, 0.6) and got["chance"] == (round(1 / 3, 9), None) and got["lift"][0] == pytest.approx(0.6 / got["majority"][0])
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidemark import config
 from tidemark.functions import imaging
 from tidemark.models import registry
-from tidemark.operators import integrity, ordered, schedule, scoring
+from tidemark.operators import integrity, schedule, scoring
 from tidemark.sources import assets, fonts, render, store
 
 
@@ -115,13 +115,13 @@ def scored(spark: SparkSession, items: DataFrame, model: type[registry.Recognize
     own = items.select(F.lit("stream").alias("stream_id"), "idx", "label", features.alias("features"))
     got = registry.prequential(own, model).select("idx", "label", "pred")
     rows = got.persist(StorageLevel.DISK_ONLY)  # one sequence: its answers are made once, and scored from here
+    found = scoring.result(rows)
     if classes:
-        shown(scoring.classes(rows).select("label", "support", *(F.round(c, 4).alias(c) for c in ("recall", "precision")), F.round("recent_recall", 4).alias("recent")))
-    wrong = scoring.worst(scoring.confusion(rows), 5).collect()
+        shown(found.classes.select("label", "support", *(F.round(c, 4).alias(c) for c in ("recall", "precision")), F.round("recent_recall", 4).alias("recent")))
+    wrong = scoring.worst(found.confusion, 5).collect()
     if wrong:
         print("most confused:", "   ".join(f"{r['true'].split(':')[0]}→{r['predicted'].split(':')[0]} {r['n']}" for r in wrong))
-    place_of = ordered.ranked(rows.select("idx", "label"), "idx", "rank").select(F.col("rank").alias("idx"), "label")
-    return spark.createDataFrame(scoring.headline(rows, ordered.majority(place_of)).toArrow())
+    return spark.createDataFrame(found.headline.toArrow())
 
 
 def models_list(spark: SparkSession, a: argparse.Namespace) -> DataFrame:

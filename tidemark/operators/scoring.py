@@ -6,10 +6,12 @@ without a denominator are 0.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import rolling_mean
+from .ordered import majority, ranked, rolling_mean
 
 ABSTAIN, WINDOW, CURVE_EVERY = "∅", 500, 100
 
@@ -47,10 +49,10 @@ def classes(preds: DataFrame, window: int = WINDOW) -> DataFrame:
     return by_class(m).join(first, "label").join(now, "label", "left").orderBy(F.desc("support"), "first_idx")
 
 
-def headline(preds: DataFrame, majority: DataFrame, window: int = WINDOW) -> DataFrame:
-    """measure, overall, recent: the scores over all and over the last rows, and those of answering the commonest label (majority: its predictions) and of chance."""
+def headline(preds: DataFrame, common: DataFrame, window: int = WINDOW) -> DataFrame:
+    """measure, overall, recent: the scores over all and over the last rows, and those of answering the commonest label (common: its predictions) and of chance."""
     one, now = overall(confusion(preds)), overall(confusion(recent(preds, window)))
-    common = overall(confusion(majority)).select(F.lit(1).alias("k"), F.col("accuracy").alias("common"))
+    common = overall(confusion(common)).select(F.lit(1).alias("k"), F.col("accuracy").alias("common"))
     both = one.withColumn("k", F.lit(1)).join(now.select(F.lit(1).alias("k"), *(F.col(c).alias("recent_" + c) for c in ("accuracy", "balanced_accuracy", "macro_f1"))), "k").join(common, "k")
     lift = F.when(F.col("common") == 0, float("inf")).otherwise(F.round(F.col("accuracy") / F.col("common"), 9))
     none = F.lit(None).cast("double")
@@ -58,6 +60,21 @@ def headline(preds: DataFrame, majority: DataFrame, window: int = WINDOW) -> Dat
     return both.select(F.explode(F.array(*(F.struct(F.lit(n).alias("measure"), a.alias("overall"), b.alias("recent")) for n, a, b in rows))).alias("x")).select("x.*")
 
 
+class Result(NamedTuple):
+    """Everything about predictions in order: as tables, none of them computed yet."""
+
+    headline: DataFrame
+    classes: DataFrame
+    confusion: DataFrame
+    curve: DataFrame
+
+
+def result(preds: DataFrame, window: int = WINDOW, every: int = CURVE_EVERY) -> Result:
+    """The Result of preds (idx, label, pred); windows count rows, so gaps in idx don't matter."""
+    own = ranked(preds.select("idx", "label", "pred"), "idx", "rank").select(F.col("rank").alias("idx"), "label", "pred")
+    return Result(headline(own, majority(own.select("idx", "label")), window), classes(own, window), confusion(own), curve(own, every, window))
+
+
 def worst(matrix: DataFrame, k: int = 10) -> DataFrame:
     """The k largest wrong cells: by count, then by the first appearance of the true label and of the pair."""
     first = matrix.groupBy("true").agg(F.min("first_idx").alias("first_true"))

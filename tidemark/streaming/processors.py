@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.models.registry import Recognizer
 from tidemark.operators import ordered
 
 
@@ -93,6 +95,26 @@ def rolling_accuracy(stream: DataFrame, window: int = 500) -> DataFrame:
     return stream.groupBy("stream_id").applyInPandasWithState(step, "idx long, accuracy double", "ring array<int>", "append", "NoTimeout")
 
 
+def recognized(stream: DataFrame, model: Callable[[], Recognizer]) -> DataFrame:
+    """idx, label, pred of a plug-in model over a stream (stream_id, idx, label, features).
+
+    State is the model itself, one a stream, as long as it has learned: nearest neighbours with their scaler, replay
+    buffers with their weights. Rows of a batch are taken in the order of idx, each answered before its label is learned.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        own = cloudpickle.loads(bytes(state.get[0])) if state.exists else model()
+        rows = pd.concat(list(parts)).sort_values("idx")
+        preds = []
+        for features, label in zip(rows["features"], rows["label"]):
+            preds.append(own.predict(features))
+            own.learn(features, label)
+        state.update((cloudpickle.dumps(own),))
+        yield rows[["idx", "label"]].assign(pred=pd.Series(preds, index=rows.index, dtype=object))
+
+    return stream.groupBy("stream_id").applyInPandasWithState(step, "idx long, label string, pred string", "model binary", "append", "NoTimeout")
+
+
 def run_now(spark: SparkSession, streaming: DataFrame, path: str) -> DataFrame:
     """The rows of a streaming query over what there is now, written under path (a folder that all executors share)."""
     out, marks = f"{path}/out", f"{path}/checkpoint"
