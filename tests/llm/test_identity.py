@@ -42,6 +42,23 @@ def test_the_bitmap_only_spares_reading(spark, monkeypatch):
     assert Counter(map(tuple, exact_dedup.exact_groups(df).collect())) == plain_groups(rows)
 
 
+def test_the_bitmap_has_the_bits_of_all_groups(spark):
+    r = random.Random(4)
+    marks = [0, 1, exact_dedup.BITS - 1, exact_dedup.BITS, 32_767, 32_768, (1 << 63) - 1] + [r.randrange(1 << 63) for _ in range(500)]
+    bits = exact_dedup._bitmap(spark.createDataFrame([(m,) for m in marks], "mark long"))
+    assert np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist() == sorted({m % exact_dedup.BITS for m in marks})
+
+
+def test_texts_of_groups_are_compared(spark):
+    """The chunks of every text that has a partner are sent, those of others hardly ever."""
+    rows = [(i, f"text {i // 2 if i < 20 else i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = [exact_dedup._mark(__import__("xxhash").xxh3_64_intdigest(exact_dedup.normalise(t))) for _, t in rows[:20]]
+    bits = spark.sparkContext.broadcast(exact_dedup._bitmap(spark.createDataFrame([(m,) for m in marks], "mark long")))
+    sent = df.select("text").mapInArrow(exact_dedup._chunks(bits, exact_dedup.PRIMES), exact_dedup._CHUNKS_DDL).collect()
+    assert Counter(bytes(x["data"]) for x in sent) == Counter(exact_dedup.normalise(t) for _, t in rows[:20])
+
+
 def plain_repeats(rows, size=50):
     first, last = {}, 1 << 62
     for i, t in rows:

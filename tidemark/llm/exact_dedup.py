@@ -172,11 +172,10 @@ def _chunks(bits: np.ndarray, primes: tuple[int, int]) -> Callable[[Iterator[pa.
 
 def _bitmap(groups: DataFrame) -> np.ndarray:
     """One bit for each mark modulo BITS, built on the executors; at most BITS / 8 bytes reach the driver."""
-    at = F.pmod("mark", F.lit(BITS))
+    at = F.pmod("mark", F.lit(BITS)) + 1  # the built-in bitmaps count positions and buckets from 1
     got = groups.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
     out = np.zeros(BITS // 8, np.uint8)
     for r in got:
-        # Buckets count from 1, but for the one that holds position 0 in versions that count it as 0.
         start = (r["k"] - 1) * 4096
         out[start : start + 4096] |= np.frombuffer(r["bits"], np.uint8)
     return out
