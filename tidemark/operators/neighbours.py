@@ -43,7 +43,7 @@ def neighbours(stream: DataFrame, k: int = NEIGHBOURS, window: int = WINDOW) ->
     """
     scaled = scaler(stream).groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("dim", "x", "mean", "var"))).alias("c"))
     rows = scaled.select("idx", F.transform("c", lambda c: c["x"]).alias("x"), F.transform("c", lambda c: F.coalesce(c["mean"], F.lit(0.0))).alias("mean"), F.transform("c", lambda c: F.coalesce(F.sqrt(c["var"]), F.lit(0.0))).alias("sd"))
-    rows = ranked(rows, "idx", "pos")
+    rows = ranked(rows, "idx", "pos", source=stream)
     b = F.floor(F.col("pos") / window)
     dealt = rows.withColumn("block", F.explode(F.array(b, b + 1)))
 

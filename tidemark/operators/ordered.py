@@ -18,12 +18,13 @@ def block(idx: str | Column = "idx", size: int = BLOCK) -> Column:
     return F.floor((F.col(idx) if isinstance(idx, str) else idx) / size)
 
 
-def ranked(df: DataFrame, key: str, name: str = "idx", size: int = BLOCK) -> DataFrame:
+def ranked(df: DataFrame, key: str, name: str = "idx", size: int = BLOCK, source: DataFrame | None = None) -> DataFrame:
     """df with the 0-based rank of an integer key without ties.
 
     Blocks are as wide as holds about ``size`` rows, so keys may lie far apart (times, hashes) as well as close together.
+    The bounds of the keys are read from source, a cheaper table with the same ones, if it is given.
     """
-    span = df.agg(F.struct(F.min(key).alias("lo"), F.greatest(F.lit(1.0), (F.max(key) - F.min(key) + 1) * F.lit(float(size)) / F.count(key)).alias("width")).alias("s")).scalar()
+    span = (df if source is None else source).agg(F.struct(F.min(key).alias("lo"), F.greatest(F.lit(1.0), (F.max(key) - F.min(key) + 1) * F.lit(float(size)) / F.count(key)).alias("width")).alias("s")).scalar()
     own = df.withColumn("__b", F.floor((F.col(key) - span["lo"]) / span["width"]))
     counts = own.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
