@@ -103,8 +103,8 @@ def test_repeat_removal(docs, texts):
 
 
 def test_merged_spans_keep_documents_apart():
-    doc, s, e = suffix_dedup.merged(np.array([1, 1, 1, 2, 2]), np.array([0, 10, 40, 5, 90]), np.array([10, 20, 50, 60, 95]))
-    assert list(zip(doc.tolist(), s.tolist(), e.tolist())) == [(1, 0, 20), (1, 40, 50), (2, 5, 60), (2, 90, 95)]
+    doc, twin, s, e = suffix_dedup.merged(np.array([1, 1, 1, 2, 2, 2]), np.array([0, 0, 0, 0, 0, 7]), np.array([0, 10, 40, 5, 90, 6]), np.array([10, 20, 50, 60, 95, 61]))
+    assert list(zip(doc.tolist(), twin.tolist(), s.tolist(), e.tolist())) == [(1, 0, 0, 20), (1, 0, 40, 50), (2, 0, 5, 60), (2, 0, 90, 95), (2, 7, 6, 61)]
 
 
 def test_bpe(docs, texts):

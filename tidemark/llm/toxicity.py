@@ -49,7 +49,7 @@ REACH = 3
 EVENTS = ("insult", "targeted", "negated", "reported", "threat", "slur")
 HARM = "ITM"
 #: Arc weights before anything is learned, and the weight of no event.
-PRIOR, NOTHING = (3.5, 6.0, 0.5, 0.5, 6.0, 1.0), -3.0
+PRIOR, NOTHING = (3.5, 6.0, 0.5, 0.75, 6.0, 1.0), -3.0
 #: One targeted clause or threat scores at least the first, one isolated word at most the second.
 CLAUSE, ALONE = 0.7, 0.4
 #: How strongly weights are pulled towards the built-in ones.
