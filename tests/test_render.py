@@ -11,7 +11,7 @@ from tidemark import config
 from tidemark.__main__ import main
 from tidemark.functions import backgrounds, keys
 from tidemark.sources import fonts, render, store
-from tidemark.sources.outlines import Outlines, coverage
+from tidemark.sources.outlines import Outlines, coverage, kerned
 
 
 def box(x0: int, y0: int, x1: int, y1: int) -> bytes:
@@ -59,6 +59,19 @@ def test_outlines_and_coverage():
         Outlines(font("AB", "No", "Glyphs"))
 
 
+def test_kerning_pairs():
+    def part(pairs, coverage):
+        body = b"".join(struct.pack(">HHh", *p) for p in pairs)
+        return struct.pack(">4H", 0, 14 + len(body), coverage, len(pairs)) + struct.pack(">3H", 6, 0, 0) + body
+
+    table = struct.pack(">HH", 0, 4) + part([(1, 2, -100), (2, 1, 30)], 1) + part([(1, 2, -20)], 1) + part([(2, 1, 5)], 9) + part([(1, 1, 99)], 3)
+    assert kerned(table) == {(1, 2): -120, (2, 1): 5} and kerned(None) == {} == kerned(struct.pack(">HH", 1, 0))
+    f = Outlines(drawn_font("HI", "Box"))
+    f.pairs = kerned(table)
+    lines, advance = f.set("HIH", 100)
+    assert advance == pytest.approx(150 - 12 + 0.5) and [line[:, 0].min() for line in lines] == pytest.approx([5, 43, 93.5])
+
+
 def test_backgrounds_repeat_and_stay_in_range():
     for kind in backgrounds.KINDS:
         for h, w in ((14, 32), (220, 900), (1, 1)):

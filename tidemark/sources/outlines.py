@@ -1,6 +1,6 @@
 """Outlines of TrueType fonts, drawn as coverage: winding numbers on a grid FINE times as fine, averaged to pixels.
 
-Text is set by advance widths, without kerning or ligatures. Outlines of other kinds (CFF) are a ValueError.
+Text is set by advance widths and the pairs of a ``kern`` table, without ligatures or the kerning of other tables. Outlines of other kinds (CFF) are a ValueError.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ class Outlines:
         self.at = struct.unpack_from(f">{n + 1}I", t["loca"]) if long else [2 * x for x in struct.unpack_from(f">{n + 1}H", t["loca"])]
         wide = struct.unpack_from(">H", t["hhea"], 34)[0]
         self.widths = [struct.unpack_from(">H", t["hmtx"], 4 * i)[0] for i in range(wide)]
+        self.pairs = kerned(t.get("kern"))
 
     def advance(self, glyph: int) -> int:
         return self.widths[min(glyph, len(self.widths) - 1)] if self.widths else self.units
@@ -90,15 +91,33 @@ class Outlines:
 
     def set(self, text: str, em: float, spacing: float = 0.0) -> tuple[list[np.ndarray], float]:
         """(closed lines in pixels with y downwards from the base line, width of the advances)."""
-        scale, pen, out = em / self.units, 0.0, []
+        scale, pen, out, before = em / self.units, 0.0, [], None
         for i, c in enumerate(text):
             pen += spacing if i else 0.0
             glyph = self.glyphs.get(ord(c), 0)
+            pen += self.pairs.get((before, glyph), 0) * scale
+            before = glyph
             out += [line * [scale, -scale] + [pen, 0.0] for line in self.contours(glyph)]
             pen += self.advance(glyph) * scale
         return out, pen
 
 
+def kerned(table: bytes | None) -> dict[tuple[int, int], int]:
+    """What is added between two glyphs, from the horizontal pair lists (format 0) of a kern table of version 0."""
+    out: dict[tuple[int, int], int] = {}
+    if not table or struct.unpack_from(">H", table)[0] != 0:
+        return out
+    at = 4
+    for _ in range(struct.unpack_from(">H", table, 2)[0]):
+        _, size, coverage, n = struct.unpack_from(">4H", table, at)
+        if coverage >> 8 == 0 and coverage & 1 and not coverage & 6:  # horizontal, neither minima nor across the line
+            for k in range(n):
+                left, right, value = struct.unpack_from(">HHh", table, at + 14 + 6 * k)
+                out[left, right] = value if coverage & 8 else out.get((left, right), 0) + value
+        at += size
+    return out
+
+
 def _line(points: np.ndarray, on: np.ndarray) -> np.ndarray:
     """A contour's points as a closed line: two control points in a row have a point halfway between them."""
     full: list[tuple[np.ndarray, bool]] = []
