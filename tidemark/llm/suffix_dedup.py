@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, spread, written
+from .common import runs, small_batches, spread, written
 
 THRESHOLD, ANCHOR = 50, 16
 #: Bytes of text for which a map task gathers records, for which there is one bucket, and that are hashed at once.
@@ -284,6 +284,18 @@ def _finish(raw: bytes, spans: Iterable[tuple[int, int]]) -> tuple[int, int, int
     return n, gone, count, h.hexdigest()
 
 
+def _fewer(df: DataFrame) -> DataFrame:
+    """df in a quarter of the partitions of a shuffle, three for each core at least: fewer files, each of which makes the JVM fork twice."""
+    spark = df.sparkSession
+    return df.coalesce(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """written(), in few files and with small Arrow batches."""
+    with small_batches(df.sparkSession):
+        return written(_fewer(df))
+
+
 _DONE = "doc_id long, twin long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -341,7 +353,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     def sorted_by_bucket(dealt: DataFrame) -> DataFrame:
         return dealt.repartition("bucket", F.coalesce("doc_id", F.lit(0))).sortWithinPartitions("bucket")
 
-    found = written(sorted_by_bucket(unique.mapInArrow(deal_runs, _DEALT)).mapInArrow(_sort_runs, _SPAN))
+    found = _kept(sorted_by_bucket(unique.mapInArrow(deal_runs, _DEALT)).mapInArrow(_sort_runs, _SPAN))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents without open runs are finished; the others keep their text."""
@@ -359,7 +371,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 
     # A list is as long as one text has runs: equal rows dealt theirs once.
     spans = found.groupBy(*row).agg(F.collect_list(F.struct("kind", "s", "e")).alias("own"))
-    state = written(unique.join(spans, row, "left").select(*row, "text", "own").mapInArrow(first, "doc_id long, twin long, text string, own array<struct<kind:int,s:long,e:long>>, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    state = _kept(unique.join(spans, row, "left").select(*row, "text", "own").mapInArrow(first, "doc_id long, twin long, text string, own array<struct<kind:int,s:long,e:long>>, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
     opened = state.where("own is not null").select(*row, "text", "own")
 
     def deal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,12 +392,12 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
                     s = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
                     if len(s):
                         two = [Hashes(part, k).of(s, s + THRESHOLD) for k in range(2)]
-                        got.add([two[0], (two[1] >> np.uint64(32)).astype(np.uint32)], doc, twin, s + at, s + at, 8 * len(s))
+                        got.add([two[0], (two[1] >> np.uint64(32)).astype(np.uint32)], doc, twin, s + at, s + at, 24 * len(s))
                 if got.full():
                     yield from got.flush()
         yield from got.flush()
 
-    more = written(sorted_by_bucket(opened.mapInArrow(deal_windows, _DEALT)).mapInArrow(_sort_windows, _SPAN))
+    more = _kept(sorted_by_bucket(opened.mapInArrow(deal_windows, _DEALT)).mapInArrow(_sort_windows, _SPAN))
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -406,7 +418,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     out = out.drop("twin")
     null = F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id")
     both = found.where("kind = 0").union(more).select(null, "s", "e")
-    return out.withColumn("doc_id", null), both
+    return _fewer(out.withColumn("doc_id", null)), both
 
 
 _FINAL = pa.schema([("doc_id", pa.int64()), ("twin", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
