@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tidemark.llm import suffix_dedup
 from tidemark.llm.common import settings, written
 
@@ -26,3 +28,23 @@ def test_op6_writes_few_files_and_finds_the_same(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == want
         assert got.rdd.getNumPartitions() <= 16
     assert max(files[1:]) <= 16, files  # the first is the ids' own table
+
+
+def test_op6_blobs_keep_many_records_on_large_inputs():
+    for gb in (1, 6, 30):
+        text = int(gb * 1.77e9)
+        assert suffix_dedup.CHUNK / 19 / suffix_dedup._buckets(text, suffix_dedup.BUCKET) > 100, gb
+        assert text / suffix_dedup._buckets(text, suffix_dedup.BUCKET) <= suffix_dedup.BUCKET
+
+
+def test_op6_records_keep_their_values_and_order():
+    r = np.random.default_rng(3)
+    key, more, doc = r.integers(0, 1 << 63, 500, dtype=np.uint64) << np.uint64(1), r.integers(0, 3, 500, dtype=np.uint32), r.integers(0, 9, 500)
+    key[200:400] = key[:200]
+    key[0], key[199] = 0, (1 << 64) - 1
+    o = suffix_dedup._ordered([key, more], doc)
+    assert np.array_equal(np.stack([x[o].astype(np.uint64) for x in (key, more, doc)]), np.stack([x[np.lexsort((doc, more, key))].astype(np.uint64) for x in (key, more, doc)]))
+    one = np.arange(500, dtype=np.int64)  # each its own document, so that none is settled early
+    (b,) = suffix_dedup._deal([key[:200], more[:200]], [], one[:200], one[:200] * 0, one[:200], one[:200] + 7, 7)
+    cols = [suffix_dedup.unpack(blob, n, [np.uint64, np.uint32, np.int64, np.int64, np.uint32, np.uint8]) for blob, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist()) if blob]
+    assert sorted(zip(*(np.concatenate(c).tolist() for c in zip(*cols)))) == sorted(zip(key[:200].tolist(), more[:200].tolist(), range(200), [0] * 200, range(200), [7] * 200))

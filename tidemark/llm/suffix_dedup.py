@@ -18,9 +18,9 @@ The digits stand for bytes: a digit of 50 bytes and more travels as a hash of it
 the anchor, 48 of the run), windows by 96 of two hashes with different multipliers; that two different ones agree
 anywhere among 10**13 has a probability of about 0.001. Bytes themselves would travel as 3.6 times the text.
 
-Records travel as compressed blobs of arrays, one a map chunk and bucket, and are sorted inside a bucket with numpy; the
-number of buckets follows the bytes of the input, so a bucket fits in memory at every size. Intermediate results are
-tables in the shared folder.
+Records travel as compressed blobs of arrays, one a map chunk and bucket, and are sorted inside a bucket with numpy. The
+number of buckets follows the bytes of the input, for windows the number of windows, so a bucket fits in memory at every
+size; a blob of runs still holds about 100 records at 30 GB. Intermediate results are tables in the shared folder.
 
 Defined cases: a null or empty text has no bytes; texts under 50 bytes keep all. A null doc_id counts as larger than all
 others. Rows of one doc_id, or without one, never remove each other's bytes; each row is judged by its own text: rows
@@ -43,8 +43,11 @@ from pyspark.sql import functions as F
 from .common import runs, small_batches, spread, written
 
 THRESHOLD, ANCHOR = 50, 16
-#: Bytes of text for which a map task gathers records, for which there is one bucket, and that are hashed at once.
-CHUNK, BUCKET, PIECE = 16 << 20, 2 << 20, 1 << 20
+#: Bytes of text for which a map task gathers records, for which there is one bucket, and that are hashed at once. A chunk
+#: sends a blob to each bucket, so small buckets would make blobs of a few records of a large input.
+CHUNK, BUCKET, PIECE = 16 << 20, 8 << 20, 1 << 20
+#: Windows sorted singly for which there is one bucket, and buckets at least.
+WINDOWS, LEAST = 1 << 19, 1 << 10
 SIDE = (THRESHOLD - ANCHOR + 1) // 2
 LAST = (1 << 63) - 1
 
@@ -53,6 +56,7 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 #: Two odd multipliers with their inverses.
 _BASES = [(m, pow(m, -1, 1 << 64)) for m in (int(_rng.integers(1 << 60, 1 << 62)) | 5 for _ in range(2))]
 _powers: dict[int, np.ndarray] = {}
+_TIGHT, _LOOSE = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -119,7 +123,29 @@ def anchored_runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    return zstandard.compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns), 1)
+    """Columns as planes of their bytes, so that equal high bytes lie together."""
+    return _TIGHT.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns))
+
+
+def unpack(blob: bytes, n: int, kinds: list[type]) -> list[np.ndarray]:
+    raw, at, out = _LOOSE.decompress(blob), 0, []
+    for kind in kinds:
+        wide = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * wide, at).reshape(wide, n).T).view(kind)[:, 0])
+        at += n * wide
+    return out
+
+
+def _ordered(keys: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
+    """The order by keys, then doc. Most first keys are alone: only the others are compared further."""
+    o = np.argsort(keys[0])
+    a = keys[0][o]
+    same = np.zeros(len(o) + 1, bool)
+    same[1:-1] = a[1:] == a[:-1]
+    tied = np.flatnonzero(same[1:] | same[:-1])
+    own = o[tied]
+    o[tied] = own[np.lexsort((doc[own], *(k[own] for k in reversed(keys))))]
+    return o
 
 
 def merged(doc: np.ndarray, twin: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -136,6 +162,11 @@ def merged(doc: np.ndarray, twin: np.ndarray, start: np.ndarray, end: np.ndarray
     return doc[new], twin[new], start[new], np.append(high[:-1][new[1:]], high[-1]) - lift[new]
 
 
+def _dealt(anchor: np.ndarray) -> np.ndarray:
+    """48 bits of each anchor's hash, those first that a smallest hash does not favour: the first ones name the bucket."""
+    return (anchor << np.uint64(16) & np.uint64(0xFFFFFFFF00000000)) | anchor >> np.uint64(48)
+
+
 _SPAN = "doc_id long, twin long, kind int, s long, e long"
 
 
@@ -150,7 +181,7 @@ _DEALT_PA = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("n", pa.i
 
 def _deal(keys: list[np.ndarray], extra: list[np.ndarray], doc: np.ndarray, twin: np.ndarray, s: np.ndarray, e: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Records sorted and sent as blobs, but for those that a smaller doc_id of the chunk makes repeated: their spans are settled."""
-    o = np.lexsort((doc, *reversed(keys)))
+    o = _ordered(keys, doc)
     keys, extra, doc, twin, s, e = [k[o] for k in keys], [x[o] for x in extra], doc[o], twin[o], s[o], e[o]
     fresh = np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))
     left = doc == doc[fresh][np.cumsum(fresh) - 1]
@@ -159,26 +190,20 @@ def _deal(keys: list[np.ndarray], extra: list[np.ndarray], doc: np.ndarray, twin
         none = pa.nulls(b.num_rows)
         yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), *b.columns], schema=_DEALT_PA)
     keys, extra, doc, twin, s, e = [k[left] for k in keys], [x[left] for x in extra], doc[left], twin[left], s[left], e[left]
-    to = (keys[0] >> np.uint64(40)).astype(np.int64) % buckets
-    o = np.argsort(to, kind="stable")
-    cuts = np.searchsorted(to[o], np.arange(buckets + 1))
+    # Buckets are ranges of the first key: what is sorted by it is sorted by bucket.
+    cuts = np.searchsorted(keys[0] >> np.uint64(32), (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets))
+    s, wide = s.astype(np.uint32), (e - s).astype(np.uint8)
     rows: list[tuple[int, bytes, int]] = []
     for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
-        at = o[cuts[k] : cuts[k + 1]]
-        rows.append((int(k), pack(*(x[at] for x in keys), *(x[at] for x in extra), doc[at], twin[at], s[at].astype(np.uint32), (e[at] - s[at]).astype(np.uint8)), len(at)))
+        at = slice(cuts[k], cuts[k + 1])
+        rows.append((int(k), pack(*(x[at] for x in (*keys, *extra, doc, twin, s, wide))), int(cuts[k + 1] - cuts[k])))
     none = pa.nulls(len(rows))
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64())], schema=_DEALT_PA)
 
 
 def _bucket(rows: pa.Table, kinds: list[type]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The records of a bucket: keys and further columns of these kinds, doc, twin, s, e."""
-    parts: list[list[np.ndarray]] = []
-    for blob, n in zip(rows["blob"], rows["n"].to_pylist()):
-        raw, at, own = zstandard.decompress(blob.as_py()), 0, []
-        for kind in [*kinds, np.int64, np.int64, np.uint32, np.uint8]:
-            own.append(np.frombuffer(raw, kind, n, at))
-            at += own[-1].nbytes
-        parts.append(own)
+    parts = [unpack(blob.as_py(), n, [*kinds, np.int64, np.int64, np.uint32, np.uint8]) for blob, n in zip(rows["blob"], rows["n"].to_pylist())]
     *cols, doc, twin, s, wide = (np.concatenate(c) for c in zip(*parts))
     return cols, doc, twin, s.astype(np.int64), s.astype(np.int64) + wide
 
@@ -193,7 +218,7 @@ def _sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _settled(rows)
             continue
         (anchor, whole, sides), doc, twin, s, e = _bucket(rows, [np.uint64, np.uint64, np.uint32])
-        o = np.lexsort((doc, whole, anchor))
+        o = _ordered([anchor, whole], doc)
         anchor, whole, sides, doc, twin, s, e = (x[o] for x in (anchor, whole, sides, doc, twin, s, e))
         fresh = np.append(True, (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1]))
         gone = doc != doc[fresh][np.cumsum(fresh) - 1]
@@ -219,10 +244,7 @@ def _sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield _settled(rows)
             continue
         (window, more), doc, twin, s, _ = _bucket(rows, [np.uint64, np.uint32])
-        o = np.lexsort((doc, window))
-        cuts = np.flatnonzero(np.append(True, window[o][1:] != window[o][:-1]))
-        if (np.minimum.reduceat(more[o], cuts) != np.maximum.reduceat(more[o], cuts)).any():  # the first hash alone does not part them
-            o = np.lexsort((doc, more, window))
+        o = _ordered([window, more], doc)
         window, more, doc, twin, s = window[o], more[o], doc[o], twin[o], s[o]
         top = np.append(True, (window[1:] != window[:-1]) | (more[1:] != more[:-1]))
         gone = doc != doc[top][np.cumsum(top) - 1]
@@ -284,6 +306,10 @@ def _finish(raw: bytes, spans: Iterable[tuple[int, int]]) -> tuple[int, int, int
     return n, gone, count, h.hexdigest()
 
 
+def _buckets(units: int, each: int) -> int:
+    return max(LEAST, 1 << (units // each).bit_length())
+
+
 def _fewer(df: DataFrame) -> DataFrame:
     """df in a quarter of the partitions of a shuffle, three for each core at least: fewer files, each of which makes the JVM fork twice."""
     spark = df.sparkSession
@@ -334,7 +360,7 @@ def _identified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
 
 def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     src, unique, total = _identified(docs, id_col, text_col)
-    buckets = 1 << max(10, (total // BUCKET).bit_length())
+    buckets = _buckets(total, BUCKET)
     row = ["doc_id", "twin"]
 
     def deal_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +371,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
                 if len(raw) >= THRESHOLD:
                     for at, part in pieces(raw):
                         anchor, whole, sides, s, e = anchored_runs(part)
-                        got.add([anchor & np.uint64(0xFFFFFFFFFFFF0000), whole & np.uint64(0xFFFFFFFFFFFF), sides], doc, twin, s + at, e + at, len(part))
+                        got.add([_dealt(anchor), whole & np.uint64(0xFFFFFFFFFFFF), sides], doc, twin, s + at, e + at, len(part))
                 if got.full():
                     yield from got.flush()
         yield from got.flush()
@@ -372,10 +398,11 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     # A list is as long as one text has runs: equal rows dealt theirs once.
     spans = found.groupBy(*row).agg(F.collect_list(F.struct("kind", "s", "e")).alias("own"))
     state = _kept(unique.join(spans, row, "left").select(*row, "text", "own").mapInArrow(first, "doc_id long, twin long, text string, own array<struct<kind:int,s:long,e:long>>, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    window_buckets = _buckets(found.where("kind = 1").agg(F.sum(F.expr("e - s + 1"))).first()[0] or 0, WINDOWS)
     opened = state.where("own is not null").select(*row, "text", "own")
 
     def deal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _Gather(2, 0, buckets)
+        got = _Gather(2, 0, window_buckets)
         for b in batches:
             offsets, (kind, starts, ends) = _own(b.column(3))
             for i, (doc, twin, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2))):
