@@ -1,11 +1,13 @@
 """What has to stay bounded as the input grows."""
 
 import random
+import zlib
 
 import numpy as np
 
-from tidemark.llm import suffix_dedup
+from tidemark.llm import quality, suffix_dedup
 from tidemark.llm.common import settings, written
+from tidemark.llm.linear import sigmoid
 
 
 def test_op6_writes_few_files_and_finds_the_same(spark, monkeypatch):
@@ -48,3 +50,34 @@ def test_op6_records_keep_their_values_and_order():
     (b,) = suffix_dedup._deal([key[:200], more[:200]], [], one[:200], one[:200] * 0, one[:200], one[:200] + 7, 7)
     cols = [suffix_dedup.unpack(blob, n, [np.uint64, np.uint32, np.int64, np.int64, np.uint32, np.uint8]) for blob, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist()) if blob]
     assert sorted(zip(*(np.concatenate(c).tolist() for c in zip(*cols)))) == sorted(zip(key[:200].tolist(), more[:200].tolist(), range(200), [0] * 200, range(200), [7] * 200))
+
+
+def test_op2_learns_from_every_labelled_row_and_all_pairs():
+    """The weights are those of all pairs of a good and a bad row, the threshold that of all scores, however rows are parted."""
+    r = np.random.default_rng(0)
+    n = 6000  # more good rows than the sample of 4000 a label had
+    y = (r.random(n) > 0.1).astype(np.int64)
+    x = np.abs(r.standard_normal((n, len(quality.FEATURES)))) * 0.3
+    x[:, 1] += (y == 0) * 0.3
+    x[:, 3] += (y == 1) * 0.2
+    m = quality.rank(x, y, {0: float((y == 0).sum()), 1: float((y == 1).sum())})
+    z = ((quality.widen(x) - m.mean) / m.scale).clip(-8, 8)
+    s, good, bad = z @ m.weights, z[y == 1], z[y == 0]
+    p = sigmoid(s[y == 0][:, None] - s[y == 1][None, :])
+    assert np.abs((p.sum(1) @ bad - p.sum(0) @ good) / p.size + quality.RIDGE * m.weights).max() < 1e-5
+    o, k = np.sort(s), len(bad)
+    assert abs(m.cut - (o[k - 1] + o[k]) / 2) < 1e-8
+    parts = quality.ranked(lambda f: [f(x[i::7], y[i::7]) for i in range(7)])
+    assert np.allclose(parts.weights, m.weights, atol=1e-6) and abs(parts.cut - m.cut) < 1e-6
+
+
+def test_op2_model_sees_all_rows_of_a_table(spark):
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(["good", "words", "of", "Some", "length", "|", "##", "7"]) for _ in range(r.randint(3, 20)))) for i in range(400)]
+    docs = spark.createDataFrame(rows + [(7, "another text of the same id"), (None, "no id")], "doc_id long, text string").repartition(5)
+    marks = [(i, i % 3 % 2) for i in range(400)]
+    m = quality.fit(docs, spark.createDataFrame(marks + [(7, 1), (None, 1), (5, None)], "doc_id long, quality int"))
+    own = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    x = np.array([min(quality.features(t) for k, t in [*rows, (7, "another text of the same id")] if k == i) for i in own])
+    want = quality.rank(x, np.array([i % 3 % 2 for i in own]))
+    assert np.allclose(m.mean, want.mean) and np.allclose(m.weights, want.weights, atol=1e-6) and abs(m.cut - want.cut) < 1e-6

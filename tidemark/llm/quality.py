@@ -3,7 +3,13 @@
 Numeric features describe each whole text (case, symbols, repetition, line shapes). Preference pairs set a labelled
 good document against a labelled bad one; logistic loss on the difference of their features learns a weight for each
 feature, whose weighted sum ranks documents. The threshold is a quantile of the labelled scores, at the share of bad
-labels, and the score maps it to 0.3. Learned from a bounded sample (PER_CLASS rows of each label, never held out).
+labels, and the score maps it to 0.3.
+
+Learned from every labelled row that is not held out, and from all pairs of a good and a bad one: the loss of a row
+against all of the other label depends on its score and on the other label's scores alone, so sums of rows by label and
+score give the gradient; scores are BINS places, and a row between two counts for both in proportion. Each step is one pass over the
+features, of which a task returns sums of a fixed size. The threshold and the medians are found by halving ranges over all
+scores, to 1e-11. An id counts once: of several labels the smallest, of several texts the one of smallest features.
 
 Defined cases: null and empty texts have the features of an empty text and score like others. Repeated rows and null
 ids are scored like others. Without labels of both classes every document scores 0.5.
@@ -11,19 +17,23 @@ ids are scored like others. Without labels of both classes every document scores
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, held_out, labelled_sample, spread
-from .linear import logistic, sigmoid
+from .common import WHITE, held_out, spread, written
+from .linear import sigmoid
 
-PER_CLASS, PAIRS_PER_BAD = 4000, 12
+#: Places of scores for the gradient, bins for the curvature, and the score beyond which all count at the last place.
+BINS, COARSE, RANGE = 4096, 128, 60.0
+RIDGE = 1e-4
 FEATURES = "log_words upper_share symbol_share digit_share symbol_ends long_words short_words repeat_share top_share run_share pipe_share line_repeat compress mean_length".split()
 
 _KIND = np.zeros(256, np.uint8)
@@ -67,52 +77,146 @@ class Model:
         return np.asarray(sigmoid((self.strength(x) - self.cut) / self.spread + np.log(0.3 / 0.7)))
 
 
-def rank(x: np.ndarray, y: np.ndarray, shares: dict[int, float], seed: int = 7) -> Model:
-    """Bradley-Terry over sampled pairs. shares: of each label among all labelled rows, for the quantile."""
+#: Sums of f(features, labels) over parts that hold each labelled row once, one array a part.
+Passes = Callable[[Callable[[np.ndarray, np.ndarray], np.ndarray]], list[np.ndarray]]
+
+
+def _moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     wide = widen(x)
-    mean, scale = wide.mean(0), wide.std(0) + 1e-6
-    z = ((wide - mean) / scale).clip(-8, 8)
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
-        return Model(mean, scale, np.zeros(z.shape[1]), np.log(0.3 / 0.7), 1.0)
-    rng = np.random.default_rng(seed)
-    b = np.repeat(bad, PAIRS_PER_BAD)
-    g = rng.choice(good, len(b))
-    diff = z[g] - z[b]
-    both = np.vstack([diff, -diff])
-    w, _ = logistic(both, np.repeat([1.0, 0.0], len(diff)), ridge=1e-4, bias=False)
-    s = z @ w
-    weight = np.where(y == 1, shares[1] / len(good), shares[0] / len(bad))
-    order = np.argsort(s)
-    at = int(np.searchsorted(np.cumsum(weight[order]), shares[0] / (shares[0] + shares[1]) * weight.sum()))
-    low, high = s[order[min(at, len(s) - 1)]], s[order[min(at + 1, len(s) - 1)]]
-    return Model(mean, scale, w, float((low + high) / 2), float(max(1e-3, (np.quantile(s[good], 0.5) - np.quantile(s[bad], 0.5)) / 8)))
-
-
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+    return np.concatenate([[(y == 0).sum(), (y == 1).sum()], wide.sum(0), (wide * wide).sum(0)])
+
+
+def _binned(m: Model, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By label and score: rows and sums of their features; by label and coarse bin the products of their features."""
+    z = ((widen(x) - m.mean) / m.scale).clip(-8, 8)
+    d = z.shape[1]
+    at = ((z @ m.weights).clip(-RANGE, RANGE) + RANGE) * ((BINS - 1) / (2 * RANGE))
+    low = np.minimum(at.astype(np.int64), BINS - 2)
+    key, part = y * BINS + low, at - low
+    sums = np.stack([np.bincount(key, v * (1 - part), 2 * BINS) + np.bincount(key + 1, v * part, 2 * BINS) for v in (np.ones(len(z)), *z.T)], 1)
+    squares = np.zeros((2 * COARSE, d, d))
+    wide = key // (BINS // COARSE)
+    for k in np.unique(wide):
+        own = z[wide == k]
+        squares[k] = own.T @ own
+    return np.concatenate([sums.ravel(), squares.ravel()])
+
+
+def _step(m: Model, sums: np.ndarray) -> np.ndarray:
+    """Newton's step for the mean loss over all pairs of a good and a bad row."""
+    d = len(m.weights)
+    cut = 2 * BINS * (d + 1)
+    fine, squares = sums[:cut].reshape(2, BINS, d + 1), sums[cut:].reshape(2, COARSE, d, d)
+    place = np.linspace(-RANGE, RANGE, BINS)
+
+    def against(rows: list[np.ndarray], score: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and sums of features of bad and good bins, and how likely each bad one is put before each good one."""
+        return rows[0][:, 0], rows[0][:, 1:], rows[1][:, 0], rows[1][:, 1:], np.asarray(sigmoid(score[0][:, None] - score[1][None, :]))
+
+    n0, z0, n1, z1, p = against([r[r[:, 0] > 0] for r in fine], [place[r[:, 0] > 0] for r in fine])
+    pairs = n0.sum() * n1.sum()
+    grad = ((p @ n1) @ z0 - (n0 @ p) @ z1) / pairs + RIDGE * m.weights
+    thick = fine.reshape(2, COARSE, -1, d + 1)
+    n0, z0, n1, z1, p = against(list(thick.sum(2)), list((thick[..., 0] * place.reshape(COARSE, -1)).sum(2) / np.maximum(thick[..., 0].sum(2), 1e-9)))
+    p = p * (1 - p)
+    cross = z0.T @ p @ z1
+    curve = (np.tensordot(p @ n1, squares[0], 1) + np.tensordot(n0 @ p, squares[1], 1) - cross - cross.T) / pairs
+    return np.linalg.solve(curve + (RIDGE + 1e-9) * np.eye(d), grad)
+
+
+def _at_ranks(passes: Passes, m: Model, ranks: list[tuple[int, int]]) -> list[float]:
+    """Of (label or -1 for both, k): the score with k smaller ones in that order, to 1e-11 of the largest possible score."""
+    most = 8 * float(np.abs(m.weights).sum()) + 1
+    low, left = np.full(len(ranks), -most), np.array([k for _, k in ranks], np.float64)
+    wide, n = 2 * most, 4096
+    while wide > 1e-11 * most:
+        def counts(x: np.ndarray, y: np.ndarray, low: np.ndarray = low, wide: float = wide) -> np.ndarray:
+            s = m.strength(x)
+            out = []
+            for (label, _), a in zip(ranks, low):
+                at = np.floor((s[(y == label) | (label < 0)] - a) * (n / wide)).astype(np.int64)
+                out.append(np.bincount(at[(at >= 0) & (at < n)], minlength=n))
+            return np.concatenate(out).astype(np.float64)
+
+        total = np.cumsum(np.sum(passes(counts), 0).reshape(len(ranks), n), 1)
+        own = np.minimum((total <= left[:, None]).sum(1), n - 1)
+        left = left - np.where(own > 0, total[np.arange(len(ranks)), own - 1], 0)
+        low, wide = low + own * (wide / n), wide / n
+    return (low + wide / 2).tolist()
+
+
+def ranked(passes: Passes, shares: dict[int, float] | None = None) -> Model:
+    """Bradley-Terry over all pairs. shares: of each label, for the quantile, if other than those of the rows."""
+    sums = np.sum(passes(_moments), 0)
+    (bad, good), d = sums[:2], len(FEATURES) * 2
+    mean = sums[2 : d + 2] / max(1, bad + good)
+    scale = np.sqrt(np.maximum(sums[d + 2 :] / max(1, bad + good) - mean * mean, 0)) + 1e-6
+    if not bad or not good:
+        return Model(mean, scale, np.zeros(d), np.log(0.3 / 0.7), 1.0)
+    m = Model(mean, scale, np.zeros(d), 0.0, 1.0)
+    for _ in range(60):
+        step = _step(m, np.sum(passes(lambda x, y, m=m: _binned(m, x, y)), 0))
+        m = Model(mean, scale, m.weights - step * min(1.0, 5 / (np.abs(step).max() + 1e-12)), 0.0, 1.0)
+        if np.abs(step).max() < 1e-4:
+            break
+    else:
+        warnings.warn(f"quality: after 60 steps a weight still moves by {np.abs(step).max():.2g}", stacklevel=2)
+    n = int(bad + good)
+    share = shares[0] / (shares[0] + shares[1]) if shares else bad / n
+    at = min(max(int(np.ceil(share * n - 1e-9)) - 1, 0), n - 1)
+    low, high, fair, poor = _at_ranks(passes, m, [(-1, at), (-1, min(at + 1, n - 1)), (1, int(good) // 2), (0, int(bad) // 2)])
+    cut = (low + high) / 2 if high - low > 1e-8 else low - 1e-8  # equal scores on both sides count as good
+    return Model(mean, scale, m.weights, cut, max(1e-3, (fair - poor) / 8))
+
+
+def rank(x: np.ndarray, y: np.ndarray, shares: dict[int, float] | None = None) -> Model:
+    return ranked(lambda f: [f(x, y.astype(np.int64))], shares)
+
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """(doc_id, x) of every row, as a table."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t.as_py()) for t in b.column(1)], pa.list_(pa.float64())), b.column(2)], names=["doc_id", "x", "label"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t.as_py()) for t in b.column(1)], pa.list_(pa.float64()))], names=["doc_id", "x"])
+
+    return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>"))
+
+
+def learned(rows: DataFrame, labels: DataFrame) -> Model:
+    """The model of all labelled rows that are not held out."""
+    own = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("label"))
+    train = written(rows.join(own, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.min("label").alias("label")).sortWithinPartitions("doc_id"))
+
+    def passes(f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = f(np.zeros((0, len(FEATURES))), np.zeros(0, np.int64))
+            for b in batches:
+                total = total + f(_matrix(b.column(0)), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(total.astype(np.float64).tobytes(), 1)], pa.binary())], names=["sums"])
+
+        got = [np.frombuffer(zstandard.decompress(r["sums"])) for r in train.select("x", "label").mapInArrow(run, "sums binary").collect()]
+        return got or [f(np.zeros((0, len(FEATURES))), np.zeros(0, np.int64))]
+
+    return ranked(passes)
+
 
-    own = labels.where(F.col("quality").isin(0, 1) & ~held_out())
-    n = {r["q"]: float(r["n"]) for r in own.groupBy(F.col("quality").alias("q")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    got = labelled_sample(docs, labels, "quality", per_class).select("doc_id", "text", "label").mapInArrow(run, "doc_id long, x array<double>, label int").toPandas().sort_values("doc_id")
-    x = np.array(got["x"].tolist()).reshape(-1, len(FEATURES))
-    if not len(x):
-        x = np.zeros((1, len(FEATURES)))
-        return rank(x, np.ones(1), {0: 0.0, 1: 1.0})
-    return rank(x, got["label"].to_numpy(), {k: n.get(k, 0.0) for k in (0, 1)})
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    return learned(featured(docs), labels)
 
 
-def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = PER_CLASS) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    src = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    model = fit(src, labels, per_class)
+    rows = featured(spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))))
+    model = learned(rows, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([features(t.as_py()) for t in b.column(1)]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(_matrix(b.column(1))), pa.float64())], names=["doc_id", "score"])
 
-    scored = src.mapInArrow(run, "doc_id long, score double")
+    scored = rows.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
