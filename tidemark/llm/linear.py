@@ -9,26 +9,6 @@ def sigmoid(x: np.ndarray | float) -> np.ndarray | float:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, weight: np.ndarray | None = None, bias: bool = True, steps: int = 60) -> tuple[np.ndarray, float]:
-    """(weights, bias) of ridge logistic regression by Newton's method; with a single class the bias alone."""
-    n, d = x.shape
-    if n == 0:
-        return np.zeros(d), 0.0
-    a = np.hstack([x, np.ones((n, 1))]) if bias else x
-    w, c = np.zeros(a.shape[1]), np.ones(n) if weight is None else weight
-    reg = np.full(a.shape[1], ridge * c.sum())
-    if bias:
-        reg[-1] = 1e-6 * c.sum()
-    for _ in range(steps):
-        p = sigmoid(a @ w)
-        grad = a.T @ (c * (p - y)) + reg * w
-        step = np.linalg.solve((a * (c * p * (1 - p))[:, None]).T @ a + np.diag(reg + 1e-9), grad)
-        w -= step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
-        if np.abs(step).max() < 1e-8:
-            break
-    return (w[:-1], float(w[-1])) if bias else (w, 0.0)
-
-
 def logistic_towards(x: np.ndarray, y: np.ndarray, prior: np.ndarray, bias: float, pull: float, steps: int = 4000) -> tuple[np.ndarray, float]:
     """(weights, bias) of logistic regression whose weights are not negative and are pulled towards prior, by accelerated projected gradient."""
     w = v = np.append(prior, bias)
