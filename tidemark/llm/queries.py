@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, exact_dedup, langid, licenses, minmax_dedup, mixing, quality, suffix_dedup, toxicity
+from . import bpe, chat, embedding_dedup, exact_dedup, fim, langid, licenses, minmax_dedup, mixing, quality, suffix_dedup, toxicity, whitening
 from .common import table
 
 
@@ -57,9 +57,21 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_digests(chat.format_chats(chat.with_hostile(table(spark, sf_dir, "conversations")), vocabulary()), vocabulary())
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_quality_ranking, op3_minmax_near_dedup, op4_language_id, op5_source_mixing, op6_repeat_removal, op7_embedding_near_dedup, op8_license_scan, op9_toxicity_grammar, op10_bpe_codec)
+    for f in (op1_exact_dedup, op2_quality_ranking, op3_minmax_near_dedup, op4_language_id, op5_source_mixing, op6_repeat_removal, op7_embedding_near_dedup, op8_license_scan, op9_toxicity_grammar, op10_bpe_codec, op11_embedding_whitening, op12_chat_format, op13_fill_in_middle)
 }
 
 _REACH = """
@@ -97,4 +109,6 @@ links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.l
 SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, least(vec_id, coalesce(min(reach.b), vec_id)) AS component_id, least(vec_id, coalesce(min(reach.b), vec_id)) = vec_id AS kept
 FROM embeddings LEFT JOIN reach ON reach.a = vec_id GROUP BY vec_id""",
     "op8_license_scan": licenses.SQL,
+    "op12_chat_format": chat.SQL,
+    "op13_fill_in_middle": fim.SQL,
 }
