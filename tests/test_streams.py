@@ -32,14 +32,45 @@ def loop(own):
     return out
 
 
-@pytest.mark.parametrize("size", [7, 64, 1 << 14])
-def test_prefix_quantities_do_not_depend_on_blocks(stream, monkeypatch, size):
+TREES = [ordered.Tree(7, 2, 6), ordered.Tree(16, 4, 3), ordered.Tree(16, 16, 2), ordered.Tree(64, 7, 1), ordered.Tree()]
+
+
+@pytest.mark.parametrize("tree", TREES)
+def test_prefix_quantities_do_not_depend_on_the_tree(stream, tree):
     own, df = stream
     want = loop(own)
-    monkeypatch.setattr(ordered.carried, "__defaults__", (*ordered.carried.__defaults__[:-1], size))
-    assert sorted(tuple(r) for r in ordered.novelty(df).collect()) == [(i, y, n, k) for i, y, _, _, n, k in want]
-    assert sorted(tuple(r) for r in ordered.majority(df).collect()) == [(i, y, p) for i, y, p, *_ in want]
-    assert sorted(tuple(r) for r in ordered.latest(df, "label", "pred", size=size).select("idx", "label", "pred").collect()) == [(i, y, p) for i, y, _, p, *_ in want]
+    assert sorted(tuple(r) for r in ordered.novelty(df, tree).collect()) == [(i, y, n, k) for i, y, _, _, n, k in want]
+    assert sorted(tuple(r) for r in ordered.majority(df, tree).collect()) == [(i, y, p) for i, y, p, *_ in want]
+    assert sorted(tuple(r) for r in ordered.latest(df, "label", "pred", tree=tree).select("idx", "label", "pred").collect()) == [(i, y, p) for i, y, _, p, *_ in want]
+
+
+@pytest.mark.parametrize("tree", TREES)
+def test_any_associative_fold_is_carried(spark, tree):
+    r = random.Random(4)
+    own = [(3 * i, r.choice("ab"), r.randint(-50, 50)) for i in range(110)]
+    df = spark.createDataFrame(own, "idx long, k string, v long")
+    smaller = lambda a, b: ordered.F.least(a, b)
+    got = ordered.carried(df, df.v, ordered.F.min, smaller, "low", keys=("k",), tree=tree)
+    got = {x["idx"]: x["low"] for x in ordered.carried(got, got.v, ordered.F.min, smaller, "all", exclusive=True, tree=tree).collect()}
+    assert got == {i: min(v for j, q, v in own if q == k and j <= i) for i, k, _ in own}
+
+
+def test_keys_that_a_tree_cannot_hold_are_errors(spark):
+    for i in (-1, 32):
+        with pytest.raises(Exception, match="rank the rows first"):
+            ordered.novelty(spark.createDataFrame([(i, "a")], "idx long, label string"), ordered.Tree(4, 8, 1)).collect()
+
+
+def test_no_window_runs_over_a_whole_stream(spark):
+    from tidemark.plans.catalog import PLANS
+
+    for name in ("stream_index", "novelty_flags", "pred_majority", "pred_last_seen", "rolling_accuracy", "running_scaler", "running_scale"):
+        plan = PLANS[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        for line in plan.splitlines():
+            if "Window [" in line:
+                assert not line.rstrip().endswith("[]") and "], [], [" not in line and "windowspecdefinition(specifiedwindowframe" not in line, (name, line)
+                inner = line.rsplit("], [", 2)
+                assert len(inner) == 3 and inner[1].strip(), (name, line)
 
 
 def test_rolling_mean_crosses_blocks(spark):
@@ -53,9 +84,26 @@ def test_ranks_have_no_gaps(spark):
     df = spark.createDataFrame([(k,) for k in random.Random(2).sample(range(100_000), 300)], "event_id long")
     got = sorted((r["event_id"], r["idx"]) for r in ordered.ranked(df, "event_id").collect())
     assert [i for _, i in got] == list(range(300))
-    times = random.Random(3).sample(range(10**15, 10**15 + 10**9), 400)  # far apart: still few blocks
-    far = ordered.ranked(spark.createDataFrame([(t,) for t in times], "t long"), "t", size=50)
-    assert [r["idx"] for r in far.orderBy("t").collect()] == list(range(400))
+    assert ordered.ranked(df.where("false"), "event_id").collect() == []
+
+
+def skewed():
+    """Half of the keys lie in a millionth of the range; one is null."""
+    r = random.Random(3)
+    return r.sample(range(10**15, 10**15 + 10**6), 3000) + r.sample(range(10**15, 10**15 + 10**12), 3000)
+
+
+@pytest.mark.parametrize("deep", [False, True])
+def test_blocks_are_of_equal_depth_on_clustered_keys(spark, monkeypatch, deep):
+    if deep:
+        monkeypatch.setattr(ordered, "PARTS", 8)  # two sketches: 8 blocks of 8
+    keys = skewed()
+    df = spark.createDataFrame([(t,) for t in keys], "t long")
+    sizes = [r["n"] for r in ordered.dealt(df, "t", 100, deep=deep).groupBy("__b").agg(ordered.F.count("t").alias("n")).collect()]
+    blocks = 64 if deep else 60
+    assert sum(sizes) == 6000 and max(sizes) <= 2 * 6000 / blocks and len(sizes) >= blocks / 2
+    far = ordered.ranked(df, "t", size=100, deep=deep)
+    assert [(r["t"], r["idx"]) for r in far.orderBy("t").collect()] == list(zip(sorted(keys), range(6000)))
 
 
 def test_abstentions_are_columns_only(spark):

@@ -1,47 +1,121 @@
-"""Quantities of the ordered prefix of a stream, in two levels.
+"""Quantities of the ordered prefix of a stream, by a scan over a tree of blocks.
 
 A plain window over the whole order would bring a stream into one task. Here rows fall into blocks of consecutive
-order keys; per-block aggregates, one small row each, are carried over the blocks, and windows run inside blocks only.
+order keys, blocks into nodes, nodes into nodes above. Folds go up the tree, one small row a node; on the way down
+each node gets the fold of all that lies before it; windows run over the children of one node, or the rows of one block,
+never over more. Any associative fold will do: sums, maxima, the last row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 14
+FAN = 1 << 14
+#: Blocks that one sketch of a key tells apart; its error is a tenth of a block's share.
+PARTS, ACCURACY = 1024, 10_000
+
+
+class Tree(NamedTuple):
+    """Rows of a block, children of a node, and levels of windows over nodes."""
+
+    size: int = BLOCK
+    fan: int = FAN
+    levels: int = 2
+
+    @property
+    def capacity(self) -> int:
+        """Order keys from 0 to below this one fit: some 4 * 10^12 of the usual tree."""
+        return self.size * self.fan**self.levels
+
+    def block(self, idx: str) -> Column:
+        odd = (F.col(idx) < 0) | (F.col(idx) >= self.capacity)
+        return F.when(odd, F.raise_error(F.lit(f"an order key is not in 0 .. {self.capacity - 1}: rank the rows first, or scan with more levels")).cast("long")).otherwise(F.floor(F.col(idx) / self.size))
 
 
 def block(idx: str | Column = "idx", size: int = BLOCK) -> Column:
     return F.floor((F.col(idx) if isinstance(idx, str) else idx) / size)
 
 
-def ranked(df: DataFrame, key: str, name: str = "idx", size: int = BLOCK, source: DataFrame | None = None) -> DataFrame:
-    """df with the 0-based rank of an integer key without ties.
+def upper_bound(values: Column, x: Column) -> Column:
+    """How many of a sorted array's values are at most x, by halving."""
+    half = lambda a: F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+    state = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(values) + 1)).cast("int"))
+    step = lambda a, _: F.when(a["lo"] >= a["hi"], a).when(F.get(values, half(a)) <= x, state(half(a) + 1, a["hi"])).otherwise(state(a["lo"], half(a)))
+    return F.aggregate(steps, state(F.lit(0), F.size(values)), step)["lo"]
+
+
+def cuts(key: str, size: int) -> Column:
+    """An aggregate: the sorted bounds that cut an integer key into blocks of about size rows, PARTS at most, from a mergeable sketch of its quantiles."""
+    sketch = F.percentile_approx(key, [i / PARTS for i in range(1, PARTS)], ACCURACY)
+    blocks = F.least(F.lit(PARTS), F.ceil(F.count(key) / F.lit(float(size)))).cast("int")
+    return F.when(blocks > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), blocks - 1)), lambda i: F.get(sketch, F.floor(i * PARTS / blocks).cast("int") - 1)))).otherwise(F.array().cast("array<bigint>"))
+
 
-    Blocks are as wide as holds about ``size`` rows, so keys may lie far apart (times, hashes) as well as close together.
-    The bounds of the keys are read from source, a cheaper table with the same ones, if it is given.
+def many(df: DataFrame, size: int) -> bool:
+    """Whether df may have more rows than PARTS blocks hold, by the optimizer's estimate of its bytes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > 16 * PARTS * size
+
+
+def dealt(df: DataFrame, key: str, size: int = BLOCK, source: DataFrame | None = None, deep: bool | None = None, name: str = "__b") -> DataFrame:
+    """df with the number of its block of an integer key: blocks are in the key's order, and of about size rows however the keys lie.
+
+    Bounds come from a sketch of the keys, and a row finds its block by halving them. A large table (deep) is cut twice,
+    the second time by a sketch of each block, into PARTS * PARTS blocks at most. The bounds are read from source, a
+    cheaper table with the same keys, if it is given. Equal keys share a block.
+    """
+    source = df if source is None else source
+    deep = many(source, size) if deep is None else deep
+    wide = F.col(key).cast("long")
+    first = source.select(wide.alias("__k")).agg(cuts("__k", size).alias("cuts"))
+    placed = lambda rows, at, to: rows.withColumn("__cuts", first.scalar()).withColumn(to, upper_bound(F.col("__cuts"), at).cast("long")).drop("__cuts")
+    if not deep:
+        return placed(df, wide, name)
+    second = placed(source.select(wide.alias("__k")), F.col("__k"), "__p").groupBy("__p").agg(cuts("__k", size).alias("__cuts"))  # PARTS rows of less than PARTS bounds
+    own = placed(df, wide, "__p").join(F.broadcast(second), "__p")
+    return own.withColumn(name, F.col("__p") * PARTS + upper_bound(F.col("__cuts"), wide)).drop("__p", "__cuts")
+
+
+def before(each: DataFrame, fold: Callable[[Column], Column], join: Callable[[Column, Column], Column], keys: tuple[str, ...] = (), fan: int = FAN, levels: int = 2) -> DataFrame:
+    """Of one row (keys, __b, __f) a block: keys, __b and __c, the fold of all earlier blocks; null for the first.
+
+    Up: a node's fold is that of its children. Down: a child has the fold before its node joined with that of the children
+    before it. Windows run over the children of one node. __b is below fan ** levels.
     """
-    span = (df if source is None else source).agg(F.struct(F.min(key).alias("lo"), F.greatest(F.lit(1.0), (F.max(key) - F.min(key) + 1) * F.lit(float(size)) / F.count(key)).alias("width")).alias("s")).scalar()
-    own = df.withColumn("__b", F.floor((F.col(key) - span["lo"]) / span["width"]))
-    counts = own.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    start = counts.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))
+    own = each.withColumn("__p", F.floor(F.col("__b") / fan))
+    earlier = Window.partitionBy(*keys, "__p").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    inside = own.withColumn("__i", fold(F.col("__f")).over(earlier))
+    if levels == 1:
+        return inside.select(*keys, "__b", F.col("__i").alias("__c"))
+    up = own.groupBy(*keys, F.col("__p").alias("__n")).agg(fold(F.col("__f")).alias("__f")).withColumnRenamed("__n", "__b")
+    above = before(up, fold, join, keys, fan, levels - 1).select(*keys, F.col("__b").alias("__p"), F.col("__c").alias("__a"))
+    return inside.join(above, [*keys, "__p"]).select(*keys, "__b", join(F.col("__a"), F.col("__i")).alias("__c"))
+
+
+def ranked(df: DataFrame, key: str, name: str = "idx", size: int = BLOCK, source: DataFrame | None = None, deep: bool | None = None) -> DataFrame:
+    """df with the 0-based rank of an integer key without ties; blocks of it hold about size rows, however the keys lie (see dealt)."""
+    deep = many(df if source is None else source, size) if deep is None else deep
+    own = dealt(df, key, size, source, deep)
+    counts = own.groupBy("__b").agg(F.count(F.lit(1)).alias("__f"))
+    start = before(counts, F.sum, add, fan=PARTS, levels=2 if deep else 1).select("__b", F.coalesce("__c", F.lit(0)).alias("__s"))
     inside = F.row_number().over(Window.partitionBy("__b").orderBy(key)) - 1
     return own.join(start, "__b").withColumn(name, (F.col("__s") + inside).cast("long")).drop("__b", "__s")
 
 
-def carried(df: DataFrame, value: Column, fold: Callable[[Column], Column], join: Callable[[Column, Column], Column], name: str, keys: tuple[str, ...] = (), exclusive: bool = False, idx: str = "idx", size: int = BLOCK) -> DataFrame:
-    """df with the running fold (F.sum, F.max, F.last ...) of value over idx, per keys, without the row itself if exclusive.
+def carried(df: DataFrame, value: Column, fold: Callable[[Column], Column], join: Callable[[Column, Column], Column], name: str, keys: tuple[str, ...] = (), exclusive: bool = False, idx: str = "idx", tree: Tree = Tree()) -> DataFrame:
+    """df with the running fold (F.sum, F.max ...) of value over idx, per keys, without the row itself if exclusive.
 
-    join(before, inside) puts the fold of earlier blocks and that of the block together; either may be null.
+    join(before, inside) puts the folds of two stretches together; either may be null. idx runs from 0, with gaps or
+    without, to below the tree's capacity.
     """
-    own = df.withColumns({"__v": value, "__b": block(idx, size)})
+    own = df.withColumns({"__v": value, "__b": tree.block(idx)})
     by = [*keys, "__b"]
-    each = own.groupBy(*by).agg(fold(F.col("__v")).alias("__f"))
-    carry = each.select(*by, fold(F.col("__f")).over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)).alias("__c"))
+    carry = before(own.groupBy(*by).agg(fold(F.col("__v")).alias("__f")), fold, join, keys, tree.fan, tree.levels)
     inside = fold(F.col("__v")).over(Window.partitionBy(*by).orderBy(idx).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0))
     return own.withColumn("__i", inside).join(carry, by).withColumn(name, join(F.col("__c"), F.col("__i"))).drop("__v", "__b", "__i", "__c")
 
@@ -50,31 +124,35 @@ def add(a: Column, b: Column) -> Column:
     return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
 
 
-def latest(df: DataFrame, value: str, name: str, idx: str = "idx", size: int = BLOCK, keys: tuple[str, ...] = ()) -> DataFrame:
+def larger(a: Column, b: Column) -> Column:
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.greatest(a, b))
+
+
+def latest(df: DataFrame, value: str, name: str, idx: str = "idx", keys: tuple[str, ...] = (), tree: Tree = Tree()) -> DataFrame:
     """df with the value of the row before, per keys (the last-seen prediction)."""
     by = [*keys, "__b"]
-    own = df.withColumn("__b", block(idx, size))
-    ends = own.groupBy(*by).agg(F.max_by(value, idx).alias("__e"))
-    carry = ends.select(*by, F.lag("__e").over(Window.partitionBy(*keys).orderBy("__b")).alias("__c"))
+    own = df.withColumn("__b", tree.block(idx))
+    ends = own.groupBy(*by).agg(F.struct(F.max(idx).alias("i"), F.max_by(value, idx).alias("v")).alias("__f"))
+    carry = before(ends, F.max, larger, keys, tree.fan, tree.levels)
     inside = Window.partitionBy(*by).orderBy(idx)
     first = F.row_number().over(inside) == 1
-    return own.withColumns({"__l": F.lag(value).over(inside), "__o": first}).join(carry, by).withColumn(name, F.when(F.col("__o"), F.col("__c")).otherwise(F.col("__l"))).drop("__b", "__l", "__o", "__c")
+    return own.withColumns({"__l": F.lag(value).over(inside), "__o": first}).join(carry, by).withColumn(name, F.when(F.col("__o"), F.col("__c.v")).otherwise(F.col("__l"))).drop("__b", "__l", "__o", "__c")
 
 
-def novelty(stream: DataFrame) -> DataFrame:
+def novelty(stream: DataFrame, tree: Tree = Tree()) -> DataFrame:
     """idx, label, first_seen, n_seen: whether a label is new, and how many have been seen."""
     first = stream.groupBy("label").agg(F.min("idx").alias("__first"))
     flagged = stream.join(first, "label").withColumn("first_seen", F.col("idx") == F.col("__first")).drop("__first")
-    out = carried(flagged, F.col("first_seen").cast("long"), F.sum, add, "n_seen")
+    out = carried(flagged, F.col("first_seen").cast("long"), F.sum, add, "n_seen", tree=tree)
     return out.select("idx", "label", "first_seen", "n_seen")
 
 
-def majority(stream: DataFrame) -> DataFrame:
+def majority(stream: DataFrame, tree: Tree = Tree()) -> DataFrame:
     """idx, label, pred: the most frequent earlier label, the earliest seen on ties; null at the first row."""
-    counted = carried(stream, F.lit(1), F.sum, add, "rn", keys=("label",))
+    counted = carried(stream, F.lit(1), F.sum, add, "rn", keys=("label",), tree=tree)
     first = stream.groupBy("label").agg(F.min("idx").alias("first_idx"))
     counted = counted.join(first, "label").withColumn("best", F.struct("rn", (-F.col("first_idx")).alias("neg"), "label"))
-    out = carried(counted, F.col("best"), F.max, lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.greatest(a, b)), "top", exclusive=True)
+    out = carried(counted, F.col("best"), F.max, larger, "top", exclusive=True, tree=tree)
     return out.select("idx", "label", F.col("top.label").alias("pred"))
 
 

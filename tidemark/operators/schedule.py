@@ -9,6 +9,8 @@ from tidemark.config import Rule
 from tidemark.functions.draws import uniform
 from tidemark.functions.keys import glob_regex
 
+from .ordered import upper_bound
+
 
 class ScheduleError(ValueError):
     """A schedule that cannot run: no labels, a rule without a label, an item without an active label."""
@@ -79,15 +81,6 @@ def shares(schedule: DataFrame) -> DataFrame:
     return out.select("seg", F.get("edges", "seg").alias("lo"), F.get("edges", F.col("seg") + 1).alias("hi"), "face_id", "weight", "share", "cum_lo", F.when(F.col("more"), F.col("cum_hi")).otherwise(2.0).alias("cum_hi"))
 
 
-def upper_bound(values: Column, x: Column) -> Column:
-    """How many of a sorted array's values are at most x, by halving."""
-    half = lambda a: F.floor((a["lo"] + a["hi"]) / 2).cast("int")
-    state = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
-    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(values) + 1)).cast("int"))
-    step = lambda a, _: F.when(a["lo"] >= a["hi"], a).when(F.get(values, half(a)) <= x, state(half(a) + 1, a["hi"])).otherwise(state(a["lo"], half(a)))
-    return F.aggregate(steps, state(F.lit(0), F.size(values)), step)["lo"]
-
-
 def check(schedule: DataFrame, n: int) -> None:
     """Raise unless there is an active label for each of n items."""
     if schedule.isEmpty():

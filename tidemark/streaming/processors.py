@@ -56,9 +56,8 @@ def majority(batch: DataFrame, kept: DataFrame | None) -> tuple[DataFrame, DataF
     if kept is not None:
         counted = counted.join(kept.select("label", F.col("n").alias("n0")), "label", "left").withColumn("rn", F.col("rn") + F.coalesce("n0", F.lit(0)))
         before = kept.agg(F.max(best(F.col("n")))).scalar()
-    larger = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.greatest(a, b))
-    out = ordered.carried(counted.withColumn("best", best(F.col("rn").cast("long"))), F.col("best"), F.max, larger, "top", exclusive=True)
-    return out.select("idx", "label", larger(F.col("top"), before)["label"].alias("pred")), every
+    out = ordered.carried(counted.withColumn("best", best(F.col("rn").cast("long"))), F.col("best"), F.max, ordered.larger, "top", exclusive=True)
+    return out.select("idx", "label", ordered.larger(F.col("top"), before)["label"].alias("pred")), every
 
 
 def run_steps(spark: SparkSession, stream: DataFrame, step: Step, path: str) -> DataFrame:
