@@ -107,7 +107,7 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text."""
         ids: list[int] = []
-        for s in self._spans(text):
+        for s in self.spans(text):
             if isinstance(s, int):
                 ids.append(s)
             else:
@@ -116,7 +116,7 @@ class Codec:
                     ids += map(int, x.split(","))
         return ids
 
-    def _spans(self, text: str) -> Iterator[int | list[str]]:
+    def spans(self, text: str) -> Iterator[int | list[str]]:
         """Ids of special strings, and the pieces between them."""
         find = self._known if self._unassigned(text) else self.find
         for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
@@ -140,7 +140,7 @@ class Codec:
         """(number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text)."""
         text = text or ""
         said, size, raw, get = [], 0, [], self.pieces.__getitem__
-        for s in self._spans(text):
+        for s in self.spans(text):
             if isinstance(s, int):
                 said.append(str(s))
                 size += 1

@@ -58,8 +58,23 @@ def unescape_role(role: str) -> str:
     return _ROLE.sub(lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+class _Packed(dict):
+    """piece -> its ids as bytes"""
+
+    def __init__(self, codec: bpe.Codec, kind: str) -> None:
+        self.codec, self.kind = codec, kind
+
+    def __missing__(self, piece: str) -> bytes:
+        out = np.array(self.codec.encode_piece(piece), self.kind).tobytes()
+        if len(piece) <= bpe.LONG:
+            if len(self) >= bpe.CACHE:
+                self.clear()
+            self[piece] = out
+        return out
+
+
 class Template:
-    """Encoder and reader of turns for one vocabulary file."""
+    """Encoder and reader of turns for one vocabulary file. Ids are packed in two bytes each where all fit."""
 
     def __init__(self, path: str) -> None:
         self.codec = bpe.codec(path)
@@ -69,36 +84,41 @@ class Template:
         self.start = self.codec.special.get(START, free)
         self.end = self.codec.special.get(END, free + 1)
         self.bytes = self.codec.token_bytes | {self.start: START.encode(), self.end: END.encode()}
-        self.line = self.codec.encode("\n")
-        self.heads: dict[str, list[int]] = {}
-
-    def head(self, role: str) -> list[int]:
+        self.sizes = np.zeros(max(self.bytes) + 1, np.int64)
+        self.sizes[list(self.bytes)] = [len(t) for t in self.bytes.values()]
+        self.kind = "<u2" if len(self.sizes) <= 1 << 16 else "<u4"
+        self.width = np.dtype(self.kind).itemsize
+        self.pieces = _Packed(self.codec, self.kind)
+        self.tail = np.array([self.end, *self.codec.encode("\n")], self.kind).tobytes()
+        self.heads: dict[str, bytes] = {}
+
+    def packed(self, text: str) -> bytes:
+        """The ids of an escaped text, which holds no control string."""
+        get = self.pieces.__getitem__
+        return b"".join([get(p) for pieces in self.codec.spans(text) for p in pieces])
+
+    def head(self, role: str) -> bytes:
         """The reserved id and the role's segment."""
         if role not in self.heads:
             if len(self.heads) > 1000:
                 self.heads.clear()
-            self.heads[role] = [self.start, *self.codec.encode(escape_role(role) + "\n")]
+            self.heads[role] = np.array([self.start], self.kind).tobytes() + self.packed(escape_role(role) + "\n")
         return self.heads[role]
 
-    def turn(self, role: str, text: str) -> tuple[list[int], int, int]:
-        """(ids of a turn, how many come before its text, how many are its text)."""
-        head, body = self.head(role), self.codec.encode(escape(text))
-        return [*head, *body, self.end, *self.line], len(head), len(body)
-
-    def text(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
-
-    def turns(self, ids: np.ndarray) -> Iterator[tuple[str, str]]:
-        """(role, text) of each turn in the ids of whole turns."""
-        for a, b in zip(np.flatnonzero(ids == self.start), np.flatnonzero(ids == self.end)):
-            role, _, text = self.text(ids[a + 1 : b].tolist()).partition("\n")
-            yield unescape_role(role), unescape(text)
-
-    def learned(self, ids: np.ndarray, mask: np.ndarray) -> Iterator[str]:
-        """The text under each run of the mask."""
+    def turn(self, role: str, text: str) -> tuple[bytes, int, int]:
+        """(packed ids of a turn, how many come before its text, how many are its text)."""
+        head, body = self.head(role), self.packed(escape(text))
+        return head + body + self.tail, len(head) // self.width, len(body) // self.width
+
+    def read(self, ids: np.ndarray, mask: np.ndarray) -> tuple[list[tuple[str, str]], list[str], int]:
+        """((role, text) of each turn, the text under each run of the mask, formatted code points) of the ids of whole turns."""
+        raw = b"".join(map(self.bytes.__getitem__, ids.tolist()))
+        at = np.append(0, np.cumsum(self.sizes[ids]))
+        part = lambda a, b: raw[at[a] : at[b]].decode("utf-8", "replace")
+        turns = [part(a + 1, b).partition("\n") for a, b in zip(np.flatnonzero(ids == self.start), np.flatnonzero(ids == self.end))]
         turn = np.diff(mask.astype(np.int8), prepend=0, append=0)
-        for a, b in zip(np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)):
-            yield unescape(self.text(ids[a:b].tolist()))
+        learned = [unescape(part(a, b)) for a, b in zip(np.flatnonzero(turn == 1), np.flatnonzero(turn == -1))]
+        return [(unescape_role(r), unescape(t)) for r, _, t in turns], learned, len(raw.decode("utf-8", "replace"))
 
 
 _templates: dict[str, Template] = {}
@@ -128,10 +148,10 @@ class _Turn(NamedTuple):
     ids: np.ndarray
 
 
-def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[_Turn]:
+def _turns(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[_Turn]:
     for b in batches:
         for conv_id, role, head, body, ids in zip(*(b.column(c).to_pylist() for c in ("conv_id", "learned", "head", "body", "ids"))):
-            yield _Turn(conv_id, role, head, body, np.frombuffer(ids, "<u4"))
+            yield _Turn(conv_id, role, head, body, np.frombuffer(ids, kind))
 
 
 def _chunks(turns: Iterator[_Turn], size: int) -> Iterator[tuple[int | None, int, list[_Turn]]]:
@@ -164,11 +184,11 @@ def format_chats(chats: DataFrame, path: str, learned: tuple[str, ...] = LEARNED
             rows = [own.turn(r, t.as_py() or "") for r, t in zip(roles, b.column(3))]
             yield pa.RecordBatch.from_arrays([
                 b.column(0), b.column(1), pa.array(roles, pa.string()), pa.array([r in learned for r in roles], pa.bool_()), pa.array([r[1] for r in rows], pa.int64()),
-                pa.array([r[2] for r in rows], pa.int64()), pa.array([np.array(r[0], "<u4").tobytes() for r in rows], pa.binary())], names=["conv_id", "turn", "role", "learned", "head", "body", "ids"])
+                pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.binary())], names=["conv_id", "turn", "role", "learned", "head", "body", "ids"])
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = 0
-        for conv_id, number, turns in _chunks(_turns(batches), chunk):
+        for conv_id, number, turns in _chunks(_turns(batches, template(path).kind), chunk):
             lengths = np.array([(t.head, t.body, len(t.ids) - t.head - t.body) for t in turns])
             mask = loss_mask(lengths.ravel(), np.array([(False, t.learned, False) for t in turns]).ravel())
             first = first if number else 0
@@ -191,13 +211,11 @@ class _Digest:
         self.turns, self.loss, self.n, self.chars, self.size = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
 
     def add(self, own: Template, ids: np.ndarray, mask: np.ndarray) -> None:
-        for role, text in own.turns(ids):
-            self.turns.update(f"{role}\n{text}\n".encode())
-            self.n += 1
-        for text in own.learned(ids, mask):
-            self.loss.update(text.encode())
-            self.chars += len(text)
-        self.size += len(own.text(ids.tolist()))
+        turns, learned, size = own.read(ids, mask)
+        self.turns.update("".join([f"{role}\n{text}\n" for role, text in turns]).encode())
+        said = "".join(learned)
+        self.loss.update(said.encode())
+        self.n, self.chars, self.size = self.n + len(turns), self.chars + len(said), self.size + size
 
     def row(self, conv_id: int | None) -> tuple:
         return conv_id, self.n, self.turns.hexdigest(), self.chars, self.loss.hexdigest(), self.size
