@@ -95,13 +95,3 @@ def test_recognizers_of_a_folder(spark, tmp_path):
     (tmp_path / "twin.py").write_text("1 / 0")
     with pytest.raises(registry.ModelError, match="cannot run .*twin.py: ZeroDivisionError"):
         registry.discover(tmp_path)
-
-
-def test_scaler_over_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "block", lambda c: F.floor(F.col(c) / 4))
-    x = [1e6 + (i * 7 % 11) / 8 for i in range(25)]
-    got = {r["idx"]: r for r in neighbours.scaler(spark.createDataFrame([(i, [v]) for i, v in enumerate(x)], "idx long, features array<double>")).collect()}
-    assert got[0]["mean"] is None and got[0]["var"] is None
-    for i in range(1, 25):
-        mean = sum(x[:i]) / i
-        assert got[i]["mean"] == pytest.approx(mean) and got[i]["var"] == pytest.approx(sum((v - mean) ** 2 for v in x[:i]) / i, abs=1e-6)

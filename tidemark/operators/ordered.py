@@ -15,21 +15,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 14
-FAN = 1 << 14
-#: Blocks that one sketch of a key tells apart; its error is a tenth of a block's share.
-PARTS, ACCURACY = 1024, 10_000
+FAN = 1 << 20
+#: Bytes, as estimated, from which a stream gets a second level of nodes.
+LARGE = 1 << 36
+#: Blocks that one sketch of a key tells apart, and its size, whose error is a fifth of a block's share.
+PARTS, SKETCH = 1024, 8192
 
 
 class Tree(NamedTuple):
-    """Rows of a block, children of a node, and levels of windows over nodes."""
+    """Rows of a block, children of a node (one small row each in a task), and levels of nodes."""
 
     size: int = BLOCK
     fan: int = FAN
     levels: int = 2
 
+    @staticmethod
+    def of(df: DataFrame) -> Tree:
+        """The usual tree: one level of nodes, which holds order keys up to 1.7 * 10^10, or for large tables two (1.8 * 10^16)."""
+        return Tree(levels=2 if estimated(df) > LARGE else 1)
+
     @property
     def capacity(self) -> int:
-        """Order keys from 0 to below this one fit: some 4 * 10^12 of the usual tree."""
+        """Order keys from 0 to below this one fit."""
         return self.size * self.fan**self.levels
 
     def block(self, idx: str) -> Column:
@@ -52,14 +59,21 @@ def upper_bound(values: Column, x: Column) -> Column:
 
 def cuts(key: str, size: int) -> Column:
     """An aggregate: the sorted bounds that cut an integer key into blocks of about size rows, PARTS at most, from a mergeable sketch of its quantiles."""
-    sketch = F.percentile_approx(key, [i / PARTS for i in range(1, PARTS)], ACCURACY)
+    sketch = F.kll_sketch_get_quantile_bigint(F.kll_sketch_agg_bigint(key, F.lit(SKETCH)), F.split(F.lit(",".join(str(i / PARTS) for i in range(1, PARTS))), ",").cast("array<double>"))
     blocks = F.least(F.lit(PARTS), F.ceil(F.count(key) / F.lit(float(size)))).cast("int")
-    return F.when(blocks > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), blocks - 1)), lambda i: F.get(sketch, F.floor(i * PARTS / blocks).cast("int") - 1)))).otherwise(F.array().cast("array<bigint>"))
+    picked = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), blocks - 1)), lambda i: F.get(sketch, F.floor(i * PARTS / blocks).cast("int") - 1))
+    return F.when(blocks > 1, F.array_distinct(picked)).otherwise(F.array().cast("array<bigint>"))
+
+
+def estimated(df: DataFrame) -> int:
+    """Bytes of the largest table that df is made from."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return max((int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())), default=0)
 
 
 def many(df: DataFrame, size: int) -> bool:
-    """Whether df may have more rows than PARTS blocks hold, by the optimizer's estimate of its bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > 16 * PARTS * size
+    """Whether df may have more rows than PARTS blocks hold."""
+    return estimated(df) > 16 * PARTS * size
 
 
 def dealt(df: DataFrame, key: str, size: int = BLOCK, source: DataFrame | None = None, deep: bool | None = None, name: str = "__b") -> DataFrame:
@@ -94,30 +108,31 @@ def before(each: DataFrame, fold: Callable[[Column], Column], join: Callable[[Co
         return inside.select(*keys, "__b", F.col("__i").alias("__c"))
     up = own.groupBy(*keys, F.col("__p").alias("__n")).agg(fold(F.col("__f")).alias("__f")).withColumnRenamed("__n", "__b")
     above = before(up, fold, join, keys, fan, levels - 1).select(*keys, F.col("__b").alias("__p"), F.col("__c").alias("__a"))
-    return inside.join(above, [*keys, "__p"]).select(*keys, "__b", join(F.col("__a"), F.col("__i")).alias("__c"))
+    return inside.join(above, [*keys, "__p"], "left").select(*keys, "__b", join(F.col("__a"), F.col("__i")).alias("__c"))
 
 
 def ranked(df: DataFrame, key: str, name: str = "idx", size: int = BLOCK, source: DataFrame | None = None, deep: bool | None = None) -> DataFrame:
-    """df with the 0-based rank of an integer key without ties; blocks of it hold about size rows, however the keys lie (see dealt)."""
+    """df with the 0-based rank of an integer key without ties, rows without a key left out; blocks of it hold about size rows, however the keys lie (see dealt)."""
     deep = many(df if source is None else source, size) if deep is None else deep
-    own = dealt(df, key, size, source, deep)
+    own = dealt(df.where(F.col(key).isNotNull()), key, size, source, deep)
     counts = own.groupBy("__b").agg(F.count(F.lit(1)).alias("__f"))
     start = before(counts, F.sum, add, fan=PARTS, levels=2 if deep else 1).select("__b", F.coalesce("__c", F.lit(0)).alias("__s"))
     inside = F.row_number().over(Window.partitionBy("__b").orderBy(key)) - 1
-    return own.join(start, "__b").withColumn(name, (F.col("__s") + inside).cast("long")).drop("__b", "__s")
+    return own.join(start, "__b", "left").withColumn(name, (F.col("__s") + inside).cast("long")).drop("__b", "__s")
 
 
-def carried(df: DataFrame, value: Column, fold: Callable[[Column], Column], join: Callable[[Column, Column], Column], name: str, keys: tuple[str, ...] = (), exclusive: bool = False, idx: str = "idx", tree: Tree = Tree()) -> DataFrame:
+def carried(df: DataFrame, value: Column, fold: Callable[[Column], Column], join: Callable[[Column, Column], Column], name: str, keys: tuple[str, ...] = (), exclusive: bool = False, idx: str = "idx", tree: Tree | None = None) -> DataFrame:
     """df with the running fold (F.sum, F.max ...) of value over idx, per keys, without the row itself if exclusive.
 
     join(before, inside) puts the folds of two stretches together; either may be null. idx runs from 0, with gaps or
     without, to below the tree's capacity.
     """
+    tree = tree or Tree.of(df)
     own = df.withColumns({"__v": value, "__b": tree.block(idx)})
     by = [*keys, "__b"]
     carry = before(own.groupBy(*by).agg(fold(F.col("__v")).alias("__f")), fold, join, keys, tree.fan, tree.levels)
     inside = fold(F.col("__v")).over(Window.partitionBy(*by).orderBy(idx).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0))
-    return own.withColumn("__i", inside).join(carry, by).withColumn(name, join(F.col("__c"), F.col("__i"))).drop("__v", "__b", "__i", "__c")
+    return own.withColumn("__i", inside).join(carry, by, "left").withColumn(name, join(F.col("__c"), F.col("__i"))).drop("__v", "__b", "__i", "__c")
 
 
 def add(a: Column, b: Column) -> Column:
@@ -128,18 +143,18 @@ def larger(a: Column, b: Column) -> Column:
     return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.greatest(a, b))
 
 
-def latest(df: DataFrame, value: str, name: str, idx: str = "idx", keys: tuple[str, ...] = (), tree: Tree = Tree()) -> DataFrame:
+def latest(df: DataFrame, value: str, name: str, idx: str = "idx", keys: tuple[str, ...] = (), tree: Tree | None = None) -> DataFrame:
     """df with the value of the row before, per keys (the last-seen prediction)."""
-    by = [*keys, "__b"]
+    by, tree = [*keys, "__b"], tree or Tree.of(df)
     own = df.withColumn("__b", tree.block(idx))
     ends = own.groupBy(*by).agg(F.struct(F.max(idx).alias("i"), F.max_by(value, idx).alias("v")).alias("__f"))
     carry = before(ends, F.max, larger, keys, tree.fan, tree.levels)
     inside = Window.partitionBy(*by).orderBy(idx)
     first = F.row_number().over(inside) == 1
-    return own.withColumns({"__l": F.lag(value).over(inside), "__o": first}).join(carry, by).withColumn(name, F.when(F.col("__o"), F.col("__c.v")).otherwise(F.col("__l"))).drop("__b", "__l", "__o", "__c")
+    return own.withColumns({"__l": F.lag(value).over(inside), "__o": first}).join(carry, by, "left").withColumn(name, F.when(F.col("__o"), F.col("__c.v")).otherwise(F.col("__l"))).drop("__b", "__l", "__o", "__c")
 
 
-def novelty(stream: DataFrame, tree: Tree = Tree()) -> DataFrame:
+def novelty(stream: DataFrame, tree: Tree | None = None) -> DataFrame:
     """idx, label, first_seen, n_seen: whether a label is new, and how many have been seen."""
     first = stream.groupBy("label").agg(F.min("idx").alias("__first"))
     flagged = stream.join(first, "label").withColumn("first_seen", F.col("idx") == F.col("__first")).drop("__first")
@@ -147,7 +162,7 @@ def novelty(stream: DataFrame, tree: Tree = Tree()) -> DataFrame:
     return out.select("idx", "label", "first_seen", "n_seen")
 
 
-def majority(stream: DataFrame, tree: Tree = Tree()) -> DataFrame:
+def majority(stream: DataFrame, tree: Tree | None = None) -> DataFrame:
     """idx, label, pred: the most frequent earlier label, the earliest seen on ties; null at the first row."""
     counted = carried(stream, F.lit(1), F.sum, add, "rn", keys=("label",), tree=tree)
     first = stream.groupBy("label").agg(F.min("idx").alias("first_idx"))
