@@ -9,7 +9,7 @@ import pytest
 from tidemark.config import Range, Rule, parse
 from tidemark.functions import draws, imaging, keys
 from tidemark.models.head import Head
-from tidemark.operators import neighbours, ordered, schedule, scoring
+from tidemark.operators import neighbours, ordered, replay, schedule, scoring
 from tidemark.sources import store
 from tidemark.streaming import processors
 
@@ -64,7 +64,7 @@ def test_keys_that_a_tree_cannot_hold_are_errors(spark):
 def test_no_window_runs_over_a_whole_stream(spark):
     from tidemark.plans.catalog import PLANS
 
-    for name in ("stream_index", "novelty_flags", "pred_majority", "pred_last_seen", "rolling_accuracy", "running_scaler", "running_scale"):
+    for name in ("stream_index", "novelty_flags", "pred_majority", "pred_last_seen", "rolling_accuracy", "running_scaler", "running_scale", "replay_held", "replay_members"):
         plan = PLANS[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         for line in plan.splitlines():
             if "Window [" in line:
@@ -213,3 +213,26 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, seen.collect())) == sorted(map(tuple, ordered.latest(batch, "label", "pred").select("idx", "label", "pred").collect()))
     new = processors.run_steps(spark, live, processors.novelty, f"file://{tmp_path}/b")
     assert sorted(map(tuple, new.collect())) == sorted((r["idx"], r["label"], r["n_seen"]) for r in ordered.novelty(batch).where("first_seen").collect())
+
+
+@pytest.mark.parametrize("cap", [1, 5, 400])
+def test_replay_membership_at_every_item(spark, cap):
+    """One label has most rows, one has a single row, some rows have none."""
+    r = random.Random(9)
+    own = [(2 * i, "rare" if i == 40 else r.choice(["a", "a", "a", "b", None])) for i in range(150)]
+    df = spark.createDataFrame(own, "idx long, label string")
+    buffers, want, seen = {}, {}, set()
+    for i, y in own:
+        if y:
+            mine = buffers.get(y, [])
+            want[i] = (y, len(mine), mine[0] if mine else None, sum(map(len, buffers.values())))
+        seen |= {(i, k, j) for k, v in buffers.items() for j in v}
+        if y:
+            buffers[y] = [*buffers.get(y, []), i][-cap:]
+    tree = ordered.Tree(16, 8, 2)
+    assert {x["idx"]: tuple(x)[1:] for x in replay.held(df, cap, tree).collect()} == want
+    got = [tuple(x) for x in replay.members_at(df, replay.memberships(df, cap, tree), bucket=16).collect()]
+    assert len(got) == len(seen) and set(got) == seen
+    few = df.where("idx % 20 = 0")
+    assert {tuple(x) for x in replay.members_at(few, replay.memberships(df, cap, tree)).collect()} == {x for x in seen if x[0] % 20 == 0}
+    assert replay.held(df.where("false"), cap).collect() == replay.members_at(few.where("false"), replay.memberships(df, cap, tree)).collect() == []

@@ -14,7 +14,7 @@ from tidemark.functions import color, draws, imaging, keys
 from tidemark.functions import text as words
 from tidemark.models import registry
 from tidemark.models.head import PER_CLASS
-from tidemark.operators import integrity, labels, neighbours, ordered, schedule, scoring
+from tidemark.operators import integrity, labels, neighbours, ordered, replay, schedule, scoring
 from tidemark.sources import store
 from tidemark.streaming import processors
 
@@ -232,6 +232,34 @@ def replay_buffer(spark: SparkSession, d: str) -> DataFrame:
     return vectors(spark, d).select("label", "idx", age.alias("age")).where(F.col("age") <= PER_CLASS)
 
 
+_RANKS = "r AS (SELECT idx, label, row_number() OVER (PARTITION BY label ORDER BY idx) AS rank FROM s WHERE label IS NOT NULL)"
+_VECTORS = "s AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, label::VARCHAR AS label FROM embeddings)"
+
+
+def _held(stream: str, cap: int) -> str:
+    return f"""WITH {stream}, {_RANKS}, n AS (SELECT *, least(rank - 1, {cap}) AS size, coalesce(sum((rank <= {cap})::INT) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS held FROM r)
+SELECT n.idx, n.label, n.size, o.idx AS oldest, n.held FROM n LEFT JOIN r o ON n.size > 0 AND o.label = n.label AND o.rank = n.rank - n.size"""
+
+
+@plan(_held(_s(), PER_CLASS))
+def replay_held(spark: SparkSession, d: str) -> DataFrame:
+    return replay.held(events(spark, d).select("idx", "label"), PER_CLASS)
+
+
+@plan(_held(_VECTORS, 20))
+def replay_held_vectors(spark: SparkSession, d: str) -> DataFrame:
+    own = ordered.ranked(vectors(spark, d).select(F.col("idx").alias("vec_id"), "label"), "vec_id")
+    return replay.held(own.select("idx", "label"), 20)
+
+
+@plan(f"""WITH {_s()}, {_RANKS}, m AS (SELECT idx, label, lead(idx, {PER_CLASS}) OVER (PARTITION BY label ORDER BY idx) AS until FROM r)
+SELECT i.idx AS item, m.label, count(*) AS size, min(m.idx) AS oldest, max(m.idx) AS newest FROM s i JOIN m ON m.idx < i.idx AND (m.until IS NULL OR i.idx <= m.until) WHERE i.idx % 100 = 0 GROUP BY ALL""")
+def replay_members(spark: SparkSession, d: str) -> DataFrame:
+    own = events(spark, d).select("idx", "label")
+    seen = replay.members_at(own.where(F.col("idx") % 100 == 0), replay.memberships(own, PER_CLASS))
+    return seen.groupBy("item", "label").agg(F.count(F.lit(1)).alias("size"), F.min("idx").alias("oldest"), F.max("idx").alias("newest"))
+
+
 @plan()
 def head_replay(spark: SparkSession, d: str) -> DataFrame:
     own = registry.prequential(vectors(spark, d).withColumn("stream_id", F.lit("embeddings")), registry.load("replay-head"))
