@@ -158,6 +158,20 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
 
 
+def stand_in(own: Column, top: Column) -> Column:
+    """The id of a group of rows: its own, or, if none of its rows has one, a number above top, the largest id there is.
+
+    Such numbers take part in links like ids; as they are larger than all ids, a component with any id is named by one.
+    For tables that are written at once: a number is not the same when it is made again.
+    """
+    return F.coalesce(own, F.try_add(F.coalesce(top, F.lit(-1)) + F.lit(1), F.monotonically_increasing_id()))
+
+
+def real_id(number: Column, top: Column) -> Column:
+    """Null for a stand-in."""
+    return F.when(number <= top, number)
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: str = "g") -> Iterator[tuple[object, pa.Table]]:
     """(key, rows) for each run of equal keys in a sorted partition, across its batches."""
     held: list[pa.RecordBatch] = []

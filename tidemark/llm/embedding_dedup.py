@@ -18,7 +18,8 @@ At cosine 0.97 a pair is missed with a probability below a tenth of MISS.
 
 Defined cases: vectors that are null, zero, empty or hold null or non-finite components, and rows without a label,
 link with nothing: n_links 0 and their own component. Vectors of different length never link. Repeated rows count as
-different vectors of one id. A null vec_id takes part in links but is never a component_id.
+different vectors of one id. Vectors without a vec_id take part in links like others, also as the only link between two
+with one, but are never a component_id: theirs is null, and kept true, if no vector of their component has an id.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocked, components, spread, whole_groups, written
+from .common import blocked, components, real_id, spread, stand_in, whole_groups, written
 
 COSINE = 0.93
 SAMPLE, ROUNDS = 8192, 30
@@ -237,7 +238,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 pa.array([None if x is None else x.tobytes() for x in unit], pa.binary()), pa.array(codes, pa.binary())], names=["vec_id", "label", "digest", "vec", "codes"])
 
     rows = written(src.select("vec_id", "v", "label").mapInArrow(coded, "vec_id long, label long, digest binary, vec binary, codes binary"))
-    reps = written(rows.where("digest is not null").groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("vec").alias("vec"), F.first("codes").alias("codes")))
+    top = F.lit(rows.agg(F.max("vec_id")).first()[0]).cast("long")
+    reps = rows.where("digest is not null").groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("vec").alias("vec"), F.first("codes").alias("codes"))
+    reps = written(reps.withColumn("rep", stand_in(F.col("rep"), top)))
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -245,7 +248,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 sub = substrings(np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(-1, index.codes), index)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sub.view(np.int64).tolist(), pa.list_(pa.int64()))], names=["rep", "label", "subs"])
 
-    keys = reps.where("rep is not null").select("rep", "label", "codes").mapInArrow(tables, "rep long, label long, subs array<long>").select("rep", "label", F.posexplode("subs").alias("table", "sub"))
+    keys = reps.select("rep", "label", "codes").mapInArrow(tables, "rep long, label long, subs array<long>").select("rep", "label", F.posexplode("subs").alias("table", "sub"))
     bucket = ["label", "table", "sub"]
     sizes = keys.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = keys.join(sizes, bucket).join(reps.select("rep", "label", "weight", "vec", "codes"), ["rep", "label"])
@@ -255,7 +258,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = (
         reps.select("label", "digest", "rep", "weight").join(counts, "rep", "left").join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left")
-        .select("label", "digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
+        .select("label", "digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), real_id(F.coalesce("component", "rep"), top).alias("component"))
     )
     out = rows.select("vec_id", "label", "digest").join(named, ["label", "digest"], "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))

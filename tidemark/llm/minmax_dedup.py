@@ -16,8 +16,8 @@ costs its rows once. Nothing is dropped or capped.
 
 Defined cases: texts that are null, empty or without words have n_shingles 0 and link with nothing. A text of fewer
 than five words is one shingle. Repeated rows are copies of each other, with the same component_id and, if it is theirs,
-both kept. A null id belongs to the component of its text, and is itself never a component_id; kept is then false unless
-it is alone. Shingles are compared by 64-bit hashes.
+both kept. Rows without an id link like others, also as the only link between two that have one, but are never a
+component_id: kept is false for them, unless no row of their component has an id; then component_id is null and kept true. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, runs, small_batches, spread, written
+from .common import components, real_id, runs, small_batches, spread, stand_in, written
 
 WORDS, SIMILAR = 5, 75
 PERMUTATIONS, BANDS = 64, 32
@@ -135,6 +135,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py()).view(np.int64) for t in part.column(1)], pa.list_(pa.int64()))], names=["rep", "items"])
 
 
+def _named_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, 256):
+            own = [s for t in b.column(1).slice(i, 256) if len(s := shingles(t.as_py()))]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary()), pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))], names=["digest", "items"])
+
+
 class _Group:
     """A group of rows and its pairs worth confirming: enough agreeing bytes, sizes that allow the similarity, different components."""
 
@@ -287,12 +294,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _near_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     src = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     prints = written(src.mapInArrow(_prints, _PRINTS))
-    reps = written(prints.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    seen = prints.agg(F.max("doc_id"), F.count_if(F.col("doc_id").isNull() & (F.col("n") > 0))).first()
+    top, nameless = F.lit(seen[0]).cast("long"), bool(seen[1])
+    reps = prints.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    reps = written(reps.withColumn("rep", stand_in(F.col("rep"), top)))
     rows = reps.select(F.explode("bands").alias("key"), "rep", "n")
     leaders = rows.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "lead")
     members = written(rows.join(leaders, "key"))
     ids = members.select("rep").distinct()
-    sets = written(src.join(ids, src.doc_id == ids.rep, "left_semi").mapInArrow(_sets, "rep long, items array<long>"))
+    sets = src.join(ids, src.doc_id == ids.rep, "left_semi").mapInArrow(_sets, "rep long, items array<long>")
+    if nameless:  # texts of which no row has an id: found by the digest of their set
+        own = src.where("doc_id is null").mapInArrow(_named_sets, "digest binary, items array<long>").dropDuplicates(["digest"])
+        sets = sets.union(own.join(reps.where(real_id(F.col("rep"), top).isNull()), "digest").join(ids, "rep", "left_semi").select("rep", "items"))
+    sets = written(sets)
 
     first = members.where("rep <> lead").groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("shared")).groupBy("rep").agg(F.max(F.struct("shared", (-F.col("lead")).alias("neg"))).alias("best"))
     links = written(_confirmed(first.select((-F.col("best.neg")).alias("a"), F.col("rep").alias("b")), sets))
@@ -310,6 +324,6 @@ def _near_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             comps = _joined(comps, _confirmed(found, sets))
     rest = _dealt(members, comps, reps).mapInArrow(_open, _ROW).join(sets, "rep").repartition("g").sortWithinPartitions("g")
     comps = _joined(comps, rest.mapInArrow(_settle, "a long, b long"))
-    named = reps.select("digest", "rep").join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    named = reps.select("digest", "rep").join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", real_id(F.coalesce("component", "rep"), top).alias("component"))
     out = prints.select("doc_id", "n", "digest").join(named, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
