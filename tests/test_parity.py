@@ -50,7 +50,7 @@ def test_shares_and_draws_without_a_join_of_all_with_all(spark):
     plan = schedule.draw(own, 100)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert schedule.draw(own, 60).where("idx >= 40").orderBy("idx").collect() == schedule.draw(own, 60, first=40).orderBy("idx").collect()
-    got = spark.range(12).select(schedule.upper_bound(F.array(*map(F.lit, [1, 3, 3, 7])), F.col("id")).alias("n")).collect()
+    got = spark.range(12).select(ordered.upper_bound("array(1, 3, 3, 7)", "id").alias("n")).collect()
     assert [r["n"] for r in got] == [0, 1, 1, 3, 3, 3, 3, 4, 4, 4, 4, 4]
 
 

@@ -1,6 +1,7 @@
 """Stream semantics against plain loops: the two-level windows, scoring, schedules, stores and streaming processors."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -127,6 +128,24 @@ def test_rule_precedence(faces):
     assert [r[0] for r in schedule.unmatched(faces, rules).collect()] == ["none"]
 
 
+def test_index_of_globs_finds_what_trying_all_finds(spark, monkeypatch):
+    """Many rules, with wildcards anywhere, brackets, quotes and backslashes, and faces that are spelt like a glob."""
+    r = random.Random(11)
+    letters = "ab:-"
+    word = lambda n: "".join(r.choice(letters) for _ in range(n))
+    globs = {word(r.randint(0, 3)) + r.choice(["*", "?", "[ab]", "[!a]", "*" + word(2) + "?", ""]) + word(r.randint(0, 3)): Rule(weight=float(i), start=i % 3) for i in range(120)}
+    globs |= {"abcdefghij*klmnopqrstu": Rule(weight=1.5), "it's\\odd*": Rule(weight=2.5), "a[b": Rule(weight=3.5), "[ab]": Rule(weight=4.5), "no*such*thing": Rule()}
+    faces = spark.createDataFrame([(f,) for f in {word(r.randint(0, 7)) for _ in range(400)} | {"abcdefghijXklmnopqrstu", "abcdefghiXklmnopqrstu", "it's\\odd one", "a[b", "[ab]", "a"}], "face_id string")
+    asked = lambda: ({tuple(x) for x in schedule.resolve(faces, globs).collect()}, {x[0] for x in schedule.unmatched(faces, globs).collect()})
+    indexed = asked()
+    monkeypatch.setattr(schedule, "INLINE", 1000)
+    assert indexed == asked() and "no*such*thing" in indexed[1]
+    got = {f: p for f, *_, p in indexed[0]}
+    for f in got:
+        hit = [p for p in globs if p == f or re.fullmatch(keys.glob_regex(p), f, re.S)]
+        assert got[f] == (max(hit, key=lambda p: (p == f, len(p), -list(globs).index(p))) if hit else None), f
+
+
 def test_draws_follow_the_schedule(faces):
     own = schedule.resolve(faces, {"fam0:style0": Rule(weight=6.0), "fam1:*": Rule(start=1000), "fam2:style2": Rule(weight=0.0), "fam2:style5": Rule(stop=800)})
     got = schedule.draw(own, 4000, seed=3).collect()

@@ -48,13 +48,11 @@ def block(idx: str | Column = "idx", size: int = BLOCK) -> Column:
     return F.floor((F.col(idx) if isinstance(idx, str) else idx) / size)
 
 
-def upper_bound(values: Column, x: Column) -> Column:
-    """How many of a sorted array's values are at most x, by halving."""
-    half = lambda a: F.floor((a["lo"] + a["hi"]) / 2).cast("int")
-    state = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
-    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(values) + 1)).cast("int"))
-    step = lambda a, _: F.when(a["lo"] >= a["hi"], a).when(F.get(values, half(a)) <= x, state(half(a) + 1, a["hi"])).otherwise(state(a["lo"], half(a)))
-    return F.aggregate(steps, state(F.lit(0), F.size(values)), step)["lo"]
+def upper_bound(values: str, x: str) -> Column:
+    """How many of a sorted array's values are at most x, by halving; both are SQL expressions."""
+    half = "cast((a.lo + a.hi) div 2 AS int)"
+    step = f"CASE WHEN a.lo >= a.hi THEN a WHEN get({values}, {half}) <= {x} THEN named_struct('lo', {half} + 1, 'hi', a.hi) ELSE named_struct('lo', a.lo, 'hi', {half}) END"
+    return F.expr(f"aggregate(sequence(1, cast(ceil(log2(size({values}) + 1)) AS int)), named_struct('lo', 0, 'hi', size({values})), (a, i) -> {step}).lo")
 
 
 def cuts(key: str, size: int) -> Column:
@@ -85,14 +83,14 @@ def dealt(df: DataFrame, key: str, size: int = BLOCK, source: DataFrame | None =
     """
     source = df if source is None else source
     deep = many(source, size) if deep is None else deep
-    wide = F.col(key).cast("long")
-    first = source.select(wide.alias("__k")).agg(cuts("__k", size).alias("cuts"))
-    placed = lambda rows, at, to: rows.withColumn("__cuts", first.scalar()).withColumn(to, upper_bound(F.col("__cuts"), at).cast("long")).drop("__cuts")
+    keys = source.select(F.col(key).cast("long").alias("__k"))
+    first = keys.agg(cuts("__k", size).alias("cuts"))
+    placed = lambda rows, at, to: rows.withColumn("__cuts", first.scalar()).withColumn(to, upper_bound("__cuts", at).cast("long")).drop("__cuts")
     if not deep:
-        return placed(df, wide, name)
-    second = placed(source.select(wide.alias("__k")), F.col("__k"), "__p").groupBy("__p").agg(cuts("__k", size).alias("__cuts"))  # PARTS rows of less than PARTS bounds
-    own = placed(df, wide, "__p").join(F.broadcast(second), "__p")
-    return own.withColumn(name, F.col("__p") * PARTS + upper_bound(F.col("__cuts"), wide)).drop("__p", "__cuts")
+        return placed(df, f"cast({key} AS long)", name)
+    second = placed(keys, "__k", "__p").groupBy("__p").agg(cuts("__k", size).alias("__cuts"))  # PARTS rows of less than PARTS bounds
+    own = placed(df, f"cast({key} AS long)", "__p").join(F.broadcast(second), "__p")
+    return own.withColumn(name, F.col("__p") * PARTS + upper_bound("__cuts", f"cast({key} AS long)")).drop("__p", "__cuts")
 
 
 def before(each: DataFrame, fold: Callable[[Column], Column], join: Callable[[Column, Column], Column], keys: tuple[str, ...] = (), fan: int = FAN, levels: int = 2) -> DataFrame:
