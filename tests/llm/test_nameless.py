@@ -33,8 +33,6 @@ def edited(words, *places):
 
 
 @pytest.mark.parametrize("bridge", [3, None])
-
-
 def test_texts_linked_by_a_row_without_id(spark, bridge):
     words = [f"w{i}" for i in range(100)]
     other = [f"v{i}" for i in range(60)]
@@ -63,8 +61,6 @@ def test_random_texts_without_ids(spark):
 
 
 @pytest.mark.parametrize("bridge", [3, None])
-
-
 def test_vectors_linked_by_a_row_without_id(spark, bridge):
     """Three vectors, neighbours at cosine 0.97: the middle one joins the others, with an id or without."""
     turn = np.arccos(0.97)

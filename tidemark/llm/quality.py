@@ -8,7 +8,8 @@ labels, and the score maps it to 0.3.
 Learned from every labelled row that is not held out, and from all pairs of a good and a bad one: the loss of a row
 against all of the other label depends on its score and on the other label's scores alone, so sums of rows by label and
 score give the gradient; scores are BINS places, and a row between two counts for both in proportion. Each step is one pass over the
-features, of which a task returns sums of a fixed size. The threshold and the medians are found by halving ranges over all
+features; a task makes sums of a fixed size, which are added up on executors, so that the driver gets PARTIALS of them at most, however
+many tasks there are. The threshold and the medians are found by halving ranges over all
 scores, to 1e-11. An id counts once: of several labels the smallest, of several texts the one of smallest features.
 
 Defined cases: null and empty texts have the features of an empty text and score like others. Repeated rows and null
@@ -34,6 +35,8 @@ from .linear import sigmoid
 #: Places of scores for the gradient, bins for the curvature, and the score beyond which all count at the last place.
 BINS, COARSE, RANGE = 4096, 128, 60.0
 RIDGE = 1e-4
+#: Partial sums that a step brings to the driver at most.
+PARTIALS = 4
 FEATURES = "log_words upper_share symbol_share digit_share symbol_ends long_words short_words repeat_share top_share run_share pipe_share line_repeat compress mean_length".split()
 
 _KIND = np.zeros(256, np.uint8)
@@ -177,6 +180,21 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
 
 
+def _packed(sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([zstandard.compress(sums.astype(np.float64).tobytes(), 1)], pa.binary())], names=["sums"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of all packed sums of a partition; none of an empty one."""
+    total = None
+    for b in batches:
+        for x in b.column(0):
+            own = np.frombuffer(zstandard.decompress(x.as_py()))
+            total = own.copy() if total is None else total + own
+    if total is not None:
+        yield _packed(total)
+
+
 def featured(docs: DataFrame) -> DataFrame:
     """(doc_id, x) of every row, as a table."""
 
@@ -192,14 +210,19 @@ def learned(rows: DataFrame, labels: DataFrame) -> Model:
     own = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("label"))
     train = written(rows.join(own, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.min("label").alias("label")).sortWithinPartitions("doc_id"))
 
+    tasks = train.rdd.getNumPartitions()
+
     def passes(f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = f(np.zeros((0, len(FEATURES))), np.zeros(0, np.int64))
             for b in batches:
                 total = total + f(_matrix(b.column(0)), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(total.astype(np.float64).tobytes(), 1)], pa.binary())], names=["sums"])
+            yield _packed(total)
 
-        got = [np.frombuffer(zstandard.decompress(r["sums"])) for r in train.select("x", "label").mapInArrow(run, "sums binary").collect()]
+        sums = train.select("x", "label").mapInArrow(run, "sums binary")
+        if tasks > PARTIALS:
+            sums = sums.withColumn("at", F.spark_partition_id() % PARTIALS).repartition(PARTIALS, "at").select("sums").mapInArrow(_added, "sums binary")
+        got = [np.frombuffer(zstandard.decompress(r["sums"])) for r in sums.collect()]
         return got or [f(np.zeros((0, len(FEATURES))), np.zeros(0, np.int64))]
 
     return ranked(passes)
