@@ -2,6 +2,7 @@
 
 import json
 import re
+import time
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ from tidemark.config import Rule
 from tidemark.functions import backgrounds, color, keys, text
 from tidemark.models import registry
 from tidemark.operators import neighbours, ordered, schedule, scoring
-from tidemark.sources import render, store
+from tidemark.sources import drawn, render, store
 
 
 def test_weights_and_presets(spark):
@@ -37,7 +38,8 @@ def test_rules_that_fit_no_label_are_errors(spark, tmp_path, capsys):
     for command in (["arrival", str(d)], ["generate", str(d), str(tmp_path / "s")]):
         assert main([*command, "--config", str(tmp_path / "c.yaml"), "-n", "10"], spark) == 1
         assert "tow:*" in capsys.readouterr().err
-    assert not (tmp_path / "s" / "manifest.json").exists()
+    with pytest.raises(store.StreamNotFound):
+        store.read_manifest(spark, f"file://{tmp_path}/s")
 
 
 def test_shares_and_draws_without_a_join_of_all_with_all(spark):
@@ -57,31 +59,60 @@ def test_shares_and_draws_without_a_join_of_all_with_all(spark):
 def test_a_live_stream_draws_the_same_items(spark, tmp_path):
     faces = spark.createDataFrame([(f"f{i}",) for i in range(5)], "face_id string")
     own = schedule.resolve(faces, {"f1": Rule(start=30), "f2": Rule(stop=50, weight=3.0)})
-    query = schedule.live(own, seed=4, rows=40).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/marks").start()
-    try:
-        for _ in range(200):
-            if query.lastProgress and query.lastProgress["batchId"] >= 2:
-                break
-            import time
-
-            time.sleep(0.2)
-    finally:
-        query.stop()
-    got = {r["idx"]: r["label"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    want = {r["idx"]: r["label"] for r in schedule.draw(own, len(got), seed=4).collect()}
-    assert len(got) >= 80 and got == want
-
-
-def test_a_rewrite_that_fails_leaves_no_stream(spark, tmp_path):
+    want = {r["idx"]: r["label"] for r in schedule.draw(own, 900, seed=4).collect()}
+
+    def run(total, rate=None):
+        """A query of its own up to total, over the checkpoint of those before."""
+        live = schedule.live(own, 4, rate, total=total, since=0, partitions=3)
+        query = live.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/marks").trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+        return query.lastProgress
+
+    run(350)
+    first = spark.read.parquet(f"{tmp_path}/out")
+    assert first.count() == 350
+    run(350)  # nothing new
+    run(900, rate=1e9)  # goes on where it stopped
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert len(got) == 900 and {r["idx"]: r["label"] for r in got} == want
+
+
+def test_drawn_items_as_a_source(spark):
+    spark.dataSource.register(drawn.DrawnItems)
+    own = spark.read.format("drawn-items").options(first="5", total="200005", partitions="4").load()
+    assert own.rdd.getNumPartitions() == 4 and sorted(r[0] for r in own.collect()) == list(range(5, 200005))
+    assert [(s.lo, s.hi) for s in drawn.stretches(3, 5, 4)] == [(3, 4), (4, 5)] and drawn.stretches(7, 7, 3) == []
+    parts = drawn.DrawnItems({"total": "350", "partitions": "3"}).streamReader(None).partitions({"items": 20}, {"items": 350})
+    assert [(p.lo, p.hi) for p in parts] == [(20, 130), (130, 240), (240, 350)]
+    for options, why in (({}, "a total or a rate"), ({"rate": "1"}, "needs a total")):
+        with pytest.raises(Exception, match=why):
+            spark.read.format("drawn-items").options(**options).load().collect()
+    slow = drawn.DrawnItems({"rate": "10", "since": str(time.time() - 3), "first": "100", "total": "125"}).streamReader(None)
+    assert 125 >= slow.latestOffset()["items"] >= 125 and slow.initialOffset() == {"items": 100}
+
+
+def test_readers_keep_the_stream_while_it_is_rewritten(spark, tmp_path):
     path = f"file://{tmp_path}/s"
-    good = spark.range(10).selectExpr("id as idx", "'a' as label")
-    assert store.write_stream(good, path)["n_items"] == 10
-    with pytest.raises(Exception, match="no luck"):
-        store.write_stream(good.withColumn("x", F.raise_error(F.lit("no luck"))), path)
-    with pytest.raises(store.StreamNotFound):
-        store.read_manifest(spark, path)
+    good = lambda n: spark.range(n).selectExpr("id as idx", "'a' as label")
     with pytest.raises(store.StreamNotFound):
         store.read_stream(spark, path)
+    assert store.write_stream(good(10), path)["n_items"] == 10
+    with pytest.raises(Exception, match="no luck"):
+        store.write_stream(good(20).withColumn("x", F.raise_error(F.lit("no luck"))), path)
+    assert store.read_stream(spark, path).count() == store.read_manifest(spark, path)["n_items"] == 10  # after a failed one
+    reader = store.read_stream(spark, path)
+    folder = store.begin_stream(spark, path)
+    store.append_items(good(30), folder)
+    assert store.begin_stream(spark, path) != folder  # another writer gets a folder of its own
+    assert reader.count() == store.read_stream(spark, path).count() == 10  # while one is written
+    assert store.finish_stream(spark, folder)["n_items"] == 30
+    assert reader.count() == 10 and store.read_stream(spark, path).count() == 30  # who began before still has the old one
+    assert store.read_stream(spark, path, snapshot=0).count() == 10
+    own = store.read_stream(spark, path).union(store.read_stream(spark, path).selectExpr("idx + 30", "label", "shard"))
+    assert store.write_stream(own.drop("shard"), path)["n_items"] == 60  # made from itself
+    with pytest.raises(store.StreamNotFound, match="snapshot 0"):
+        store.read_stream(spark, path, snapshot=0)
+    assert store.read_stream(spark, path, limit=45).count() == 45
 
 
 def test_annotations_carry_their_metadata_and_meet_their_images(spark, tmp_path):

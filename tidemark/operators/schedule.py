@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.config import Rule
 from tidemark.functions.draws import uniform
 from tidemark.functions.keys import glob_regex
+from tidemark.sources.drawn import DrawnItems
 
 from .ordered import upper_bound
 
@@ -165,7 +167,13 @@ def draw(schedule: DataFrame, n: int, seed: int = 0, first: int = 0) -> DataFram
     return drawn(schedule.sparkSession.range(first, n).select(F.col("id").alias("idx")), schedule, seed)
 
 
-def live(schedule: DataFrame, seed: int = 0, rows: int = 1000) -> DataFrame:
-    """The same items as a stream without end, rows of them a batch."""
-    source = schedule.sparkSession.readStream.format("rate-micro-batch").option("rowsPerBatch", rows).option("numPartitions", 1).load()
-    return drawn(source.select(F.col("value").alias("idx")), schedule, seed)
+def live(schedule: DataFrame, seed: int = 0, rate: float | None = 1000.0, first: int = 0, total: int | None = None, since: float | None = None, partitions: int | None = None) -> DataFrame:
+    """The same items as a stream: rate a second since a time (now, if it isn't given), or all there are up to total if rate is None.
+
+    A query over it that is stopped goes on from its checkpoint. A stream that is to resume must be given the since it began with.
+    """
+    spark = schedule.sparkSession
+    spark.dataSource.register(DrawnItems)
+    options = {"first": first, "total": total, "rate": rate, "since": time.time() if since is None else since, "partitions": partitions or spark.sparkContext.defaultParallelism}
+    source = spark.readStream.format(DrawnItems.name()).options(**{k: str(v) for k, v in options.items() if v is not None}).load()
+    return drawn(source, schedule, seed)

@@ -1,4 +1,9 @@
-"""Frozen streams: a table of items by shard, and a manifest written last that marks them complete."""
+"""Frozen streams: snapshots of a table of items by shard, each with a manifest that is put in its place last.
+
+A stream lies in numbered folders below ``snapshots``. Its readers take the newest that has a manifest, so while a stream is written
+anew, and if that fails, they go on with the one before. That one is kept until the next but one is finished, for those
+who are still reading it.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,7 @@ from datetime import UTC, datetime
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,54 +53,101 @@ def _drop(spark: SparkSession, path: str) -> None:
 BESIDE = ("registry", "schedule", "arrival")
 
 
+def _numbers(spark: SparkSession, path: str) -> dict[int, bool]:
+    """The snapshots of a stream and whether each is finished."""
+    fs, at = _file(spark, f"{path}/snapshots")
+    found = [x.getPath() for x in fs.listStatus(at)] if fs.exists(at) else []
+    return {int(p.getName()): fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "manifest.json")) for p in found if p.getName().isdigit()}
+
+
+def _folder(path: str, number: int) -> str:
+    return f"{path}/snapshots/{number:08d}"
+
+
+def snapshot_of(spark: SparkSession, path: str, number: int | None = None) -> str:
+    """The folder of the newest finished snapshot, or of one by number."""
+    done = [n for n, finished in _numbers(spark, path).items() if finished and number in (None, n)]
+    if not done:
+        raise StreamNotFound(f"no finished stream at {path}" if number is None else f"no finished snapshot {number} at {path}")
+    return _folder(path, max(done))
+
+
+def begin_stream(spark: SparkSession, path: str) -> str:
+    """The folder of a new snapshot, which nobody else writes."""
+    number = max(_numbers(spark, path), default=-1) + 1
+    while True:
+        fs, at = _file(spark, f"{_folder(path, number)}/claim")
+        try:
+            fs.create(at, False).close()
+        except Py4JJavaError:
+            if not fs.exists(at):
+                raise
+            number += 1
+        else:
+            return _folder(path, number)
+
+
 def write_stream(items: DataFrame, path: str, shard: int = SHARD, **facts: object) -> dict:
-    """Write items (idx, label, ...) and then the manifest, which is returned.
+    """Write items (idx, label, ...) as a new snapshot and then its manifest, which is returned.
 
     Rows with an error are kept beside the others as what was skipped. facts go into the manifest, but for the DataFrames
-    of BESIDE, which become tables; ``config``, a StreamConfig, is written out. An old manifest goes first, so a rewrite
-    that fails leaves no stream.
+    of BESIDE, which become tables; ``config``, a StreamConfig, is written out. items may be read from the stream itself.
     """
-    _drop(items.sparkSession, f"{path}/manifest.json")
-    append_items(items, path, shard, "overwrite")
-    return finish_stream(items.sparkSession, path, shard, None, **facts)
+    folder = begin_stream(items.sparkSession, path)
+    append_items(items, folder, shard)
+    return finish_stream(items.sparkSession, folder, shard, None, **facts)
 
 
-def append_items(items: DataFrame, path: str, shard: int = SHARD, mode: str = "append") -> dict[str, int]:
-    """Write items by shard; what was seen on the way: n of them, errors among them."""
+def append_items(items: DataFrame, folder: str, shard: int = SHARD) -> dict[str, int]:
+    """Write items by shard into a snapshot that is begun; what was seen on the way: n of them, errors among them."""
     own = items.withColumn("shard", F.floor(F.col("idx") / shard))
     if "error" not in items.columns:
         own = own.withColumn("error", F.lit(None).cast("string"))
     seen = Observation("items")
-    own.observe(seen, F.count(F.lit(1)).alias("n"), F.count("error").alias("errors")).write.mode(mode).partitionBy("shard").parquet(f"{path}/items")
+    own.observe(seen, F.count(F.lit(1)).alias("n"), F.count("error").alias("errors")).write.mode("append").partitionBy("shard").parquet(f"{folder}/items")
     return seen.get
 
 
-def finish_stream(spark: SparkSession, path: str, shard: int = SHARD, most: int | None = None, **facts: object) -> dict:
-    """The tables beside the items, and the manifest last. most: the stream ends with that many items; later ones don't count."""
-    items = spark.read.parquet(f"{path}/items")
+def finish_stream(spark: SparkSession, folder: str, shard: int = SHARD, most: int | None = None, **facts: object) -> dict:
+    """The tables beside the items of a snapshot, and its manifest last. most: the stream ends with that many items; later ones don't count."""
+    items = spark.read.parquet(f"{folder}/items")
     last = None
     if most is not None and (end := items.where("error is null").select("idx").orderBy("idx").limit(most).agg(F.max("idx")).first()[0]) is not None:
         last, items = end, items.where(F.col("idx") <= end)
-    items.where("error is null").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first")).write.mode("overwrite").parquet(f"{path}/labels")
-    one = spark.read.parquet(f"{path}/labels").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).first()
+    items.where("error is null").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first")).write.mode("overwrite").parquet(f"{folder}/labels")
+    one = spark.read.parquet(f"{folder}/labels").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).first()
     for name in BESIDE:
-        _drop(spark, f"{path}/{name}")
         if isinstance(table := facts.pop(name, None), DataFrame):
-            table.write.parquet(f"{path}/{name}")
+            table.write.mode("overwrite").parquet(f"{folder}/{name}")
     config = facts.pop("config", None)
     manifest = {
         "created": datetime.now(UTC).isoformat(timespec="seconds"), "n_items": one["n"] or 0, "n_labels": one["labels"], "n_skipped": items.where("error is not null").count(), "shard_size": shard, "last_idx": last,
         "config": dataclasses.asdict(config) if config is not None else None, **facts,
     }
-    _put(spark, f"{path}/manifest.json", json.dumps(manifest, indent=1).encode())
+    _put(spark, f"{folder}/manifest.begun", json.dumps(manifest, indent=1).encode())
+    fs, begun = _file(spark, f"{folder}/manifest.begun")
+    if not fs.rename(begun, _file(spark, f"{folder}/manifest.json")[1]):
+        raise OSError(f"cannot put the manifest of {folder} in its place")
+    _prune(spark, folder)
     return manifest
 
 
-def read_manifest(spark: SparkSession, path: str) -> dict:
-    fs, at = _file(spark, f"{path}/manifest.json")
-    if not fs.exists(at):
-        raise StreamNotFound(f"no finished stream at {path}")
-    return json.loads(spark.read.text(f"{path}/manifest.json", wholetext=True).first()[0])
+def _prune(spark: SparkSession, folder: str) -> None:
+    """Delete the snapshots before the one that this one follows, finished or not."""
+    path, own = folder.rsplit("/snapshots/", 1)
+    numbers = _numbers(spark, path)
+    before = [n for n, finished in numbers.items() if finished and n < int(own)]
+    for n in numbers:
+        if before and n < max(before):
+            _drop(spark, _folder(path, n))
+
+
+def _manifest(spark: SparkSession, folder: str) -> dict:
+    return json.loads(spark.read.text(f"{folder}/manifest.json", wholetext=True).first()[0])
+
+
+def read_manifest(spark: SparkSession, path: str, snapshot: int | None = None) -> dict:
+    return _manifest(spark, snapshot_of(spark, path, snapshot))
 
 
 def read_config(spark: SparkSession, path: str) -> StreamConfig:
@@ -107,11 +160,11 @@ def read_config(spark: SparkSession, path: str) -> StreamConfig:
 
 def read_beside(spark: SparkSession, path: str, name: str) -> DataFrame:
     """The table registry, schedule or arrival of a finished stream."""
-    read_manifest(spark, path)
-    fs, at = _file(spark, f"{path}/{name}")
+    folder = snapshot_of(spark, path)
+    fs, at = _file(spark, f"{folder}/{name}")
     if name not in BESIDE or not fs.exists(at):
         raise StreamNotFound(f"the stream at {path} has no table {name}")
-    return spark.read.parquet(f"{path}/{name}")
+    return spark.read.parquet(f"{folder}/{name}")
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
@@ -119,15 +172,16 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return read_beside(spark, path, "registry")
 
 
-def _all(spark: SparkSession, path: str) -> DataFrame:
-    last = read_manifest(spark, path).get("last_idx")
-    items = spark.read.parquet(f"{path}/items")
+def _all(spark: SparkSession, path: str, snapshot: int | None = None) -> DataFrame:
+    folder = snapshot_of(spark, path, snapshot)
+    last = _manifest(spark, folder).get("last_idx")
+    items = spark.read.parquet(f"{folder}/items")
     return items if last is None else items.where(F.col("idx") <= last)
 
 
-def read_stream(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """The items of a finished stream, in order."""
-    items = _all(spark, path).where("error is null").drop("error").orderBy("idx")
+def read_stream(spark: SparkSession, path: str, limit: int | None = None, snapshot: int | None = None) -> DataFrame:
+    """The items of a finished stream, in order; of its newest snapshot, or of one by number."""
+    items = _all(spark, path, snapshot).where("error is null").drop("error").orderBy("idx")
     return items.limit(limit) if limit is not None else items
 
 
