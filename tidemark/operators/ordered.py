@@ -18,8 +18,8 @@ BLOCK = 1 << 14
 FAN = 1 << 20
 #: Bytes, as estimated, from which a stream gets a second level of nodes.
 LARGE = 1 << 36
-#: Blocks that one sketch of a key tells apart, and its size, whose error is a fifth of a block's share.
-PARTS, SKETCH = 1024, 8192
+#: Blocks that one sketch of a key tells apart, and its size, whose error is a tenth of a block's share.
+PARTS, SKETCH = 1024, 65535
 
 
 class Tree(NamedTuple):

@@ -14,7 +14,7 @@ from tidemark.functions import color, draws, imaging, keys
 from tidemark.functions import text as words
 from tidemark.models import registry
 from tidemark.models.head import PER_CLASS
-from tidemark.operators import integrity, labels, neighbours, ordered, replay, schedule, scoring
+from tidemark.operators import integrity, labels, neighbours, ordered, quantiles, replay, schedule, scoring
 from tidemark.sources import store
 from tidemark.streaming import processors
 
@@ -529,9 +529,9 @@ def glob_select(spark: SparkSession, d: str) -> DataFrame:
 # --- colour, boxes, text ---------------------------------------------------------------------------------------------
 
 
-def colours(spark: SparkSession, d: str) -> DataFrame:
+def colours(spark: SparkSession, d: str, *more: str) -> DataFrame:
     h = F.sha2(F.col("p_partkey").cast("string"), 256)
-    return table(spark, d, "part").select("p_partkey", *(F.conv(F.substring(h, 1 + 2 * i, 2), 16, 10).cast("int").alias(c) for i, c in enumerate("rgb")))
+    return table(spark, d, "part").select("p_partkey", *more, *(F.conv(F.substring(h, 1 + 2 * i, 2), 16, 10).cast("int").alias(c) for i, c in enumerate("rgb")))
 
 
 def _lin(c: str) -> str:
@@ -549,8 +549,10 @@ def luminance(spark: SparkSession, d: str) -> DataFrame:
 
 @plan(f"WITH {_RGB}, {_LUM} SELECT p_brand, round(quantile_cont(lum, 0.12), 9) AS low, round(quantile_cont(lum, 0.88), 9) AS high, round(avg(lum), 9) AS mean FROM lum GROUP BY p_brand")
 def luminance_extremes(spark: SparkSession, d: str) -> DataFrame:
-    own = colours(spark, d).join(table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey").withColumn("lum", color.luminance(F.col("r"), F.col("g"), F.col("b")))
-    return own.groupBy("p_brand").agg(F.round(F.percentile("lum", 0.12), 9).alias("low"), F.round(F.percentile("lum", 0.88), 9).alias("high"), F.round(F.avg("lum"), 9).alias("mean"))
+    own = colours(spark, d, "p_brand").withColumn("lum", color.luminance(F.col("r"), F.col("g"), F.col("b")))
+    ends = quantiles.quantiles(own, "p_brand", F.col("lum"), {"low": 0.12, "high": 0.88})
+    mean = own.groupBy("p_brand").agg(F.round(F.avg("lum"), 9).alias("mean"))
+    return ends.join(mean, "p_brand").select("p_brand", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "mean")
 
 
 @plan(f"""WITH {_RGB}, {_LUM}, q AS (SELECT p_partkey, lum AS lo, least(1, lum + 0.1) AS hi, 2.0::DOUBLE + p_partkey % 6 AS ratio, p_partkey % 5 < 3 AS dark FROM lum),
