@@ -203,7 +203,7 @@ def test_texts_of_every_kind(spark):
         of.setdefault(r["kind"], []).append(r["text"])
     form = {
         "number": r"\d{1,3}|\d{1,3}(,\d{3})+|\d{1,2}\.\d{1,2}|\d{1,3}%", "price": r"[$€£¥]\d{1,3}(,\d{3})*\.\d\d|\d{1,3}(,\d{3})*\.\d\d [$€£¥]", "time": r"\d\d:\d\d|\d{1,2}:\d\d (AM|PM|am|pm)",
-        "date": r"\d{1,2} [A-Z][a-z]{2} \d{4}|[A-Z][a-z]{2} \d{1,2}, \d{4}|\d\d/\d\d/\d{4}", "token": r"(SKU|REF|ID|NO|LOT|VER|AB|XR)[-_ ]?\d{3,6}", "word": r"[a-z]+", "phrase": r"[a-z]+( [a-z]+){1,4}", "sentence": r"[A-Z][a-z]*,?( [a-z]+,?){2,}[.!?…]",
+        "date": r"\d{1,2} [A-Z][a-z]{2} \d{4}|[A-Z][a-z]{2} \d{1,2}, \d{4}|\d\d/\d\d/\d{4}", "token": r"(BIN|CRATE|DOCK|KEY|PALLET|ROW|TRK)[-/.]?\d{3,6}", "word": r"[a-z]+", "phrase": r"[a-z]+( [a-z]+){1,4}", "sentence": r"[A-Z][a-z]*,?( [a-z]+,?){2,}[.!?]",
     }
     for kind, values in of.items():
         assert all(re.fullmatch(form[kind], v) for v in values), (kind, [v for v in values if not re.fullmatch(form[kind], v)][:3])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import draws
+
 # sRGB transfer constants and luminance weights.
 KNEE, SLOPE, OFFSET, GAMMA = 0.04045, 12.92, 0.055, 2.4
 RED, GREEN, BLUE = 0.2126, 0.7152, 0.0722
@@ -58,3 +60,22 @@ def crop_box(left: Column, top: Column, width: Column, height: Column, pads: lis
     x0, y0 = near(left, pads[0], canvas_w), near(top, pads[1], canvas_h)
     x1, y1 = far(left + width, pads[2], canvas_w), far(top + height, pads[3], canvas_h)
     return F.struct(x0.alias("x0"), y0.alias("y0"), F.greatest(x1, x0 + 1).alias("x1"), F.greatest(y1, y0 + 1).alias("y1"))
+
+
+# The distribution of a random colour's saturation, and the least of its values.
+SATURATION, LEAST_VALUE = (1.4, 3.0), 0.15
+
+
+def from_hsv(hue: Column, saturation: Column, value: Column) -> Column:
+    """r, g, b (bytes) of hue, saturation and value, each 0 to 1: a channel falls from the value by how far the hue is from it."""
+
+    def channel(turn: int) -> Column:
+        k = F.pmod(hue * 6 + turn, F.lit(6.0))
+        return F.bround(255 * (value - value * saturation * F.greatest(F.lit(0.0), F.least(k, 4 - k, F.lit(1.0))))).cast("int")
+
+    return F.struct(channel(5).alias("r"), channel(3).alias("g"), channel(1).alias("b"))
+
+
+def random_colour(u_hue: Column, u_saturation: Column, u_value: Column) -> Column:
+    """r, g, b of an arbitrary colour, of low saturation more often than not."""
+    return from_hsv(u_hue, draws.beta(u_saturation, *SATURATION), draws.between(u_value, LEAST_VALUE, 1.0))

@@ -566,6 +566,20 @@ def contrast_plan(spark: SparkSession, d: str) -> DataFrame:
     return colours(spark, d).select("p_partkey", got.alias("x")).select("p_partkey", "x.darker", F.round("x.luminance", 9).alias("luminance"), F.round("x.achieved", 6).alias("achieved"))
 
 
+_U = {p: draws.uniform_sql("p_partkey", p, space="colour") for p in ("hue", "saturation", "value")}
+
+
+@plan(f"""WITH q AS (SELECT list_transform(string_split('{draws.beta_table(*color.SATURATION)}', ','), lambda x: x::DOUBLE) AS q),
+u AS (SELECT p_partkey, {_U['hue']} * 6 AS h, {_U['saturation']} * {draws.STEPS} AS pos, 0.15 + {_U['value']} * 0.85 AS v FROM part),
+s AS (SELECT p_partkey, h, v, q[floor(pos)::INT + 1] + (pos - floor(pos)) * (q[floor(pos)::INT + 2] - q[floor(pos)::INT + 1]) AS s FROM u, q),
+c AS (SELECT p_partkey, s, v, unnest(['r', 'g', 'b']) AS k, unnest([(5 + h) % 6, (3 + h) % 6, (1 + h) % 6]) AS x FROM s),
+f AS (SELECT p_partkey, k, round_even(255 * (v - v * s * greatest(0, least(x, 4 - x, 1))), 0)::INT AS c FROM c)
+SELECT p_partkey, any_value(c) FILTER (k = 'r') AS r, any_value(c) FILTER (k = 'g') AS g, any_value(c) FILTER (k = 'b') AS b FROM f GROUP BY p_partkey""")
+def random_colours(spark: SparkSession, d: str) -> DataFrame:
+    u = [draws.uniform(F.col("p_partkey"), p, space="colour") for p in ("hue", "saturation", "value")]
+    return table(spark, d, "part").select("p_partkey", color.random_colour(*u).alias("c")).select("p_partkey", "c.r", "c.g", "c.b")
+
+
 def _pad(i: int) -> str:
     return f"(-0.04 + {draws.uniform_sql('l_orderkey * 10 + l_linenumber', f'pad{i}')} * 0.39)"
 
@@ -582,7 +596,7 @@ def crop_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 @plan(words.SQL)
 def text_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return words.samples(spark.range(5000))
+    return words.samples(table(spark, d, "documents").select(F.col("doc_id").alias("id")))
 
 
 @plan("SELECT i, CASE i % 4 WHEN 0 THEN t WHEN 1 THEN upper(t) WHEN 2 THEN lower(t) ELSE array_to_string(list_transform(regexp_extract_all(lower(t), '([\\p{L}]+|[^\\p{L}]+)'), lambda p: upper(p[1:1]) || p[2:]), '') END AS text FROM (SELECT doc_id AS i, replace(text, 'ß', 'ss') AS t FROM documents)")
@@ -593,7 +607,7 @@ def text_casing(spark: SparkSession, d: str) -> DataFrame:
 
 @plan("SELECT kind, count(*) AS n FROM (" + words.SQL.strip() + ") GROUP BY kind")
 def kind_summary(spark: SparkSession, d: str) -> DataFrame:
-    return words.samples(spark.range(5000)).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"))
+    return text_kinds(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"))
 
 
 @plan("SELECT p_partkey, CASE WHEN length(p_name) > 12 THEN rtrim(substr(p_name, 1, 11)) || '…' ELSE p_name END AS name FROM part")
