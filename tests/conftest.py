@@ -13,4 +13,6 @@ def spark():
     s = session(4, "4g")
     s.sparkContext.setLogLevel("ERROR")
     s.conf.set("spark.sql.shuffle.partitions", "4")
+    s.conf.set("spark.sql.codegen.wholeStage", "false")  # tables of a few rows: compiling takes longer than running
+    s.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     return s

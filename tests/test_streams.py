@@ -234,6 +234,22 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, new.collect())) == sorted((r["idx"], r["label"], r["n_seen"]) for r in ordered.novelty(batch).where("first_seen").collect())
 
 
+def test_rolling_accuracy_goes_on_after_a_restart(spark, tmp_path):
+    """Three runs over one checkpoint, each with the files that came since; ids have gaps, batches are smaller and larger than the window."""
+    r = random.Random(5)
+    ids = sorted(r.sample(range(10_000), 150))
+    own = [("s", i, r.choice("ab"), r.choice(["a", "b", None])) for i in ids]
+    schema = "stream_id string, idx long, label string, pred string"
+    for part, (lo, hi) in enumerate(((0, 8), (8, 120), (120, 150))):
+        spark.createDataFrame(own[lo:hi], schema).repartition(2).write.parquet(f"{tmp_path}/in/{part}")
+        live = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"file://{tmp_path}/in")
+        got = processors.run_steps(spark, live, lambda b, k: processors.rolling_accuracy(b, k, 20), f"file://{tmp_path}/out")
+    hits = [float(a == b) for _, _, a, b in own]
+    want = {i: np.mean(hits[max(0, k - 19) : k + 1]) for k, i in enumerate(ids)}
+    rows = got.collect()
+    assert len(rows) == 150 and {x["idx"]: x["accuracy"] for x in rows} == pytest.approx(want)
+
+
 @pytest.mark.parametrize("cap", [1, 5, 400])
 def test_replay_membership_at_every_item(spark, cap):
     """One label has most rows, one has a single row, some rows have none."""

@@ -634,7 +634,7 @@ def stream_last_seen(spark: SparkSession, d: str) -> DataFrame:
 @plan("SELECT event_id AS idx, round(avg((event_type = 'click')::INT::DOUBLE) OVER (ORDER BY event_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW), 9) AS accuracy FROM events")
 def stream_rolling_accuracy(spark: SparkSession, d: str) -> DataFrame:
     live = processors.event_stream(spark, d).withColumn("pred", F.lit("click"))
-    return processors.run_now(spark, processors.rolling_accuracy(live), _place(spark)).select("idx", F.round("accuracy", 9).alias("accuracy"))
+    return processors.run_steps(spark, live, processors.rolling_accuracy, _place(spark)).select("idx", F.round("accuracy", 9).alias("accuracy"))
 
 
 @plan(f"WITH {_MAJOR.replace('row_number() OVER (ORDER BY event_id) - 1 AS idx', 'event_id AS idx')} SELECT idx, label, pred FROM p")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.models.registry import Recognizer
 from tidemark.operators import ordered
+from tidemark.operators.scoring import WINDOW
 
 
 Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
@@ -78,20 +79,16 @@ def run_steps(spark: SparkSession, stream: DataFrame, step: Step, path: str) ->
     return spark.read.option("recursiveFileLookup", True).parquet(f"{path}/out")
 
 
-def rolling_accuracy(stream: DataFrame, window: int = 500) -> DataFrame:
-    """idx, accuracy of predictions (stream_id, idx, label, pred) over the last rows; state is a ring of that many flags."""
+def rolling_accuracy(batch: DataFrame, kept: DataFrame | None, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(idx, accuracy) of predictions (idx, label, pred) of one stream over the last rows; kept is one row less than the window.
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values("idx")
-        ring = list(state.get[0]) if state.exists else []
-        out = []
-        for i, a, b in zip(rows["idx"], rows["label"], rows["pred"]):
-            ring = (ring + [int(a == b)])[-window:]
-            out.append((i, sum(ring) / len(ring)))
-        state.update((ring,))
-        yield pd.DataFrame(out, columns=["idx", "accuracy"])
-
-    return stream.groupBy("stream_id").applyInPandasWithState(step, "idx long, accuracy double", "ring array<int>", "append", "NoTimeout")
+    The kept rows go before the batch; ranks and windows are those of a table, so a batch is spread over tasks by blocks.
+    """
+    rows = batch.select("idx", F.coalesce(F.col("label") == F.col("pred"), F.lit(False)).cast("double").alias("hit"), F.lit(True).alias("new"))
+    if kept is not None:
+        rows = rows.union(kept.select("idx", "hit", F.lit(False)))
+    own = ordered.rolling_mean(ordered.ranked(rows, "idx", "place"), F.col("hit"), window, "accuracy", idx="place")
+    return own.where("new").select("idx", "accuracy"), rows.orderBy(F.desc("idx")).limit(window - 1).select("idx", "hit")
 
 
 def recognized(stream: DataFrame, model: Callable[[], Recognizer]) -> DataFrame:
