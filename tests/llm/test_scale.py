@@ -1,6 +1,7 @@
 """What has to stay bounded as the input grows."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -81,3 +82,14 @@ def test_op2_model_sees_all_rows_of_a_table(spark):
     x = np.array([min(quality.features(t) for k, t in [*rows, (7, "another text of the same id")] if k == i) for i in own])
     want = quality.rank(x, np.array([i % 3 % 2 for i in own]))
     assert np.allclose(m.mean, want.mean) and np.allclose(m.weights, want.weights, atol=1e-6) and abs(m.cut - want.cut) < 1e-6
+
+
+def test_op8_windows_of_many_notices_are_chosen_in_linear_time(spark):
+    from tidemark.llm import licenses
+
+    text = lambda n: "Released under the MIT License.\n" * n + "Some other words\n" + "Licensed under CC BY-SA 4.0.\n" * 5
+    df = spark.createDataFrame([(n, text(n)) for n in (0, 1, 2, 3000)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: (r["license"], r["dice"], r["n_license_lines"]) for r in licenses.licenses(df).collect()}
+    assert got == {0: ("cc-by-sa", 1.0, 5)} | {n: ("cc-by-sa", 1.0, n + 5) for n in (1, 2, 3000)}
+    assert time.perf_counter() - began < 60  # the square took minutes

@@ -10,7 +10,8 @@ n_license_lines counts the lines with words of windows taken.
 
 A text without any of a template's few anchor words, which together touch more bigrams than may be missing, cannot
 match it, so one search for all anchor words drops most texts unread. Everything happens inside the row: no join, no
-shuffle, and for each template the windows are linear in the text. The templates are a fixed parameter of the plan.
+shuffle. For each template the windows are linear in the text, and each looks at its own words only to see whether
+they are taken. The templates are a fixed parameter of the plan.
 
 Defined cases: null, empty and one-word texts match nothing. Among windows taken of equal score the first by name is
 reported. Repeated rows and null ids are scanned like others. An empty template list matches nothing. A statement
@@ -50,6 +51,8 @@ TEMPLATES = {
     "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
 }
 THRESHOLD = 0.75
+#: Words a long of the set of taken words stands for.
+BITS = 60
 _WINDOWS = "array<struct<score:double,size:int,rank:int,first:int,last:int>>"
 # Words to avoid as anchors.
 COMMON = frozenset("a an and any are at by following for in is made of on or source subject that the this to under use version with work you".split())
@@ -78,6 +81,22 @@ def bounds(b: int, threshold: float) -> tuple[int, int]:
     return max(1, math.ceil(threshold / (2 - threshold) * b - 1e-9)), math.floor((2 - threshold) / threshold * b + 1e-9)
 
 
+def _lines_taken(found: str, lines: str) -> Column:
+    """How many lines have words of windows taken: windows go in their order, each if all of its words are free.
+
+    The words taken are a bit set, BITS a long. A window looks at its own few longs, wherever it lies; what grows with the
+    text is a copy of the set for each window taken. lines: of each word.
+    """
+    low, high = f"greatest(w.first - k * {BITS}, 0)", f"least(w.last + 1 - k * {BITS}, {BITS - 1})"
+    mask = f"shiftleft(shiftleft(1L, {high} - {low} + 1) - 1L, {low})"
+    first, last = f"cast(w.first div {BITS} AS int)", f"cast((w.last + 1) div {BITS} AS int)"
+    blocks = f"sequence({first}, {last})"
+    free = f"forall({blocks}, k -> (get(bits, k) & {mask}) = 0)"
+    marked = f"concat(slice(bits, 1, {first}), transform({blocks}, k -> get(bits, k) | {mask}), slice(bits, {last} + 2, greatest(size(bits) - {last} - 1, 0)))"
+    taken = f"filter({lines}, (x, i) -> (get(bits, cast((i + 1) div {BITS} AS int)) & shiftleft(1L, cast((i + 1) % {BITS} AS int))) <> 0)"
+    return F.expr(f"aggregate({found}, array_repeat(0L, cast((size({lines}) + 1) div {BITS} AS int) + 1), (bits, w) -> CASE WHEN {free} THEN {marked} ELSE bits END, bits -> size(array_distinct({taken})))")
+
+
 def licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, license (the best one, or null), dice (0 without), n_license_lines."""
     sets = {k: b for k, v in sorted((TEMPLATES if templates is None else templates).items()) if (b := bigrams_of(v))}
@@ -111,10 +130,8 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold
         return F.when(F.size(own) >= least, F.filter(F.flatten(begun), lambda x: x["score"] <= -threshold)).otherwise(F.array().cast(_WINDOWS))
 
     found = F.sort_array(F.concat(*(windows(i, b) for i, b in enumerate(sets.values()))))
-    meets = lambda x: lambda y: (y["first"] <= x["last"] + 1) & (x["first"] <= y["last"] + 1)
-    taken = F.aggregate(found, F.array().cast(_WINDOWS), lambda got, x: F.when(F.exists(got, meets(x)), got).otherwise(F.concat(got, F.array(x))))
-    out = out.select("doc_id", "lines", taken.alias("taken"))
-    out = out.select("doc_id", F.array_min(F.transform("taken", lambda x: F.struct(x["score"], x["rank"]))).alias("top"), F.size(F.array_distinct(F.flatten(F.transform("taken", lambda x: F.slice("lines", x["first"], x["last"] - x["first"] + 2))))).alias("n"))
+    out = out.select("doc_id", "lines", found.alias("found"))
+    out = out.select("doc_id", F.get("found", F.lit(0)).alias("top"), F.when(F.size("found") > 0, _lines_taken("found", "lines")).alias("n"))
     name = reduce(lambda rest, x: F.when(F.col("top.rank") == x[0], x[1]).otherwise(rest), enumerate(sets), F.lit(None).cast("string"))
     return out.select("doc_id", name.alias("license"), F.round(F.coalesce(-F.col("top.score"), F.lit(0.0)), 9).alias("dice"), F.greatest(F.lit(0), F.coalesce("n", F.lit(0))).cast("long").alias("n_license_lines"))
 
