@@ -19,6 +19,7 @@ from tidemark import config
 from tidemark.functions import imaging
 from tidemark.models import registry
 from tidemark.operators import integrity, schedule, scoring
+from tidemark.progress import reported
 from tidemark.sources import assets, fonts, render, store
 
 
@@ -39,8 +40,9 @@ def configured(a: argparse.Namespace) -> config.StreamConfig:
 
 
 def ranked(counts: DataFrame, key: str) -> str:
-    """Counts by falling number, in a line."""
-    return "  ".join(f"{r[key]} {r['n']}" for r in counts.orderBy(F.desc("n"), key).limit(50).collect())
+    """Counts by falling number, in a line; of more than 50 it says so."""
+    rows = counts.orderBy(F.desc("n"), key).limit(51).collect()
+    return "  ".join(f"{r[key]} {r['n']}" for r in rows[:50]) + ("  and others" if len(rows) > 50 else "")
 
 
 def popularity(counts: DataFrame) -> str:
@@ -115,13 +117,16 @@ def scored(spark: SparkSession, items: DataFrame, model: type[registry.Recognize
     own = items.select(F.lit("stream").alias("stream_id"), "idx", "label", features.alias("features"))
     got = registry.prequential(own, model).select("idx", "label", "pred")
     rows = got.persist(StorageLevel.DISK_ONLY)  # one sequence: its answers are made once, and scored from here
-    found = scoring.result(rows)
-    if classes:
-        shown(found.classes.select("label", "support", *(F.round(c, 4).alias(c) for c in ("recall", "precision")), F.round("recent_recall", 4).alias("recent")))
-    wrong = scoring.worst(found.confusion, 5).collect()
-    if wrong:
-        print("most confused:", "   ".join(f"{r['true'].split(':')[0]}→{r['predicted'].split(':')[0]} {r['n']}" for r in wrong))
-    return spark.createDataFrame(found.headline.toArrow())
+    try:
+        found = scoring.result(rows)
+        if classes:
+            shown(found.classes.select("label", "support", *(F.round(c, 4).alias(c) for c in ("recall", "precision")), F.round("recent_recall", 4).alias("recent")))
+        wrong = scoring.worst(found.confusion, 5).collect()
+        if wrong:
+            print("most confused:", "   ".join(f"{r['true'].split(':')[0]}→{r['predicted'].split(':')[0]} {r['n']}" for r in wrong))
+        return spark.createDataFrame(found.headline.toArrow())
+    finally:
+        rows.unpersist()
 
 
 def models_list(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -220,7 +225,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         spark = session()
         spark.sparkContext.setLogLevel("ERROR")
     try:
-        shown(a.run(spark, a))
+        with reported(spark):
+            shown(a.run(spark, a))
     except (ValueError, OSError, registry.ModelError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
