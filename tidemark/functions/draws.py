@@ -16,8 +16,18 @@ def uniform(index: Column, purpose: str | Column, seed: int = 0, space: str = "i
     return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def uniform_sql(index: str, purpose: str, seed: int = 0, space: str = "item") -> str:
-    return f"(('0x' || substr(sha256('{space}:{seed}:' || ({index}) || ':{purpose}'), 1, 13))::BIGINT::DOUBLE / {1 << 52})"
+def digest(index: Column, purpose: str, seed: int = 0, space: str = "item") -> Column:
+    """A digest that holds four draws: see part."""
+    return F.sha2(F.concat(F.lit(f"{space}:{seed}:"), index.cast("string"), F.lit(f":{purpose}")), 256)
+
+
+def part(of: Column, k: int) -> Column:
+    """Draw k (0 to 3) of a digest, uniform in [0, 1); draw 0 is that of uniform."""
+    return F.conv(F.substring(of, 13 * k + 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def uniform_sql(index: str, purpose: str, seed: int = 0, space: str = "item", k: int = 0) -> str:
+    return f"(('0x' || substr(sha256('{space}:{seed}:' || ({index}) || ':{purpose}'), {13 * k + 1}, 13))::BIGINT::DOUBLE / {1 << 52})"
 
 
 def between(u: Column, lo: float, hi: float) -> Column:

@@ -581,17 +581,18 @@ def random_colours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pad(i: int) -> str:
-    return f"(-0.04 + {draws.uniform_sql('l_orderkey * 10 + l_linenumber', f'pad{i}')} * 0.39)"
+    return f"(-0.04 + {draws.uniform_sql('l_orderkey * 10 + l_linenumber', 'pads', k=i)} * 0.39)"
 
 
 @plan(f"""WITH b AS (SELECT l_orderkey, l_linenumber, (l_quantity * 3)::INT AS x, (l_linenumber * 5)::INT AS y, 20 + (l_quantity * 2)::INT AS w, 10 + l_linenumber::INT AS h, {', '.join(f'{_pad(i)} AS p{i}' for i in range(4))} FROM lineitem),
 c AS (SELECT *, greatest(0, least(127, round_even(x - p0 * h, 0)::INT)) AS x0, greatest(0, least(23, round_even(y - p1 * h, 0)::INT)) AS y0, least(128, greatest(1, round_even(x + w + p2 * h, 0)::INT)) AS x1, least(24, greatest(1, round_even(y + h + p3 * h, 0)::INT)) AS y1 FROM b)
 SELECT l_orderkey, l_linenumber, x0, y0, greatest(x1, x0 + 1)::INT AS x1, greatest(y1, y0 + 1)::INT AS y1 FROM c""")
 def crop_boxes(spark: SparkSession, d: str) -> DataFrame:
-    u = [draws.between(draws.uniform(F.col("l_orderkey") * 10 + F.col("l_linenumber"), f"pad{i}"), -0.04, 0.35) for i in range(4)]
+    u = [draws.between(draws.part(F.col("digest"), i), -0.04, 0.35) for i in range(4)]
     q, n = F.col("l_quantity"), F.col("l_linenumber")
     box = color.crop_box(F.bround(q * 3).cast("int"), n * 5, 20 + F.bround(q * 2).cast("int"), 10 + n, u, F.lit(128), F.lit(24))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", box.alias("b")).select("l_orderkey", "l_linenumber", "b.x0", "b.y0", "b.x1", "b.y1")
+    own = table(spark, d, "lineitem").withColumn("digest", draws.digest(F.col("l_orderkey") * 10 + F.col("l_linenumber"), "pads"))
+    return own.select("l_orderkey", "l_linenumber", box.alias("b")).select("l_orderkey", "l_linenumber", "b.x0", "b.y0", "b.x1", "b.y1")
 
 
 @plan(words.SQL)
