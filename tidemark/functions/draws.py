@@ -45,7 +45,9 @@ def integer(u: Column, lo: int, hi: int) -> Column:
 
 def choice(u: Column, values: Sequence[str]) -> Column:
     """One of some values, each as likely as another."""
-    return F.element_at(F.array(*map(F.lit, values)), integer(u, 1, len(values)))
+    if any("\n" in v for v in values):
+        raise ValueError("values to choose from must be without line ends")
+    return F.element_at(F.split(F.lit("\n".join(values)), "\n", -1), integer(u, 1, len(values)))  # one constant, however many there are
 
 
 def weighted(u: Column, weights: dict[str, float]) -> Column:
