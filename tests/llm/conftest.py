@@ -32,3 +32,14 @@ def docs(spark, texts):
 @pytest.fixture(scope="session")
 def labels(spark, texts):
     return spark.createDataFrame([(i, int(i != 14), int(i in (16, 17))) for i in texts] + [(None, 1, 0), (20, None, None)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module", autouse=True)
+def compiled(spark):
+    """Whole texts are long: plans are compiled, as they are outside of tests."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.codegen.wholeStage", "spark.sql.codegen.factoryMode")}
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    spark.conf.set("spark.sql.codegen.factoryMode", "FALLBACK")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)

@@ -214,8 +214,9 @@ def test_language_against_its_machines(spark, corpus):
     assert len(out) > 100 and sum(a != b for a, b in out) <= 0.03 * len(out)
 
 
-def test_language_learns_from_bounded_rows_of_dirty_labels(spark):
-    rows = [(None, f"the house number {'abcdefghij'[i % 10]} of {'klmnopqrst'[i // 10 % 10]}", "en", None) for i in range(300)] + [(i, "das haus und der garten", "de", None) for i in range(50)] + [(1000 + i, f"some words {i}", f"xx{i}", None) for i in range(260)]
+def test_language_learns_from_bounded_rows_of_dirty_labels(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 30)  # machines grow as its square
+    rows = [(None, f"the house number {'abcdefghij'[i % 10]} of {'klmnopqrst'[i // 10 % 10]}", "en", None) for i in range(300)] + [(i, "das haus und der garten", "de", None) for i in range(50)] + [(1000 + i, f"some words {i}", f"xx{i}", None) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     m = langid.fit(df.select("doc_id", "text", "lang"))
     known = {g for votes in m.within.values() for g in votes.names}

@@ -9,7 +9,7 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
 
     assert QUERIES.keys() | {"pipeline"} <= entry.queries().keys() and SQL.keys() <= entry.oracle_sql().keys()
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
 
 
 def test_stages_against_their_plain_versions(spark):

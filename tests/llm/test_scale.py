@@ -93,3 +93,17 @@ def test_op8_windows_of_many_notices_are_chosen_in_linear_time(spark):
     got = {r["doc_id"]: (r["license"], r["dice"], r["n_license_lines"]) for r in licenses.licenses(df).collect()}
     assert got == {0: ("cc-by-sa", 1.0, 5)} | {n: ("cc-by-sa", 1.0, n + 5) for n in (1, 2, 3000)}
     assert time.perf_counter() - began < 60  # the square took minutes
+
+
+def test_op6_tasks_follow_the_bytes_of_all_texts(spark, monkeypatch):
+    r = random.Random(8)
+    base = " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    docs = spark.createDataFrame([(i, base[r.randint(0, 200) :] + str(i) + base[: r.randint(0, 200)]) for i in range(40)], "doc_id long, text string")
+    want = sorted(map(tuple, suffix_dedup.remove_repeats(docs).collect()))
+    seen, coalesce = [], type(docs).coalesce
+    monkeypatch.setattr(suffix_dedup, "TASK", 1000)
+    monkeypatch.setattr(type(docs), "coalesce", lambda df, n: seen.append(n) or coalesce(df, n))
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(docs).collect())) == want
+    assert min(seen) >= suffix_dedup._tasks(40 * 150) == 6 and len({*seen}) == 1
+    monkeypatch.undo()
+    assert suffix_dedup._tasks(50 << 30) == 400 and suffix_dedup._tasks(0) == 0  # 30 GB of input: 128 MB of text a task
