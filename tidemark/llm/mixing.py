@@ -29,7 +29,7 @@ from __future__ import annotations
 import warnings
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, written
@@ -37,6 +37,8 @@ from .common import discard, written
 DIMS = ("source", "lang", "topic")
 TEMPER, RATE, SEED = 0.5, 0.6, "mix-1"
 TOLERANCE, ROUNDS, MOST = 1e-6, 8, 800
+#: Cells up to which one task rakes them: some megabytes.
+FEW = 1 << 16
 #: Raking has come to its end if ROUNDS rounds change the error by less than the first share and no cell by more than the second.
 STALL, MOVED = 1e-6, 1e-9
 # Words that tell a subject, between blanks and in lower case.
@@ -80,12 +82,16 @@ def summed(cells: DataFrame, d: str, value: str, name: str) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, tolerance: float = TOLERANCE, most: int = MOST) -> DataFrame:
-    """cells (source, lang, topic, tokens) with w: the share of the mix, raked to the targets of every dimension."""
+    """cells (source, lang, topic, tokens) with w: the share of the mix, raked to the targets of every dimension.
+
+    FEW cells or less are raked by one task, without shuffles between the steps; more go by the values of each dimension.
+    """
     cells = written(cells.withColumn("tokens", F.col("tokens").cast("double")))
-    total = cells.agg(F.sum("tokens")).first()[0]
+    total, many = cells.agg(F.sum("tokens"), F.count(F.lit(1))).first()
     if total is None:
         return cells.withColumn("w", F.lit(0.0))
-    own = cells.withColumn("w", F.col("tokens") / total)
+    together = lambda df: df.coalesce(1) if many <= FEW else df
+    own = together(cells).withColumn("w", F.col("tokens") / total)
     for d in DIMS:
         if targets and d in targets:
             goal = reduce(lambda rest, t: F.when(F.col(d) == t[0], float(t[1])).otherwise(rest), targets[d].items(), F.lit(0.0))
@@ -97,14 +103,15 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
     last = written(own)
     err, before = 1.0, None
     for done in range(ROUNDS, most + ROUNDS, ROUNDS):
-        own = last.drop("w0").withColumn("w0", F.col("w"))
+        own = together(last).drop("w0").withColumn("w0", F.col("w"))
         for _ in range(ROUNDS):
             for d in DIMS:
-                own = own.withColumn("sum", F.sum("w").over(Window.partitionBy(d))).withColumn("w", F.when(F.col("sum") > 0, F.col("w") * F.col("goal_" + d) / F.col("sum")).otherwise(0.0)).drop("sum")
+                share = f"sum(w) OVER (PARTITION BY {d})"
+                own = own.withColumn("w", F.expr(f"CASE WHEN {share} > 0 THEN w * goal_{d} / {share} ELSE 0D END"))
         new = written(own)
         discard(last)
         last = new
-        off = reduce(DataFrame.union, (new.groupBy(d).agg(F.sum("w").alias("sum"), F.max("goal_" + d).alias("goal")).select(F.when(F.col("goal") > 0, F.abs(F.col("sum") / F.col("goal") - 1)).otherwise(0.0).alias("off")) for d in DIMS))
+        off = reduce(DataFrame.union, (together(new).groupBy(d).agg(F.sum("w").alias("sum"), F.max("goal_" + d).alias("goal")).select(F.when(F.col("goal") > 0, F.abs(F.col("sum") / F.col("goal") - 1)).otherwise(0.0).alias("off")) for d in DIMS))
         was, err, moved = err, off.agg(F.max("off")).first()[0], new.agg(F.max(F.abs(F.col("w") - F.col("w0")))).first()[0]
         if err <= tolerance or (abs(was - err) <= STALL * err and moved <= MOVED):
             break
