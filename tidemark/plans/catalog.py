@@ -332,7 +332,7 @@ def contact_grid(spark: SparkSession, d: str) -> DataFrame:
 # --- label space and schedule ----------------------------------------------------------------------------------------
 
 RULES = {"brand-1*:*": Rule(weight=6.0), "brand-1?:s*": Rule(weight=0.05, start=500), "brand-2*": Rule(weight=3.0, stop=800), "*:promo": Rule(weight=9.0, start=400, stop=900), "brand-3*:economy": Rule(weight=0.0), "no-such-font:regular": Rule()}
-NATION_RULES = {"nation-7": Rule(weight=6.0), "nation-1*": Rule(start=500), "*-?4": Rule(weight=3.0, stop=800), "nation-[23]": Rule(weight=9.0, start=400, stop=900), "nation-20": Rule(weight=0.0), "nation-2?": Rule(weight=0.001), "no-such-nation": Rule()}
+NATION_RULES = {"nation-7": Rule(weight=6.0), "nation-1*": Rule(start=500), "*-?4": Rule(weight=3.0, stop=800), "nation-[23]": Rule(weight=9.0, start=400, stop=900), "nation-20": Rule(weight=0.0), "nation-2?": Rule(weight=0.001), "nation-19": Rule(weight=1e-9), "no-such-nation": Rule()}
 
 
 def part_faces(spark: SparkSession, d: str) -> DataFrame:
