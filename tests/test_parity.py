@@ -239,7 +239,12 @@ def test_plug_in_models_equal_their_batch_forms(spark):
     rows = [(i, str(i % 4), (centres[i % 4] + r.standard_normal(6)).tolist()) for i in range(150)]
     own = spark.createDataFrame(rows, "idx long, label string, features array<double>")
     stream = own.withColumn("stream_id", F.lit("s"))
-    plug = {q["idx"]: q["pred"] for q in registry.prequential(stream, registry.load("baseline")).collect()}
+    model = registry.load("baseline")
+    plug = {q["idx"]: q["pred"] for q in registry.prequential(stream, lambda: model()).collect()}  # item by item
+    fast = registry.prequential(stream, model)
+    assert {q["idx"]: q["pred"] for q in fast.collect()} == plug and "MapInPandas" not in fast._jdf.queryExecution().toString()
+    two = registry.prequential(stream.union(stream.withColumn("stream_id", F.lit("t"))), model)
+    assert sorted(map(str, two.where("stream_id = 't'").select("idx", "pred").collect())) == sorted(map(str, fast.select("idx", "pred").collect()))
     assert plug == {q["idx"]: q["pred"] for q in neighbours.vote(neighbours.neighbours(own), own).collect()}
     model, loop = registry.load("replay-head")(), {}
     for i, y, x in rows:
