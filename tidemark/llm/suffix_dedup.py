@@ -48,6 +48,8 @@ THRESHOLD, ANCHOR = 50, 16
 CHUNK, BUCKET, PIECE = 16 << 20, 8 << 20, 1 << 20
 #: Windows sorted singly for which there is one bucket, and buckets at least.
 WINDOWS, LEAST = 1 << 19, 1 << 10
+#: Bytes of all texts for each task of the sorts, at most.
+TASK = 128 << 20
 SIDE = (THRESHOLD - ANCHOR + 1) // 2
 LAST = (1 << 63) - 1
 
@@ -310,16 +312,21 @@ def _buckets(units: int, each: int) -> int:
     return max(LEAST, 1 << (units // each).bit_length())
 
 
-def _fewer(df: DataFrame) -> DataFrame:
-    """df in a quarter of the partitions of a shuffle, three for each core at least: fewer files, each of which makes the JVM fork twice."""
+def _tasks(total: int) -> int:
+    """Tasks that texts of so many bytes need at least, so that one's records fit in memory whatever the input."""
+    return -(-total // TASK)
+
+
+def _fewer(df: DataFrame, total: int) -> DataFrame:
+    """df in a quarter of the partitions of a shuffle, three for each core and one for each TASK bytes of all texts at least: fewer files, each of which makes the JVM fork twice."""
     spark = df.sparkSession
-    return df.coalesce(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+    return df.coalesce(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4, _tasks(total)))
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def _kept(df: DataFrame, total: int) -> DataFrame:
     """written(), in few files and with small Arrow batches."""
     with small_batches(df.sparkSession):
-        return written(_fewer(df))
+        return written(_fewer(df, total))
 
 
 _DONE = "doc_id long, twin long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -377,9 +384,12 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
         yield from got.flush()
 
     def sorted_by_bucket(dealt: DataFrame) -> DataFrame:
-        return dealt.repartition("bucket", F.coalesce("doc_id", F.lit(0))).sortWithinPartitions("bucket")
+        by = "bucket", F.coalesce("doc_id", F.lit(0))
+        tasks = _tasks(total)
+        spread_out = dealt.repartition(tasks, *by) if tasks > int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")) else dealt.repartition(*by)
+        return spread_out.sortWithinPartitions("bucket")
 
-    found = _kept(sorted_by_bucket(unique.mapInArrow(deal_runs, _DEALT)).mapInArrow(_sort_runs, _SPAN))
+    found = _kept(sorted_by_bucket(unique.mapInArrow(deal_runs, _DEALT)).mapInArrow(_sort_runs, _SPAN), total)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents without open runs are finished; the others keep their text."""
@@ -397,7 +407,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 
     # A list is as long as one text has runs: equal rows dealt theirs once.
     spans = found.groupBy(*row).agg(F.collect_list(F.struct("kind", "s", "e")).alias("own"))
-    state = _kept(unique.join(spans, row, "left").select(*row, "text", "own").mapInArrow(first, "doc_id long, twin long, text string, own array<struct<kind:int,s:long,e:long>>, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    state = _kept(unique.join(spans, row, "left").select(*row, "text", "own").mapInArrow(first, "doc_id long, twin long, text string, own array<struct<kind:int,s:long,e:long>>, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), total)
     window_buckets = _buckets(found.where("kind = 1").agg(F.sum(F.expr("e - s + 1"))).first()[0] or 0, WINDOWS)
     opened = state.where("own is not null").select(*row, "text", "own")
 
@@ -424,7 +434,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
                     yield from got.flush()
         yield from got.flush()
 
-    more = _kept(sorted_by_bucket(opened.mapInArrow(deal_windows, _DEALT)).mapInArrow(_sort_windows, _SPAN))
+    more = _kept(sorted_by_bucket(opened.mapInArrow(deal_windows, _DEALT)).mapInArrow(_sort_windows, _SPAN), total)
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -445,7 +455,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     out = out.drop("twin")
     null = F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id")
     both = found.where("kind = 0").union(more).select(null, "s", "e")
-    return _fewer(out.withColumn("doc_id", null)), both
+    return _fewer(out.withColumn("doc_id", null), total), both
 
 
 _FINAL = pa.schema([("doc_id", pa.int64()), ("twin", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
