@@ -16,6 +16,7 @@ from tidemark.config import Rule
 from tidemark.functions import backgrounds, color, keys, text
 from tidemark.models import registry
 from tidemark.operators import neighbours, ordered, schedule, scoring
+from tidemark.plans.catalog import PLANS
 from tidemark.sources import drawn, render, store
 
 
@@ -224,6 +225,23 @@ def test_fallbacks_are_drawn_from_what_is_covered(spark):
     assert all(set(g) <= set("xY7") and 3 <= len(g) <= 8 for g in got) and len(set(got)) > 20 and {len(g) for g in got} == set(range(3, 9))
 
 
+def test_projection_takes_no_long_text_apart(spark, tmp_path):
+    texts = [None, "", " ", "a", "-a", "a-b", "  aé  b\n", "\0𝒳ß]", "x" * 5000 + "—" + " y" * 5000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    own = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for chars in (keys.charset("ascii_alnum"), "aé]^\\-[𝒳"):
+        covered, other = F.array(*[F.lit(ord(c)) for c in chars]), F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
+        both = own.select("doc_id", keys.project(F.col("text"), covered, other).alias("a"), keys.project_from(F.col("text"), chars, other).alias("b")).collect()
+        for r in both:
+            t = texts[r["doc_id"]]
+            kept = None if t is None else re.sub(" +", " ", "".join(c for c in t if c in chars + " ")).strip(" ")
+            lack = None if t is None else "".join(dict.fromkeys(c for c in t if c not in chars + " "))
+            want = f"doc{r['doc_id']}" if kept == "" or kept and lack and len(kept) < 2 else kept
+            assert tuple(r["a"]) == tuple(r["b"]) == (want, lack)
+    plan = PLANS["project_text"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "array_contains" not in plan  # 62 comparisons a character before, three times over
+
+
 def test_votes_weigh_by_distance(spark):
     near = [(9, 1, 1, 0.1), (9, 2, 2, 1.0), (9, 3, 3, 1.0), (8, 4, 1, 0.0), (8, 2, 2, 0.01), (8, 3, 3, 0.01), (7, 2, 1, 1.0), (7, 3, 2, 1.0), (7, 1, 3, 1.5)]
     found = spark.createDataFrame(near, "idx long, other long, rank int, distance double")

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import Rule
@@ -427,10 +427,6 @@ def occurrence_suffix(spark: SparkSession, d: str) -> DataFrame:
 _ALNUM = keys.charset("ascii_alnum")
 
 
-def _covered() -> Column:
-    return F.array(*[F.lit(ord(c)) for c in keys.charset("ascii_alnum")])
-
-
 @plan(f"SELECT doc_id, list_aggregate(list_distinct(list_filter(string_split(text, ''), lambda c: c <> ' ' AND NOT contains('{_ALNUM}', c))), 'count') AS n_missing, n_chars > 0 AS seen FROM documents")
 def charset_coverage(spark: SparkSession, d: str) -> DataFrame:
     lack = F.length(F.replace(keys.missing_from(F.col("text"), _ALNUM), F.lit(" ")))
@@ -467,7 +463,7 @@ def admission_status(spark: SparkSession, d: str) -> DataFrame:
 @plan(f"""WITH k AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS t FROM documents)
 SELECT doc_id, CASE WHEN strlen(replace(t, ' ', '')) = 0 OR (strlen(replace(t, ' ', '')) < 2 AND regexp_matches(text, '[^A-Za-z0-9 ]')) THEN 'doc' || doc_id ELSE t END AS text FROM k""")
 def project_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", keys.project(F.col("text"), _covered(), F.concat(F.lit("doc"), F.col("doc_id").cast("string")))["text"].alias("text"))
+    return table(spark, d, "documents").select("doc_id", keys.project_from(F.col("text"), _ALNUM, F.concat(F.lit("doc"), F.col("doc_id").cast("string")))["text"].alias("text"))
 
 
 STYLES = ["Extra Light", "Semi-Bold", "Black Italic", "Regular", "Heavy", "Plain", "Extra Black", "Semi Light", "Regular Bold", "Medium Bold", "Book Heavy", "Light Black", "Thin", "Ultra Light", "Demi_bold", "Normal"]
