@@ -2,10 +2,12 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from tidemark.config import Range, Rule, parse
 from tidemark.functions import draws, imaging, keys
@@ -208,6 +210,72 @@ def test_head_learns_a_separable_stream():
     assert np.mean(hits[200:]) > 0.9
 
 
+class PlainHead:
+    """The replay head step by step, as formulas have it: lists of rows, a new array for every term."""
+
+    def __init__(self, dims):
+        self.rng = np.random.default_rng(0)
+        self.w = [self.rng.uniform(-(dims**-0.5), dims**-0.5, (dims, 512)), self.rng.uniform(-(dims**-0.5), dims**-0.5, 512), np.zeros((512, 0)), np.zeros(0)]
+        self.n, self.mean, self.squares, self.labels, self.kept = 0, np.zeros(dims), np.zeros(dims), [], {}
+
+    def scaled(self, x):
+        return (x - self.mean) / (max(1e-6, float(np.sqrt(self.squares / (self.n - 1)).mean())) if self.n > 1 else 1.0)
+
+    def predict(self, x):
+        return self.labels[int((np.maximum(self.scaled(x) @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3]).argmax())] if self.labels else None
+
+    def learn(self, x, label):
+        if label not in self.kept:
+            self.labels.append(label)
+            self.w[2], self.w[3] = np.hstack([self.w[2], np.zeros((512, 1))]), np.append(self.w[3], 0.0)
+            self.m, self.v, self.t = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w], 0
+        self.kept[label] = [*self.kept.get(label, []), x][-400:]
+        self.n, gap = self.n + 1, x - self.mean
+        self.mean = self.mean + gap / self.n
+        self.squares = self.squares + gap * (x - self.mean)
+        picks = self.rng.integers(0, len(self.labels), 32)
+        others = [self.kept[self.labels[c]] for c in picks[1:]]
+        xs = self.scaled(np.array([x] + [rows[self.rng.integers(len(rows))] for rows in others]))
+        h = np.maximum(xs @ self.w[0] + self.w[1], 0)
+        z = h @ self.w[2] + self.w[3]
+        p = np.exp(z - z.max(1, keepdims=True)) / np.exp(z - z.max(1, keepdims=True)).sum(1, keepdims=True)
+        p[np.arange(32), [self.labels.index(label), *picks[1:]]] -= 1
+        back = (p / 32 @ self.w[2].T) * (h > 0)
+        self.t += 1
+        for w, m, v, g in zip(self.w, self.m, self.v, (xs.T @ back, back.sum(0), h.T @ (p / 32), (p / 32).sum(0))):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            w -= 0.001 * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
+
+
+def test_head_equals_the_plain_form_bit_by_bit():
+    r = np.random.default_rng(2)
+    head, plain = Head(12), PlainHead(12)
+    for i in range(1100):  # one label comes late, one is rare, one has more rows than are remembered
+        label = None if i == 700 else str(int(r.choice(3, p=(0.6, 0.39, 0.01)))) if i < 900 else str(int(r.integers(5)))
+        x = r.standard_normal(12) + len(label or "") * i % 3
+        assert head.predict(x) == plain.predict(x)
+        head.learn(x, label)
+        plain.learn(x, label)
+        if i in (50, 800):
+            head = cloudpickle.loads(cloudpickle.dumps(head))
+    assert len(plain.kept["0"]) == 400 and all(np.array_equal(a, b) for a, b in zip(head.parts(head.flat), plain.w))
+    with pytest.raises(ValueError):
+        head.learn(x[:1], "0")
+
+
+def test_a_step_of_the_head_makes_no_copies_of_its_weights():
+    r, head = np.random.default_rng(3), Head(64)
+    for i in range(40):
+        head.learn(r.standard_normal(64), str(i % 4))
+    x = r.standard_normal(64)
+    tracemalloc.start()
+    head.learn(x, "0")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < head.flat.nbytes  # several times that before
+
+
 def test_store_is_readable_only_when_finished(spark, tmp_path):
     items = spark.range(25).selectExpr("id as idx", "cast(id % 4 as string) as label", "if(id = 7, 'no ink', null) as error")
     path = f"file://{tmp_path}/s"
