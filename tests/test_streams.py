@@ -250,20 +250,41 @@ class PlainHead:
 
 def test_head_equals_the_plain_form_bit_by_bit():
     r = np.random.default_rng(2)
-    head, plain = Head(12), PlainHead(12)
+    head, plain, rows, want = Head(12), PlainHead(12), [], []
     for i in range(1100):  # one label comes late, one is rare, one has more rows than are remembered
         label = None if i == 700 else str(int(r.choice(3, p=(0.6, 0.39, 0.01)))) if i < 900 else str(int(r.integers(5)))
         x = r.standard_normal(12) + len(label or "") * i % 3
-        assert head.predict(x) == plain.predict(x)
+        answer = plain.predict(x)
+        assert head.predict(x) == answer
         head.learn(x, label)
         plain.learn(x, label)
         if i in (50, 800):
             head = cloudpickle.loads(cloudpickle.dumps(head))
+        rows.append((x, label))
+        want.append(answer)
+    blocks, cuts = Head(12), [0, 1, 2, 37, 399, 400, 777, 1100]
+    got = [y for a, b in zip(cuts, cuts[1:]) for y in blocks.run(np.array([x for x, _ in rows[a:b]]), [y for _, y in rows[a:b]])]
+    assert got == want and all(np.array_equal(a, b) for a, b in zip(blocks.parts(blocks.flat), plain.w))
     assert len(plain.kept["0"]) == 400 and all(np.array_equal(a, b) for a, b in zip(head.parts(head.flat), plain.w))
     with pytest.raises(ValueError):
         head.learn(x[:1], "0")
 
 
+def test_head_over_full_memories_equals_the_plain_form():
+    r = np.random.default_rng(4)
+    head, plain, xs = Head(6), PlainHead(6), r.standard_normal((1600, 6))
+    labels = [str(i % 3 if i % 7 else 0) for i in range(1600)]
+    calls, draw = [], head._draws
+    head._draws = lambda seen: calls.append(len(seen)) or draw(seen)
+    want = []
+    for x, y in zip(xs, labels):
+        want.append(plain.predict(x))
+        plain.learn(x, y)
+    assert head.run(xs, labels) == want and all(np.array_equal(a, b) for a, b in zip(head.parts(head.flat), plain.w))
+    assert all(len(k) == 400 for k in plain.kept.values()) and head.used == 32 + 3 * 400
+    assert max(calls) == 32 and len(calls) < 60  # batches are made for many rows at once
+
+
 def test_a_step_of_the_head_makes_no_copies_of_its_weights():
     r, head = np.random.default_rng(3), Head(64)
     for i in range(40):

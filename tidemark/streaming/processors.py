@@ -101,10 +101,7 @@ def recognized(stream: DataFrame, model: Callable[[], Recognizer]) -> DataFrame:
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         own = cloudpickle.loads(bytes(state.get[0])) if state.exists else model()
         rows = pd.concat(list(parts)).sort_values("idx")
-        preds = []
-        for features, label in zip(rows["features"], rows["label"]):
-            preds.append(own.predict(features))
-            own.learn(features, label)
+        preds = own.answers(list(rows["features"]), list(rows["label"]))
         state.update((cloudpickle.dumps(own),))
         yield rows[["idx", "label"]].assign(pred=pd.Series(preds, index=rows.index, dtype=object))
 
